@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from parcelflow.plans import q_sources  # noqa: F401
+from parcelflow.plans import q_lots, q_sources  # noqa: F401
 from parcelflow.plans.registry import ORACLES, QUERIES  # noqa: F401
