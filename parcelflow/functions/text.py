@@ -39,6 +39,11 @@ def _fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_ascii(text: Column) -> Column:
     """Accents folded to ASCII, other non-ASCII characters dropped."""
     return F.regexp_replace(F.translate(text, _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", "")
@@ -92,26 +97,28 @@ def _area_body(text: Column) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), r"-?\d[\d.,]*", 0)
 
 
-def _decimal_separator(body: Column) -> Column:
-    """1-based position of the decimal separator in ``body``, 0 when there is none.
+def _decimals(body: Column) -> Column:
+    """Digits after the decimal separator of ``body``, 0 when it has none.
 
     With both separators the last one is decimal; a single kind followed by exactly three
     characters, and with something before it, groups thousands.
     """
-    size = F.length(body)
-    dot = F.when(body.contains("."), size + 1 - F.instr(F.reverse(body), ".")).otherwise(0)
-    comma = F.when(body.contains(","), size + 1 - F.instr(F.reverse(body), ",")).otherwise(0)
-    last = F.greatest(dot, comma)
-    return F.when((dot > 0) & (comma > 0), last).when(last == 0, 0).when(
-        (size - last == 3) & (last > 1), 0).otherwise(last)
+    def judge(tail: Column) -> Column:
+        both = body.contains(".") & body.contains(",")
+        grouping = (tail == 3) & (F.length(body) > 4) & ~both
+        return F.when(grouping, 0).otherwise(tail)
+
+    # Length of what follows the last separator; the whole text has none when nothing is cut off.
+    tail = F.length(F.regexp_extract(body, r"[.,]([^.,]*)$", 1))
+    return bind(tail, judge)
 
 
 def parse_area_locale(text: Column) -> Column:
-    body = _area_body(text)
-    sep = _decimal_separator(body)
-    decimals = F.when(sep > 0, F.length(body) - sep).otherwise(0)
-    digits = F.regexp_replace(body, r"[.,]", "").try_cast("double")
-    return digits / F.pow(F.lit(10.0), decimals)
+    def number(body: Column) -> Column:
+        digits = F.regexp_replace(body, r"[.,]", "").try_cast("double")
+        return digits / F.pow(F.lit(10.0), _decimals(body))
+
+    return bind(_area_body(text), number)
 
 
 def fixed(value: Column, decimals: int) -> Column:
@@ -122,18 +129,20 @@ def fixed(value: Column, decimals: int) -> Column:
 def format_area_like(shape_text: Column, value: Column) -> Column:
     """``value`` written in the decimals, separator, prefix and suffix of ``shape_text``."""
     raw = F.coalesce(shape_text, F.lit(""))
-    body = _area_body(raw)
-    sep = _decimal_separator(body)
-    decimals = F.when(sep > 0, F.length(body) - sep).otherwise(0)
-    number = F.lit(None).cast("string")
-    for places in range(8, -1, -1):
-        number = F.when(decimals == places, fixed(value, places)).otherwise(number)
-    mark = F.when(sep > 0, F.substr(body, sep, F.lit(1))).otherwise(",")
-    written = F.when(mark == ".", number).otherwise(F.replace(number, F.lit("."), mark))
-    start = F.instr(raw, body)
-    before = F.substr(raw, F.lit(1), start - 1)
-    after = F.substr(raw, start + F.length(body))
-    return F.when(body == "", "").otherwise(F.concat(before, written, after))
+
+    return F.when(_area_body(raw) == "", "").otherwise(bind(_area_body(raw), lambda body: _rewrite(raw, body, value)))
+
+
+def _rewrite(raw: Column, body: Column, value: Column) -> Column:
+    def with_decimals(d: Column) -> Column:
+        # format_number takes a pattern column only in SQL, hence the expression text.
+        number = F.call_function("format_number", value, F.concat(
+            F.lit("0"), F.when(d > 0, F.concat(F.lit("."), F.repeat(F.lit("0"), d))).otherwise("")))
+        mark = F.when(d > 0, F.substr(body, F.length(body) - d, F.lit(1))).otherwise(",")
+        return F.concat(F.substr(raw, F.lit(1), F.instr(raw, body) - 1), F.replace(number, F.lit("."), mark),
+                        F.substr(raw, F.instr(raw, body) + F.length(body)))
+
+    return bind(_decimals(body), with_decimals)
 
 
 def format_br(value: Column, decimals: int | None = None) -> Column:
@@ -158,12 +167,15 @@ def next_name(name: Column, step: Column) -> Column:
     """The last digit run moved on by ``step``, zero padding kept; a name without digits gets a number."""
     text = F.coalesce(name, F.lit(""))
     parts = r"(?s)^(.*?)(\d+)(\D*)$"
-    digits = F.regexp_extract(text, parts, 2)
-    value = digits.try_cast("bigint") + step
-    bumped = F.concat(
-        F.regexp_extract(text, parts, 1), F.when(value < 0, "-").otherwise(""),
-        pad_digits(F.abs(value).cast("string"), F.length(digits)), F.regexp_extract(text, parts, 3))
-    return F.when(digits == "", F.concat(text, F.lit(" "), (step + 1).cast("string"))).otherwise(bumped)
+
+    def bump(digits: Column) -> Column:
+        value = digits.try_cast("bigint") + step
+        moved = F.concat(
+            F.regexp_extract(text, parts, 1), F.when(value < 0, "-").otherwise(""),
+            pad_digits(F.abs(value).cast("string"), F.length(digits)), F.regexp_extract(text, parts, 3))
+        return F.when(digits == "", F.concat(text, F.lit(" "), (step + 1).cast("string"))).otherwise(moved)
+
+    return bind(F.regexp_extract(text, parts, 2), bump)
 
 
 def name_from_pattern(pattern: str, value: Column, pad: int, block: Column, status_label: Column) -> Column:
@@ -274,20 +286,28 @@ def _ipv4_number(text: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+def _public_ipv4(host: Column) -> Column:
+    octet = lambda i: F.regexp_extract(host, _IPV4, i).try_cast("bigint")
+
+    def outside(number: Column) -> Column:
+        ranges = [number.between(_ipv4_number(first), _ipv4_number(last)) for first, last in RESERVED_IPV4]
+        return ~F.coalesce(F.array_contains(F.array(*ranges), True), F.lit(True))
+
+    number = ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4)
+    wellformed = F.greatest(octet(1), octet(2), octet(3), octet(4)) <= 255
+    return ~host.rlike(_IPV4) | ~wellformed | bind(number, outside)
+
+
 def url_allowed(url: Column) -> Column:
     """HTTPS on port 443, a host, no credentials, fragment, control character or backslash, and no
     literal address outside the public ranges (IPv6: only global unicast 2000::/3)."""
-    authority = F.regexp_extract(url, r"^(?i:https)://([^/?]*)", 1)
-    host_v6 = F.lower(F.regexp_extract(authority, r"^\[([0-9A-Fa-f:.]+)\](?::(?:443)?)?$", 1))
-    host = F.lower(F.regexp_extract(authority, r"^([^:@\[\]]+)(?::(?:443)?)?$", 1))
-    octets = [F.regexp_extract(host, _IPV4, i).try_cast("bigint") for i in (1, 2, 3, 4)]
-    number = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
-    reserved = F.lit(False)
-    for first, last in RESERVED_IPV4:
-        reserved = reserved | number.between(_ipv4_number(first), _ipv4_number(last))
-    valid_v4 = F.greatest(*octets) <= 255
-    public_v4 = ~host.rlike(_IPV4) | ~F.coalesce(valid_v4, F.lit(False)) | ~F.coalesce(reserved, F.lit(True))
-    public_v6 = host_v6.rlike(r"^[23][0-9a-f]{3}:") & ~host_v6.rlike(r"^2001:(0?db8|0{0,3}:|0{0,2}[0-9a-f]{1,2}:)") & ~host_v6.rlike("^2002:|^3fff:")
     clean = ~url.rlike(r"[\x00-\x20\x7F\\#]")
-    named = (host != "") & public_v4
-    return F.coalesce(clean & (named | ((host_v6 != "") & public_v6)), F.lit(False))
+
+    def judge(authority: Column) -> Column:
+        host = F.lower(F.regexp_extract(authority, r"^([^:@\[\]]+)(?::(?:443)?)?$", 1))
+        host_v6 = F.lower(F.regexp_extract(authority, r"^\[([0-9A-Fa-f:.]+)\](?::(?:443)?)?$", 1))
+        reserved_v6 = r"^2001:(0?db8|0{0,3}:|0{0,2}[0-9a-f]{1,2}:)|^2002:|^3fff:"
+        public_v6 = host_v6.rlike(r"^[23][0-9a-f]{3}:") & ~host_v6.rlike(reserved_v6)
+        return bind(host, lambda h: (h != "") & _public_ipv4(h)) | public_v6
+
+    return F.coalesce(clean & bind(F.regexp_extract(url, r"^(?i:https)://([^/?]*)", 1), judge), F.lit(False))

@@ -28,16 +28,14 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         F.sum("_n").over(whole).alias(count))
     high = F.floor(F.col(count) / 2) + 1
     low = F.floor((F.col(count) + 1) / 2) if true_median else high
-    wanted = ranks.withColumn("_rank", F.explode(F.array_distinct(F.array(low, high)))).where(
-        (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
-    wanted = wanted.select(*keys, "_b", (F.col("_rank") - F.col("_before")).alias("_rank"), count)
-    inside = rows.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    values = inside.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_n"))
+    wanted = ranks.where((F.col("_before") < high) & (low <= F.col("_before") + F.col("_n"))).select(
+        *keys, "_b", (low - F.col("_before")).alias("_lo"), (high - F.col("_before")).alias("_hi"), count)
+    values = rows.join(wanted, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
+        F.count("*").alias("_n"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max(count).alias(count))
     upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_upto", F.sum("_n").over(upto))
-    hit = wanted.join(values, [*keys, "_b"]).where(
-        (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
-    return hit.groupBy(*keys).agg(F.avg("_v").alias(out), F.max(count).alias(count))
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") < F.col(rank)) & (F.col(rank) <= F.col("_upto")), F.col("_v")))
+    return values.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(out), F.max(count).alias(count))
 
 
 def group_rank(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rank") -> DataFrame:
