@@ -48,8 +48,8 @@ def _levels_of(rows: DataFrame) -> Column:
 
 def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool) -> DataFrame:
     """``filed`` at its own level against ``lookup`` at that level (or only above its own level)."""
-    wanted = F.filter(_levels_of(filed), lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
-    probes = lookup.withColumn("_own", _level()).withColumn("_level", F.explode(wanted))
+    wanted = F.filter("_used", lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
+    probes = lookup.withColumn("_own", _level()).withColumn("_used", _levels_of(filed)).withColumn("_level", F.explode(wanted))
     pack = lambda df: df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
     a = _file_in_cells(pack(filed).withColumn("_level", _level())).select(key, "_level", "_cx", "_cy", F.col("_row").alias("a"))
     row = F.struct(*[F.col(c) for c in lookup.columns])
