@@ -64,14 +64,14 @@ FROM (
   FROM {part}) t"""
 _TEXT["plots"] = """
 SELECT p_partkey AS lot_id, p_partkey % 25 AS sheet_id, cast(floor(p_partkey / 25) AS bigint) AS k,
-  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) AS ax,
-  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) AS ay,
-  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + 16 + (p_size % 8) / 2.0 AS bx,
-  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + (p_size % 3) / 4.0 AS by,
-  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + 16 + (p_partkey % 7) / 2.0 AS cx,
-  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + 12 + (p_partkey % 5) / 2.0 AS cy,
-  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + (p_partkey % 4) / 2.0 AS dx,
-  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + 12 + (p_size % 5) / 2.0 AS dy
+  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) AS xa,
+  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) AS ya,
+  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + 16 + (p_size % 8) / 2.0 AS xb,
+  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + (p_size % 3) / 4.0 AS yb,
+  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + 16 + (p_partkey % 7) / 2.0 AS xc,
+  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + 12 + (p_partkey % 5) / 2.0 AS yc,
+  cast(24 * (cast(floor(p_partkey / 25) AS bigint) % 9) AS double) + (p_partkey % 4) / 2.0 AS xd,
+  cast(18 * cast(floor(floor(p_partkey / 25) / 9) AS bigint) AS double) + 12 + (p_size % 5) / 2.0 AS yd
 FROM {part}"""
 _TEXT["lot_anchors"] = """
 SELECT cast(vec_id AS bigint) AS point_id, vec_id % 25 AS project_id,
@@ -158,7 +158,7 @@ class Tables:
 
     def plot_rings(self) -> DataFrame:
         p = self.plots
-        ring = F.array(*[G.point(F.col(c + "x"), F.col(c + "y")) for c in "abcd"])
+        ring = F.array(*[G.point(F.col("x" + c), F.col("y" + c)) for c in "abcd"])
         return with_shape(p.select("lot_id", "sheet_id", "k", ring.alias("ring")))
 
     def text_items(self) -> DataFrame:
@@ -186,6 +186,11 @@ class Tables:
 
 
 def with_shape(rings: DataFrame) -> DataFrame:
-    """Adds ``area_px`` and the bounding box ``bx0,by0,bx1,by1`` of ``ring``."""
+    """Adds ``area_px`` and the bounding box ``bx0,by0,bx1,by1`` of ``ring``.
+
+    An empty ring has a NaN box, which touches nothing. As the box is then never null, no
+    null check of it is pushed down, where it would parse the geometry once more per column.
+    """
     boxed = rings.withColumn("_b", G.bbox(F.col("ring"))).withColumn("area_px", G.area(F.col("ring")))
-    return boxed.select(*rings.columns, "area_px", *[F.col("_b")[c].alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    side = lambda c: F.coalesce(F.col("_b")[c], F.lit(float("nan"))).alias("b" + c)
+    return boxed.select(*rings.columns, "area_px", *[side(c) for c in ("x0", "y0", "x1", "y1")])

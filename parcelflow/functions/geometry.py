@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from parcelflow.functions.let import bind, once
 from parcelflow.schemas import RING
 
 CURVE_FLATNESS = 0.08
@@ -48,6 +49,7 @@ def format_points(ring: Column, decimals: int = 1) -> Column:
     return F.array_join(F.transform(ring, lambda p: F.concat(number(p["x"]), F.lit(","), number(p["y"]))), " ")
 
 
+@once
 def open_ring(ring: Column) -> Column:
     """Drops the points at the end that repeat the first one."""
     first = F.get(ring, F.lit(0))
@@ -56,6 +58,7 @@ def open_ring(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, F.slice(ring, F.lit(1), keep)).otherwise(ring)
 
 
+@once
 def edges(ring: Column) -> Column:
     n = F.size(ring)
 
@@ -75,12 +78,14 @@ def area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
+@once
 def vertex_mean(ring: Column) -> Column:
     total = F.aggregate(ring, point(F.lit(0.0), F.lit(0.0)), lambda a, p: point(a["x"] + p["x"], a["y"] + p["y"]))
     n = F.nullif(F.size(ring), F.lit(0))
     return point(total["x"] / n, total["y"] / n)
 
 
+@once
 def centroid(ring: Column) -> Column:
     """Area-weighted centre; the mean of the vertices when the ring has no area."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
@@ -99,6 +104,7 @@ def centroid(ring: Column) -> Column:
     return F.aggregate(edges(ring), zero, add, finish)
 
 
+@once
 def bbox(ring: Column) -> Column:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
@@ -163,6 +169,7 @@ def edge_angle(ring: Column) -> Column:
     return F.aggregate(edges(ring), best, pick, finish)
 
 
+@once
 def oriented_rect(ring: Column) -> Column:
     """Minimum-area rotated rectangle as short side, long side, long-side angle (mod 180) and area.
 
@@ -198,6 +205,7 @@ def angle_distance(first: Column, second: Column) -> Column:
     return F.least(difference, 180.0 - difference)
 
 
+@once
 def corner_count(ring: Column, tolerance: float = 0.5) -> Column:
     """Vertices that stand out from the chord between their neighbours, plus the closing one."""
     n = F.size(ring)
@@ -256,6 +264,7 @@ def page_to_canvas(ring: Column, ox: float, oy: float, zoom: float, left: float,
     return map_points(ring, lambda x, y: (x - ox) * zoom - left, lambda x, y: (y - oy) * zoom - top, 2)
 
 
+@once
 def clip_half_plane(ring: Column, ax, ay, bx, by, side: int) -> Column:
     """Part of the ring on one side of the line a→b (``side`` 1: left of it, -1: right of it)."""
     n = F.size(ring)
@@ -272,10 +281,12 @@ def clip_half_plane(ring: Column, ax, ay, bx, by, side: int) -> Column:
     return F.flatten(F.transform(ring, cut))
 
 
+@once
 def counter_clockwise(ring: Column) -> Column:
     return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
 
 
+@once
 def is_convex(ring: Column) -> Column:
     """True when all turns go the same way (collinear points allowed)."""
     n = F.size(ring)
@@ -294,6 +305,7 @@ def clip_convex(subject: Column, clipper: Column) -> Column:
     return F.aggregate(edges(clipper), start, lambda ring, e: clip_half_plane(ring, e["ax"], e["ay"], e["bx"], e["by"], 1))
 
 
+@once
 def line_crossings(ring: Column, ax, ay, bx, by) -> Column:
     """How often the boundary changes side of the line, vertices on the line ignored."""
     sides = F.filter(F.transform(ring, lambda p: _cross(ax, ay, bx, by, p["x"], p["y"])), lambda d: F.abs(d) > 1e-7)
@@ -302,6 +314,7 @@ def line_crossings(ring: Column, ax, ay, bx, by) -> Column:
     return F.when(n < 2, 0).otherwise(F.size(changes))
 
 
+@once
 def drop_repeats(ring: Column, eps: float = 1e-6) -> Column:
     """Consecutive points closer than ``eps`` on both axes collapse to the first of them."""
     near = lambda p, q: (F.abs(p["x"] - q["x"]) <= eps) & (F.abs(p["y"] - q["y"]) <= eps)
@@ -356,16 +369,17 @@ def drawing_path(kind: Column, coords: Column, curve_steps: int | None = None) -
     quad = F.array(point(c[0], c[1]), point(c[2], c[3]), point(c[4], c[5]), point(c[6], c[7]), point(c[0], c[1]))
     steps = F.lit(curve_steps) if curve_steps else bezier_steps(c)
 
-    def at(i: Column) -> Column:
+    def at(i: Column, steps: Column) -> Column:
         t = i / steps
         u = 1 - t
         blend = lambda p0, p1, p2, p3: u * u * u * p0 + 3 * u * u * t * p1 + 3 * u * t * t * p2 + t * t * t * p3
         return point(blend(c[0], c[2], c[4], c[6]), blend(c[1], c[3], c[5], c[7]))
 
-    curve = F.concat(F.array(point(c[0], c[1])), F.transform(F.sequence(F.lit(1), steps), at))
+    curve = bind(steps, lambda n: F.concat(F.array(point(c[0], c[1])), F.transform(F.sequence(F.lit(1), n), lambda i: at(i, n))))
     return F.when(kind == "l", line).when(kind == "re", rect).when(kind == "qu", quad).when(kind == "c", curve)
 
 
+@once
 def path_segments(path: Column, min_length_sq: float = 0.0001) -> Column:
     """Segments between consecutive points, without the degenerate ones."""
     pairs = F.transform(F.slice(path, F.lit(2), F.size(path) - 1), lambda q, i: F.struct(

@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+from parcelflow.functions.let import bind
 from parcelflow.schemas import JOB_LOGS
 
 # Patterns that decide which texts are lots, areas and blocks.
@@ -39,11 +40,6 @@ def _fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold_ascii(text: Column) -> Column:
     """Accents folded to ASCII, other non-ASCII characters dropped."""
     return F.regexp_replace(F.translate(text, _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", "")

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow.session import cut
 
-MEDIAN_RESOLUTION = 65536
+BUCKETS_PER_E = 65536
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median", count: str = "samples",
-                 true_median: bool = False) -> DataFrame:
-    """Exact ``sorted(v)[len // 2]`` per group, with the sample count.
+def order_statistic(df: DataFrame, keys: list[str], value: str, rank, low_rank=None, out: str = "value",
+                    count: str = "samples") -> DataFrame:
+    """Exact value at 1-based position ``rank(n)`` of each group, with the group size ``n``.
 
-    A logarithmic histogram (combined before the shuffle) finds the bucket of the wanted
-    rank; only the values of that bucket are then ranked. No group is ever sorted whole.
-    ``true_median`` averages the two middle values of an even count instead.
+    With ``low_rank`` the mean of the values at both positions (the same or neighbours). A logarithmic
+    histogram (combined before the shuffle) finds the bucket of the wanted position; only the
+    values of that bucket are then ranked. No group is ever sorted whole.
     """
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    bucket = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * MEDIAN_RESOLUTION)
+    bucket = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * BUCKETS_PER_E)
     rows = rows.withColumn("_b", bucket)
     histogram = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     ordered = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -26,18 +26,25 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     ranks = histogram.select(
         *keys, "_b", (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"), "_n",
         F.sum("_n").over(whole).alias(count))
-    high = F.floor(F.col(count) / 2) + 1
-    low = F.floor((F.col(count) + 1) / 2) if true_median else high
+    high = rank(F.col(count))
+    low = low_rank(F.col(count)) if low_rank else high
     wanted = ranks.where((F.col("_before") < high) & (low <= F.col("_before") + F.col("_n"))).select(
         *keys, "_b", (low - F.col("_before")).alias("_lo"), (high - F.col("_before")).alias("_hi"), count)
     values = rows.join(wanted, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
         F.count("*").alias("_n"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max(count).alias(count))
     upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_upto", F.sum("_n").over(upto))
-    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") < F.col(rank)) & (F.col(rank) <= F.col("_upto")), F.col("_v")))
+    at = lambda r: F.max(F.when((F.col("_upto") - F.col("_n") < F.col(r)) & (F.col(r) <= F.col("_upto")), F.col("_v")))
     return values.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(out), F.max(count).alias(count))
 
 
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "median", count: str = "samples",
+                 true_median: bool = False) -> DataFrame:
+    """Exact ``sorted(v)[len // 2]`` per group; ``true_median`` averages the two middle values instead."""
+    low = (lambda n: F.floor((n + 1) / 2)) if true_median else None
+    return order_statistic(df, keys, value, lambda n: F.floor(n / 2) + 1, low, out, count)
+
+
 def group_rank(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rank") -> DataFrame:
     """1-based position in the group, for groups too large to be sorted by one task.
 

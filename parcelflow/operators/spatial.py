@@ -32,7 +32,7 @@ def grow(df: DataFrame, margin: Column | float) -> DataFrame:
 
 def _level() -> Column:
     side = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(2.0 ** MIN_LEVEL))
-    return F.ceil(F.log2(side)).cast("int")
+    return F.coalesce(F.ceil(F.log2(side)).cast("int"), F.lit(0))
 
 
 def _file_in_cells(rows: DataFrame) -> DataFrame:
@@ -50,18 +50,20 @@ def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool) -> Da
     """``filed`` at its own level against ``lookup`` at that level (or only above its own level)."""
     wanted = F.filter("_used", lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
     probes = lookup.withColumn("_own", _level()).withColumn("_used", _levels_of(filed)).withColumn("_level", F.explode(wanted))
-    pack = lambda df: df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
-    a = _file_in_cells(pack(filed).withColumn("_level", _level())).select(key, "_level", "_cx", "_cy", F.col("_row").alias("a"))
-    row = F.struct(*[F.col(c) for c in lookup.columns])
-    b = _file_in_cells(probes.withColumn("_row", row)).select(key, "_level", "_cx", "_cy", F.col("_row").alias("b"))
+    # Columns keep their own names until after the join, so Catalyst prunes those nobody reads.
+    tagged = lambda df, tag, names: df.select(key, "_level", "_cx", "_cy", *[F.col(c).alias(tag + c) for c in names])
+    a = tagged(_file_in_cells(filed.withColumn("_level", _level())), "_a_", filed.columns)
+    b = tagged(_file_in_cells(probes), "_b_", lookup.columns)
     size = F.pow(F.lit(2.0), F.col("_level"))
-    corner = lambda c: F.floor(F.greatest(F.col("a")[c], F.col("b")[c]) / size)
-    touching = ((F.col("a.bx0") <= F.col("b.bx1")) & (F.col("b.bx0") <= F.col("a.bx1"))
-                & (F.col("a.by0") <= F.col("b.by1")) & (F.col("b.by0") <= F.col("a.by1")))
+    corner = lambda c: F.floor(F.greatest("_a_" + c, "_b_" + c) / size)
+    below = lambda lo, hi: F.col(lo) <= F.col(hi)
+    touching = (below("_a_bx0", "_b_bx1") & below("_b_bx0", "_a_bx1") & below("_a_by0", "_b_by1") & below("_b_by0", "_a_by1"))
     pairs = a.join(b, [key, "_level", "_cx", "_cy"]).where(
         touching & (F.col("_cx") == corner("bx0")) & (F.col("_cy") == corner("by0")))
-    left, right = ("b", "a") if flipped is False else ("a", "b")
-    return pairs.select(F.col(left).alias("l"), F.col(right).alias("r"))
+    of_a = F.struct(*[F.col("_a_" + c).alias(c) for c in filed.columns])
+    of_b = F.struct(*[F.col("_b_" + c).alias(c) for c in lookup.columns])
+    left, right = (of_a, of_b) if flipped else (of_b, of_a)
+    return pairs.select(left.alias("l"), right.alias("r"))
 
 
 def box_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from parcelflow.plans import q_events, q_identity, q_lots, q_quality, q_sources, q_tenancy  # noqa: F401
+from parcelflow.plans import q_events, q_identity, q_lots, q_quality, q_scalars, q_sources, q_tenancy  # noqa: F401
 from parcelflow.plans.registry import ORACLES, QUERIES  # noqa: F401
