@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow.adapters import with_shape
 from parcelflow.functions import geometry as G
+from parcelflow.functions.let import once
 from parcelflow.operators.grouped import pick_row
 from parcelflow.operators.spatial import box_join, points_in_rings
 from parcelflow.session import cut
@@ -94,35 +95,81 @@ def _faces_of(edges: DataFrame, key: str) -> DataFrame:
     return half.join(_label_cycles(half), "id")
 
 
-def trace_faces(segments: DataFrame, key: str, min_area: float = 1e-6, max_area: float | None = None,
-                prune: bool = True) -> DataFrame:
-    """Bounded faces per key with their ring, area and box. Holes are not subtracted.
+def face_cycles(segments: DataFrame, key: str, prune: bool = True) -> DataFrame:
+    """Half-edges (``a`` → ``b``) with the ``face`` they go around and their place ``off`` in it.
 
     An edge with the same face on both sides bounds nothing (a loose end or a bridge). Such edges
-    are dropped and the rest traced again; that removes them all. Only faces inside the area
-    window are put together as rings, so the outer face never is.
+    are dropped and the rest traced again; that removes them all.
     """
     edges = cut(noded_edges(segments, key))
     labelled = cut(_faces_of(edges, key))
-    if prune:
-        other = labelled.select(F.col("id").alias("twin"), F.col("face").alias("_tf"))
-        useless = labelled.join(other, "twin").where(F.col("face") == F.col("_tf")).select(
-            key, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        if not useless.isEmpty():
-            labelled = cut(_faces_of(edges.join(useless, [key, "u", "v"], "left_anti"), key))
-    real = lambda c: F.col(c).cast("double") / NODE_SCALE
-    cross = real("a.x") * real("b.y") - real("b.x") * real("a.y")
-    sized = labelled.groupBy(key, "face").agg((F.sum(cross) / 2).alias("_area"))
-    wanted = F.col("_area") >= min_area
-    if max_area is not None:
-        wanted = wanted & (F.col("_area") <= max_area)
-    parts = labelled.join(sized.where(wanted).select(key, "face"), [key, "face"], "left_semi")
-    vertex = F.struct((-F.col("off")).alias("o"), real("a.x").alias("x"), real("a.y").alias("y"))
+    if not prune:
+        return labelled
+    other = labelled.select(F.col("id").alias("twin"), F.col("face").alias("_tf"))
+    useless = labelled.join(other, "twin").where(F.col("face") == F.col("_tf")).select(
+        key, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    if useless.isEmpty():
+        return labelled
+    return cut(_faces_of(edges.join(useless, [key, "u", "v"], "left_anti"), key))
+
+
+def _real(c: str) -> Column:
+    return F.col(c).cast("double") / NODE_SCALE
+
+
+def cycle_areas(labelled: DataFrame, key: str) -> DataFrame:
+    """Signed area per cycle: positive for faces, negative for the outline around a component."""
+    cross = _real("a.x") * _real("b.y") - _real("b.x") * _real("a.y")
+    return labelled.groupBy(key, "face").agg((F.sum(cross) / 2).alias("cycle_area"))
+
+
+def cycle_rings(labelled: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rings of the wanted cycles ``(key, face)``."""
+    parts = labelled.join(wanted.select(key, "face"), [key, "face"], "left_semi")
+    vertex = F.struct((-F.col("off")).alias("o"), _real("a.x").alias("x"), _real("a.y").alias("y"))
     rings = parts.groupBy(key, "face").agg(F.array_sort(F.collect_list(vertex)).alias("_v"))
     ring = F.transform("_v", lambda p: G.point(p["x"], p["y"]))
     return with_shape(rings.select(key, F.col("face").alias("face_id"), without_straight(ring).alias("ring")))
 
 
+def trace_faces(segments: DataFrame, key: str, min_area: float = 1e-6, max_area: float | None = None,
+                prune: bool = True) -> DataFrame:
+    """Bounded faces per key with their ring, area and box. Holes are not subtracted.
+
+    Only faces inside the area window are put together as rings, so the outer face never is.
+    """
+    labelled = face_cycles(segments, key, prune)
+    wanted = F.col("cycle_area") >= min_area
+    if max_area is not None:
+        wanted = wanted & (F.col("cycle_area") <= max_area)
+    return cycle_rings(labelled, cycle_areas(labelled, key).where(wanted), key)
+
+
+WELD_STEPS = (0.25, 0.6, 1.2)
+
+
+def merge_adjacent(rings: DataFrame, key: str, ring_id: str) -> DataFrame:
+    """Dissolves the rings of each ``key`` into one outline, or tells why not.
+
+    The sides are welded to a grid and cut where they meet; the outline is the cycle around the
+    whole. A merge stands if there is one outline and its area is at least 0.999 of the largest
+    ring and at most 1.003 of the sum. The finest weld that works is used.
+    """
+    sides = rings.select(key, F.explode(G.edges(F.col("ring"))).alias("e")).select(key, "e.*")
+    mesh = meshes(sides, key, WELD_STEPS, 0.0)
+    cycles = face_cycles(mesh, "mesh", prune=False)
+    outlines = cut(cycle_areas(cycles, "mesh").where(F.col("cycle_area") < 0))
+    sizes = rings.groupBy(key).agg(F.count("*").alias("members"), F.sum("area_px").alias("_sum"), F.max("area_px").alias("_max"), F.min(ring_id).alias("kept_id"))
+    per = outlines.groupBy("mesh").agg(F.count("*").alias("_n"), F.sum(-F.col("cycle_area")).alias("area"), F.min("face").alias("face"))
+    per = per.withColumns({key: F.col("mesh.sheet"), "rank": F.col("mesh.rank")}).join(sizes, key)
+    good = (F.col("_n") == 1) & (F.col("area") >= F.col("_max") * 0.999) & (F.col("area") <= F.col("_sum") * 1.003)
+    best = pick_row(per.where(good).select(key, "rank", "mesh", "face", "area"), [key], F.col("rank"), latest=False)
+    outline = cycle_rings(cycles, best.select("mesh", "face"), "mesh").select(F.col("mesh.sheet").alias(key), F.reverse("ring").alias("ring"))
+    judged = sizes.where("members >= 2").select(key, "members", "kept_id").join(best.select(key, "area"), key, "left").join(outline, key, "left")
+    return judged.withColumn("reason", F.when(F.col("area").isNull(), "not_adjacent"))
+
+
+@once
 def without_straight(ring: Column, tolerance: float = 1e-7) -> Column:
     """The ring without vertices that lie on the line between their neighbours."""
     n = F.size(ring)

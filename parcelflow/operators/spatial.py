@@ -136,7 +136,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     sized = queries.join(level, [key, query_id], "left").withColumn("_r", bound * 1.0000001)
     around = grow(as_points(sized), F.col("_r"))
     pairs = box_join(around, as_points(points), key).withColumn(
-        "dist", F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))).where(F.col("dist") <= F.col("l._r"))
+        "dist", F.round(F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")), 9)).where(F.col("dist") <= F.col("l._r"))
     ranked = pairs.withColumns({"_k": F.col(f"l.{key}"), "_q": F.col(f"l.{query_id}")})
     return first_rows(ranked, ["_k", "_q"], [F.col("dist"), F.col(f"r.{point_id}")], k).drop("_k", "_q")
 
@@ -153,7 +153,7 @@ SNAP_KINDS = ("vertex", "mid", "edge")
 
 
 def snap_points(points: DataFrame, edges: DataFrame, key: str, point_id: str, ring_id: str, tolerance: float) -> DataFrame:
-    """Best snap per point: vertices before midpoints before edges, then the nearest."""
+    """Best snap per point: vertices before midpoints before edges, then the nearest, then the lower ring and edge."""
     pairs = box_join(grow(as_points(points), tolerance), edges, key)
     px, py = F.col("l.x"), F.col("l.y")
     ax, ay, bx, by = (F.col(f"r.{c}") for c in ("ax", "ay", "bx", "by"))
@@ -161,7 +161,7 @@ def snap_points(points: DataFrame, edges: DataFrame, key: str, point_id: str, ri
     foot = G.segment_foot(px, py, ax, ay, bx, by)
     pairs = pairs.withColumn("_f", foot)
     option = lambda kind, x, y, d, ok: F.when(ok & (d <= tolerance), F.struct(
-        F.lit(kind).alias("kind"), d.alias("d"), F.col(f"r.{ring_id}").alias("ring"), F.col("r.edge").alias("edge"),
+        F.lit(kind).alias("kind"), F.round(d, 9).alias("d"), F.col(f"r.{ring_id}").alias("ring"), F.col("r.edge").alias("edge"),
         x.alias("x"), y.alias("y")))
     t = F.col("_f.t")
     options = F.array_compact(F.array(
