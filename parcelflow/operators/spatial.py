@@ -10,7 +10,9 @@ join key, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelflow.functions import geometry as G
 from parcelflow.operators.grouped import first_rows
@@ -41,15 +43,20 @@ def _file_in_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_cx", F.explode(span("bx0", "bx1"))).withColumn("_cy", F.explode(span("by0", "by1")))
 
 
-def _levels_of(rows: DataFrame) -> Column:
-    """The levels in use: a few integers, read as a scalar sub-query."""
-    return rows.select(_level().alias("l")).agg(F.array_sort(F.collect_set("l"))).scalar()
+def _levels_of(rows: DataFrame) -> list[int]:
+    """The levels in use, found by a job of its own over the box columns alone.
+
+    There are a few of them at most (one per power of two between the smallest and the largest
+    box), and as literals they keep the join's plan free of a second copy of its input.
+    """
+    return sorted(r.l for r in rows.select(_level().alias("l")).distinct().collect())
 
 
 def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool) -> DataFrame:
     """``filed`` at its own level against ``lookup`` at that level (or only above its own level)."""
-    wanted = F.filter("_used", lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
-    probes = lookup.withColumn("_own", _level()).withColumn("_used", _levels_of(filed)).withColumn("_level", F.explode(wanted))
+    used = F.array(*[F.lit(v) for v in _levels_of(filed)]).cast("array<int>")
+    wanted = F.filter(used, lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
+    probes = lookup.withColumn("_own", _level()).withColumn("_level", F.explode(wanted))
     # Columns keep their own names until after the join, so Catalyst prunes those nobody reads.
     tagged = lambda df, tag, names: df.select(key, "_level", "_cx", "_cy", *[F.col(c).alias(tag + c) for c in names])
     a = tagged(_file_in_cells(filed.withColumn("_level", _level())), "_a_", filed.columns)
@@ -120,17 +127,18 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     stats = points.groupBy(key).agg(
         F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     spacing = F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1.0)) / F.col("n"))
-    reach = queries.agg(F.max(F.abs("x")) + F.max(F.abs("y"))).scalar() + points.agg(F.max(F.abs("x")) + F.max(F.abs("y"))).scalar()
-    low = stats.agg(F.floor(F.log2(F.min(spacing))).cast("int")).scalar()
-    top = F.ceil(F.log2(F.greatest(reach, F.lit(1.0)))).cast("int") + 1
-    ladder = F.sequence(F.greatest(low, top - 24), top)
+    span = lambda df: df.agg(F.coalesce(F.max(F.abs("x")) + F.max(F.abs("y")), F.lit(0.0)).alias("m")).first().m
+    reach = span(queries) + span(points)
+    low = stats.agg(F.floor(F.log2(F.min(spacing))).cast("int").alias("l")).first().l or 0
+    top = math.ceil(math.log2(max(reach, 1.0))) + 1
+    ladder = F.array(*[F.lit(v) for v in range(max(low, top - 24), top + 1)])
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lv")))
     counts = points.select(key, "x", "y", F.explode(ladder).alias("_lv")).groupBy(
         key, "_lv", cell("x").alias("_cx"), cell("y").alias("_cy")).agg(F.count("*").alias("_n"))
     own = queries.select(key, query_id, "x", "y", F.explode(ladder).alias("_lv")).select(
         key, query_id, "_lv", cell("x").alias("_cx"), cell("y").alias("_cy"))
     level = own.join(counts.where(F.col("_n") >= k), [key, "_lv", "_cx", "_cy"]).groupBy(key, query_id).agg(F.min("_lv").alias("_lv"))
-    bound = F.coalesce(F.pow(F.lit(2.0), F.col("_lv")) * 1.4142135623731, 2 * reach)
+    bound = F.coalesce(F.pow(F.lit(2.0), F.col("_lv")) * 1.4142135623731, F.lit(2 * reach))
     if max_distance:
         bound = F.least(bound, F.col(max_distance))
     sized = queries.join(level, [key, query_id], "left").withColumn("_r", bound * 1.0000001)
