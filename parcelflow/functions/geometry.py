@@ -115,16 +115,19 @@ def _cross(ax, ay, bx, by, px, py):
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule; points on the boundary may fall on either side."""
-
+def _inside(x: Column, y: Column, sides: Column) -> Column:
     def flip(inside: Column, e: Column) -> Column:
         spans = (e["ay"] > y) != (e["by"] > y)
         rise = F.nullif(e["by"] - e["ay"], F.lit(0.0))
         crosses = x < (e["bx"] - e["ax"]) * (y - e["ay"]) / rise + e["ax"]
         return F.when(spans & crosses, ~inside).otherwise(inside)
 
-    return F.aggregate(edges(ring), F.lit(False), flip)
+    return F.aggregate(sides, F.lit(False), flip)
+
+
+def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd rule; points on the boundary may fall on either side."""
+    return _inside(x, y, edges(ring))
 
 
 def segment_foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -137,6 +140,16 @@ def segment_foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by:
     return F.struct(F.hypot(px - x, py - y).alias("d"), t.alias("t"), x.alias("x"), y.alias("y"))
 
 
+def foot_inside(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, tolerance: float) -> Column:
+    """Parameter of the point's foot when it lies on the open segment, else null. Plain arithmetic, no struct."""
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = ((px - ax) * dx + (py - ay) * dy) / F.nullif(length, F.lit(0.0))
+    off = (px - ax) * dy - (py - ay) * dx
+    near = off * off <= length * (tolerance * tolerance)
+    return F.when(near & (t >= 1e-6) & (t <= 1 - 1e-6), t)
+
+
 def point_edge_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.array_min(F.transform(edges(ring), lambda e: segment_foot(x, y, e["ax"], e["ay"], e["bx"], e["by"])["d"]))
 
@@ -325,10 +338,16 @@ def drop_repeats(ring: Column, eps: float = 1e-6) -> Column:
 
 def ring_gap(a: Column, b: Column) -> Column:
     """Distance between two rings: 0 when one covers a vertex of the other or their edges cross."""
-    vertex_gap = lambda ring, other: F.array_min(F.transform(ring, lambda p: point_edge_distance(p["x"], p["y"], other)))
-    inside = F.exists(a, lambda p: point_in_ring(p["x"], p["y"], b)) | F.exists(b, lambda p: point_in_ring(p["x"], p["y"], a))
-    crossing = F.exists(edges(a), lambda e: F.exists(edges(b), lambda f: segments_cross(e, f)))
-    return F.when(inside | crossing, F.lit(0.0)).otherwise(F.least(vertex_gap(a, b), vertex_gap(b, a)))
+    def vertex_gap(ring: Column, sides: Column) -> Column:
+        to_side = lambda p: F.array_min(F.transform(sides, lambda e: segment_foot(p["x"], p["y"], e["ax"], e["ay"], e["bx"], e["by"])["d"]))
+        return F.array_min(F.transform(ring, to_side))
+
+    def measure(ea: Column, eb: Column) -> Column:
+        inside = F.exists(a, lambda p: _inside(p["x"], p["y"], eb)) | F.exists(b, lambda p: _inside(p["x"], p["y"], ea))
+        crossing = F.exists(ea, lambda e: F.exists(eb, lambda f: segments_cross(e, f)))
+        return F.when(inside | crossing, F.lit(0.0)).otherwise(F.least(vertex_gap(a, eb), vertex_gap(b, ea)))
+
+    return bind(edges(a), lambda ea: bind(edges(b), lambda eb: measure(ea, eb)))
 
 
 def segments_cross(e: Column, f: Column) -> Column:
@@ -343,11 +362,12 @@ def crossing_params(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     """Parameters of the proper crossing of a→b and c→d, null when they do not cross inside."""
     r1, r2, s1, s2 = bx - ax, by - ay, dx - cx, dy - cy
     den = r1 * s2 - r2 * s1
-    safe = F.when(F.abs(den) >= 1e-12, den)
-    t = ((cx - ax) * s2 - (cy - ay) * s1) / safe
-    u = ((cx - ax) * r2 - (cy - ay) * r1) / safe
-    inside = t.between(1e-9, 1 - 1e-9) & u.between(1e-9, 1 - 1e-9)
-    return F.when(inside, F.struct(t.alias("t"), u.alias("u"), (ax + r1 * t).alias("x"), (ay + r2 * t).alias("y")))
+    tn, un = (cx - ax) * s2 - (cy - ay) * s1, (cx - ax) * r2 - (cy - ay) * r1
+    # The tests multiply by |den| instead of dividing, so most pairs end at the first comparison.
+    within = lambda v: (v * F.signum(den) >= F.abs(den) * 1e-9) & (v * F.signum(den) <= F.abs(den) * (1 - 1e-9))
+    hit = (F.abs(den) >= 1e-12) & within(tn) & within(un)
+    t = tn / F.nullif(den, F.lit(0.0))
+    return F.when(hit, F.struct(t.alias("t"), (un / F.nullif(den, F.lit(0.0))).alias("u"), (ax + r1 * t).alias("x"), (ay + r2 * t).alias("y")))
 
 
 def bezier_steps(c: list[Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def bind(value: Column, body) -> Column:
@@ -23,3 +23,13 @@ def once(fn):
         return bind(value, lambda v: fn(v, *args, **kwargs))
 
     return wrapped
+
+
+def with_computed(df: DataFrame, name: str, value: Column, keep=None) -> DataFrame:
+    """Adds a costly column that is computed exactly once per row; ``keep(value)`` filters on it.
+
+    A filter on an ordinary column is pushed below its projection together with a copy of the
+    expression. A generator is a boundary for that.
+    """
+    holder = F.array(value)
+    return df.withColumn(name, F.explode(holder if keep is None else F.filter(holder, keep)))

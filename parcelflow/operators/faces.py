@@ -48,9 +48,8 @@ def noded_edges(segments: DataFrame, key: str, tolerance: float = 1e-6) -> DataF
     pairs = box_join(boxed, boxed, key)
     ends = [[F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by")] for s in ("l", "r")]
     crossing = G.crossing_params(*ends[0], *ends[1])["t"]
-    touch = lambda x, y: G.segment_foot(x, y, *ends[0])
-    inner = lambda f: F.when((f["d"] <= tolerance) & f["t"].between(1e-6, 1 - 1e-6), f["t"])
-    cuts = F.array_compact(F.array(crossing, inner(touch(ends[1][0], ends[1][1])), inner(touch(ends[1][2], ends[1][3]))))
+    touch = lambda x, y: G.foot_inside(x, y, *ends[0], tolerance)
+    cuts = F.array_compact(F.array(crossing, touch(ends[1][0], ends[1][1]), touch(ends[1][2], ends[1][3])))
     ident = [key, "ax", "ay", "bx", "by"]
     found = pairs.select(*[F.col(f"l.{c}").alias(c) for c in ident], F.explode(cuts).alias("t"))
     marks = once.select(*ident, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")).unionByName(found)

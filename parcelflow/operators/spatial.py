@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelflow.functions import geometry as G
+from parcelflow.functions.let import bind, with_computed
 from parcelflow.operators.grouped import first_rows
 
 MIN_LEVEL = -20
@@ -91,7 +92,7 @@ def rings_within(left: DataFrame, right: DataFrame, key: str, distance: float, n
     pairs = box_join(grow(left, distance), right, key)
     if not_self is not None:
         pairs = pairs.where(not_self)
-    return pairs.withColumn("gap", G.ring_gap(F.col("l.ring"), F.col("r.ring"))).where(F.col("gap") <= distance)
+    return with_computed(pairs, "gap", G.ring_gap(F.col("l.ring"), F.col("r.ring")), lambda g: g <= distance)
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | None = None) -> DataFrame:
@@ -103,15 +104,16 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | Non
     pairs = box_join(left, right, key)
     if not_self is not None:
         pairs = pairs.where(not_self)
-    a, b = G.counter_clockwise(F.col("l.ring")), G.counter_clockwise(F.col("r.ring"))
-    pairs = pairs.withColumns({"_a": a, "_b": b}).withColumns({"_ca": G.is_convex(F.col("_a")), "_cb": G.is_convex(F.col("_b"))})
-    clipped = F.when(F.col("_cb"), G.clip_convex(F.col("_a"), F.col("_b"))).when(
-        F.col("_ca"), G.clip_convex(F.col("_b"), F.col("_a")))
-    pairs = pairs.withColumn("_clip", clipped).withColumn(
-        "inter_area", F.when(F.size("_clip") >= 3, G.area(F.col("_clip"))).when(F.col("_clip").isNotNull(), 0.0))
+    def common(a: Column, b: Column) -> Column:
+        exact_b = G.is_convex(b)
+        clipped = F.when(exact_b, G.clip_convex(a, b)).when(G.is_convex(a), G.clip_convex(b, a))
+        return bind(clipped, lambda c: F.when(F.size(c) >= 3, G.area(c)).when(c.isNotNull(), F.lit(0.0)))
+
+    shared = bind(G.counter_clockwise(F.col("l.ring")), lambda a: bind(G.counter_clockwise(F.col("r.ring")), lambda b: common(a, b)))
+    pairs = with_computed(pairs, "inter_area", shared)
     la, ra = F.col("l.area_px"), F.col("r.area_px")
     return pairs.select(
-        "l", "r", "inter_area", (F.col("_ca") | F.col("_cb")).alias("exact"),
+        "l", "r", "inter_area", F.col("inter_area").isNotNull().alias("exact"),
         (F.col("inter_area") / F.greatest(F.lit(1.0), F.least(la, ra))).alias("ratio_min"),
         (F.col("inter_area") / F.nullif(la, F.lit(0.0))).alias("ratio_left"))
 
