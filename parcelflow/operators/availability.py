@@ -24,32 +24,40 @@ def request_digest(unit: Column, status: Column, expected: Column, event: Column
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256)
 
 
-def _chunk_effects(rows: pd.DataFrame) -> pd.DataFrame:
-    """What a run of requests does to the revision, for every revision it could start from.
+def _chunk_effects(batches):
+    """What each run of requests does to the revision, for every revision it could start from.
 
-    Read backwards: a request that expects ``e`` sends a unit at ``e`` to wherever ``e + 1`` ends up.
-    Revisions that are not listed pass through unchanged.
+    The rows of a run come latest first: a request that expects ``e`` sends a unit at ``e`` to wherever
+    ``e + 1`` ends up. Revisions that are not listed pass through unchanged.
     """
-    ordered = rows.sort_values("seq", ascending=False)
-    ends: dict[int, int] = {}
-    for expected in ordered["expected_revision"]:
-        ends[expected] = ends.get(expected + 1, expected + 1)
-    first = rows.iloc[0]
-    return pd.DataFrame({"unit_id": first["unit_id"], "chunk": first["chunk"],
-                         "starts": [list(ends)], "finals": [list(ends.values())]})
-
-
-def _chunk_replay(rows: pd.DataFrame) -> pd.DataFrame:
+    run, ends = None, {}
+    for batch in batches:
+        out = []
+        for unit, chunk, expected in zip(batch["unit_id"].tolist(), batch["chunk"].tolist(), batch["expected_revision"].tolist()):
+            if (unit, chunk) != run:
+                if run is not None:
+                    out.append((*run, list(ends), list(ends.values())))
+                run, ends = (unit, chunk), {}
+            ends[expected] = ends.get(expected + 1, expected + 1)
+        yield pd.DataFrame(out, columns=["unit_id", "chunk", "starts", "finals"])
+    if run is not None:
+        yield pd.DataFrame([(*run, list(ends), list(ends.values()))], columns=["unit_id", "chunk", "starts", "finals"])
+
+
+def _chunk_replay(batches):
     """Outcome of every request of a run, given the revision the unit has at its start."""
-    ordered = rows.sort_values("seq")
-    revision = int(ordered["revision_in"].iloc[0])
-    accepted, after = [], []
-    for expected in ordered["expected_revision"]:
-        ok = expected == revision
-        revision += int(ok)
-        accepted.append(ok)
-        after.append(revision)
-    return pd.DataFrame({"seq": ordered["seq"], "accepted": accepted, "revision": after})
+    run, revision = None, 0
+    for batch in batches:
+        accepted, after = [], []
+        for unit, chunk, expected, start in zip(batch["unit_id"].tolist(), batch["chunk"].tolist(),
+                                                batch["expected_revision"].tolist(), batch["revision_in"].tolist()):
+            if (unit, chunk) != run:
+                run, revision = (unit, chunk), start
+            ok = expected == revision
+            revision += ok
+            accepted.append(ok)
+            after.append(revision)
+        yield pd.DataFrame({"seq": batch["seq"], "unit_id": batch["unit_id"], "accepted": accepted, "revision": after})
 
 
 def _run_units(open_requests: DataFrame, units: DataFrame) -> DataFrame:
@@ -59,8 +67,9 @@ def _run_units(open_requests: DataFrame, units: DataFrame) -> DataFrame:
     unit (one small row per chunk), which gives every chunk its starting revision; then all
     chunks run at the same time. A unit with most of the traffic is spread like any other.
     """
+    run = ["unit_id", "chunk"]
     rows = open_requests.select("unit_id", "seq", "expected_revision").withColumn("chunk", F.floor(F.col("seq") / CHUNK_ROWS))
-    effects = rows.groupBy("unit_id", "chunk").applyInPandas(
+    effects = rows.repartition(*run).sortWithinPartitions(*run, F.col("seq").desc()).select(*run, "expected_revision").mapInPandas(
         _chunk_effects, "unit_id bigint, chunk bigint, starts array<bigint>, finals array<bigint>")
     listed = effects.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "starts", "finals"))).alias("fx"))
     start = F.coalesce("revision", F.lit(0)).cast("bigint")
@@ -74,8 +83,9 @@ def _run_units(open_requests: DataFrame, units: DataFrame) -> DataFrame:
         "states", F.aggregate("fx", F.array(start), advance))
     inputs = states.select("unit_id", F.posexplode("fx").alias("i", "f"), "states").select(
         "unit_id", F.col("f.chunk").alias("chunk"), F.get("states", F.col("i")).alias("revision_in"))
-    ready = rows.join(inputs, ["unit_id", "chunk"])
-    return ready.groupBy("unit_id", "chunk").applyInPandas(_chunk_replay, "seq bigint, accepted boolean, revision bigint")
+    ready = rows.join(inputs, run).repartition(*run).sortWithinPartitions(*run, "seq")
+    return ready.select("seq", *run, "expected_revision", "revision_in").mapInPandas(
+        _chunk_replay, "seq bigint, unit_id bigint, accepted boolean, revision bigint")
 
 
 def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame | None = None) -> DataFrame:
@@ -100,15 +110,24 @@ def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame |
         judged = judged.withColumn("_old", F.lit(None).cast("string"))
     fresh = cut(judged.where(F.col("_old").isNull()).drop("_old"))
     winners = cut(fresh.groupBy(*ident).agg(F.min("seq").alias("win")).limit(0))
+    runs, stale_units = None, None
     while True:
         guess = fresh.join(winners, ident, "left")
+        if stale_units is not None:
+            guess = guess.join(stale_units, "unit_id", "left_semi")
         open_rows = guess.where(F.col("win").isNull() | (F.col("seq") <= F.col("win")))
-        runs = cut(_run_units(open_rows, units))
+        rerun = _run_units(open_rows, units)
+        if runs is not None:
+            # Units whose event ids kept their winners cannot come out differently.
+            rerun = rerun.unionByName(runs.join(stale_units, "unit_id", "left_anti"))
+        runs = cut(rerun)
         found = cut(fresh.join(runs.where("accepted").select("seq"), "seq", "left_semi").groupBy(*ident).agg(F.min("seq").alias("win")))
-        same = found.join(winners.withColumnRenamed("win", "_w"), ident, "full").where(~F.col("win").eqNullSafe(F.col("_w"))).isEmpty()
+        moved = found.join(winners.withColumnRenamed("win", "_w"), ident, "full").where(~F.col("win").eqNullSafe(F.col("_w")))
+        stale_units = cut(fresh.join(moved.select(*ident), ident, "left_semi").select("unit_id").distinct())
         winners = found
-        if same:
+        if stale_units.isEmpty():
             break
+    runs = runs.drop("unit_id")
     digests = fresh.join(winners.select(F.col("win").alias("seq")), "seq", "left_semi").select(*ident, F.col("digest").alias("_won"))
     decided = fresh.join(winners, ident, "left").join(runs, "seq", "left").join(digests, ident, "left")
     outcome = (F.when(F.col("seq") > F.col("win"), F.when(F.col("digest") == F.col("_won"), "replayed").otherwise("conflict"))
