@@ -13,7 +13,7 @@ from parcelflow.adapters import with_shape
 from parcelflow.functions import geometry as G
 from parcelflow.functions.let import once
 from parcelflow.operators.grouped import pick_row
-from parcelflow.operators.spatial import box_join, points_in_rings
+from parcelflow.operators.spatial import as_points, box_join, grow, points_in_rings
 from parcelflow.session import cut
 
 NODE_SCALE = 1_000_000
@@ -147,16 +147,32 @@ def trace_faces(segments: DataFrame, key: str, min_area: float = 1e-6, max_area:
 WELD_STEPS = (0.25, 0.6, 1.2)
 
 
+def welded_sides(rings: DataFrame, key: str, ring_id: str) -> DataFrame:
+    """Sides of the rings with every vertex moved to the first vertex within the weld distance, for
+    each rung of the ladder. ``mesh`` = (key, rank)."""
+    ladder = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("eps")) for i, e in enumerate(WELD_STEPS)])
+    mesh = F.struct(F.col(key).alias("sheet"), F.col("_s.rank").alias("rank")).alias("mesh")
+    corners = rings.select(key, ring_id, F.posexplode("ring").alias("i", "p")).groupBy(key, F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(
+        F.min(F.struct(F.col(ring_id).alias("r"), "i")).alias("ord"))
+    corners = cut(corners.withColumn("_s", F.explode(ladder)).select(mesh, "x", "y", "ord", F.col("_s.eps").alias("eps")))
+    near = box_join(grow(as_points(corners), F.col("eps")), as_points(corners.drop("eps")), "mesh")
+    moved = near.groupBy(F.col("l.mesh").alias("mesh"), F.col("l.x").alias("x"), F.col("l.y").alias("y")).agg(
+        F.min(F.struct("r.ord", "r.x", "r.y")).alias("n")).select("mesh", "x", "y", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
+    moved = cut(moved)
+    sides = rings.select(key, F.explode(G.edges(F.col("ring"))).alias("e"), ladder.alias("_l")).select(key, "e.*", F.explode("_l").alias("_s")).select(mesh, "ax", "ay", "bx", "by")
+    at = lambda end: moved.select("mesh", F.col("x").alias(end + "x"), F.col("y").alias(end + "y"), F.col("nx").alias(f"_{end}x"), F.col("ny").alias(f"_{end}y"))
+    joined = sides.join(at("a"), ["mesh", "ax", "ay"]).join(at("b"), ["mesh", "bx", "by"])
+    return joined.select("mesh", F.col("_ax").alias("ax"), F.col("_ay").alias("ay"), F.col("_bx").alias("bx"), F.col("_by").alias("by"))
+
+
 def merge_adjacent(rings: DataFrame, key: str, ring_id: str) -> DataFrame:
     """Dissolves the rings of each ``key`` into one outline, or tells why not.
 
-    The sides are welded to a grid and cut where they meet; the outline is the cycle around the
+    Vertices are welded and the sides cut where they meet; the outline is the cycle around the
     whole. A merge stands if there is one outline and its area is at least 0.999 of the largest
     ring and at most 1.003 of the sum. The finest weld that works is used.
     """
-    sides = rings.select(key, F.explode(G.edges(F.col("ring"))).alias("e")).select(key, "e.*")
-    mesh = meshes(sides, key, WELD_STEPS, 0.0)
-    cycles = face_cycles(mesh, "mesh", prune=False)
+    cycles = face_cycles(welded_sides(rings, key, ring_id), "mesh", prune=False)
     outlines = cut(cycle_areas(cycles, "mesh").where(F.col("cycle_area") < 0))
     sizes = rings.groupBy(key).agg(F.count("*").alias("members"), F.sum("area_px").alias("_sum"), F.max("area_px").alias("_max"), F.min(ring_id).alias("kept_id"))
     per = outlines.groupBy("mesh").agg(F.count("*").alias("_n"), F.sum(-F.col("cycle_area")).alias("area"), F.min("face").alias("face"))
