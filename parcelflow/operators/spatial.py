@@ -132,8 +132,10 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     span = lambda df: df.agg(F.coalesce(F.max(F.abs("x")) + F.max(F.abs("y")), F.lit(0.0)).alias("m")).first().m
     reach = span(queries) + span(points)
     low = stats.agg(F.floor(F.log2(F.min(spacing))).cast("int").alias("l")).first().l or 0
-    top = math.ceil(math.log2(max(reach, 1.0))) + 1
-    ladder = F.array(*[F.lit(v) for v in range(max(low, top - 24), top + 1)])
+    # A given maximum distance makes coarser levels pointless: they could not tighten the bound.
+    farthest = queries.agg(F.max(max_distance).alias("m")).first().m if max_distance else reach
+    top = math.ceil(math.log2(max(min(reach, farthest or reach), 1.0))) + 1
+    ladder = F.array(*[F.lit(v) for v in range(min(max(low, top - 24), top), top + 1)])
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lv")))
     counts = points.select(key, "x", "y", F.explode(ladder).alias("_lv")).groupBy(
         key, "_lv", cell("x").alias("_cx"), cell("y").alias("_cy")).agg(F.count("*").alias("_n"))
@@ -220,14 +222,19 @@ def neighbours(rings: DataFrame, key: str, ring_id: str) -> DataFrame:
     reach = F.greatest((F.col("uhi") - F.col("ulo")) * 2.5, F.col("vhi") - F.col("vlo"), F.lit(4.0))
     pairs = box_join(grow(axes.withColumn("reach", reach), F.col("reach")), rings, key).where(
         F.col(f"l.{ring_id}") != F.col(f"r.{ring_id}"))
-    pairs = pairs.withColumn("_qu", project(F.col("r.ring"), F.col("l.ux"), F.col("l.uy"))).withColumn(
-        "_qv", project(F.col("r.ring"), -F.col("l.uy"), F.col("l.ux"))).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
-    shared = F.least("l.vhi", "_qv.hi") - F.greatest("l.vlo", "_qv.lo")
-    smaller = F.least(F.col("l.vhi") - F.col("l.vlo"), F.col("_qv.hi") - F.col("_qv.lo"))
-    ahead = ((F.col("_qu.lo") + F.col("_qu.hi")) - (F.col("l.ulo") + F.col("l.uhi"))) * F.col("sign") > 0
-    gap = F.when(F.col("sign") > 0, F.col("_qu.lo") - F.col("l.uhi")).otherwise(F.col("l.ulo") - F.col("_qu.hi"))
-    edge = F.when(F.col("sign") > 0, F.col("_qu.lo")).otherwise(F.col("_qu.hi"))
-    kept = pairs.where((shared >= smaller * 0.35) & ahead).withColumn("gap", gap).where(F.col("gap") <= F.col("l.reach"))
+    extents = F.struct(project(F.col("r.ring"), F.col("l.ux"), F.col("l.uy")).alias("u"), project(F.col("r.ring"), -F.col("l.uy"), F.col("l.ux")).alias("v"))
+
+    def same_row(q: Column) -> Column:
+        shared = F.least("l.vhi", q["v"]["hi"]) - F.greatest("l.vlo", q["v"]["lo"])
+        return shared >= F.least(F.col("l.vhi") - F.col("l.vlo"), q["v"]["hi"] - q["v"]["lo"]) * 0.35
+
+    pairs = with_computed(pairs, "_q", extents, same_row)
+    lo, hi = F.col("_q.u.lo"), F.col("_q.u.hi")
+    side = F.signum((lo + hi) - (F.col("l.ulo") + F.col("l.uhi"))).cast("int")
+    pairs = pairs.withColumn("sign", side).where(F.col("sign") != 0)
+    gap = F.when(F.col("sign") > 0, lo - F.col("l.uhi")).otherwise(F.col("l.ulo") - hi)
+    edge = F.when(F.col("sign") > 0, lo).otherwise(hi)
+    kept = pairs.withColumn("gap", gap).where(F.col("gap") <= F.col("l.reach"))
     best = F.struct(F.abs("gap").alias("score"), F.col(f"r.{ring_id}").alias("other"), F.col("gap").alias("gap"), edge.alias("edge"))
     return kept.groupBy(F.col(f"l.{key}").alias(key), F.col(f"l.{ring_id}").alias(ring_id), F.col("l.axis").alias("axis"), "sign").agg(
         F.min(best).alias("b")).select(key, ring_id, "axis", "sign", "b.other", "b.gap", "b.edge")
