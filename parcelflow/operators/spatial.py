@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelflow.functions import geometry as G
 from parcelflow.functions.let import bind, with_computed
 from parcelflow.operators.grouped import first_rows
+from parcelflow.session import cut
 
 MIN_LEVEL = -20
 BOX = ("bx0", "by0", "bx1", "by1")
@@ -126,6 +127,8 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     cell holds ``k`` points bounds their distance by the cell diagonal, and only points within
     that bound are compared. A query in a group with fewer than ``k`` points sees all of them.
     """
+    # Both sides are read several times below.
+    queries, points = cut(queries), cut(points)
     stats = points.groupBy(key).agg(
         F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
     spacing = F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1.0)) / F.col("n"))
@@ -145,7 +148,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     bound = F.coalesce(F.pow(F.lit(2.0), F.col("_lv")) * 1.4142135623731, F.lit(2 * reach))
     if max_distance:
         bound = F.least(bound, F.col(max_distance))
-    sized = queries.join(level, [key, query_id], "left").withColumn("_r", bound * 1.0000001)
+    sized = cut(queries.join(level, [key, query_id], "left").withColumn("_r", bound * 1.0000001))
     around = grow(as_points(sized), F.col("_r"))
     pairs = box_join(around, as_points(points), key).withColumn(
         "dist", F.round(F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")), 9)).where(F.col("dist") <= F.col("l._r"))
