@@ -9,9 +9,6 @@ from parcelflow.plans.q_lots import PRINTED
 from parcelflow.plans.q_tenancy import NOW, now
 from parcelflow.plans.registry import query
 
-RECT = "list_value({{'x': x0::double, 'y': y0::double}})"
-
-
 @query("fn_parse_points", """
 SELECT lot_id, 4 AS n, cast(x0 + (x0 + 20) * 2 + x0 AS double) AS sum_x, cast(y0 * 2 + (y0 + 15) * 2 AS double) AS sum_y, '[' || x0 || '.0,' || y0 || '.0]' AS first_point FROM lots""")
 def _(t):

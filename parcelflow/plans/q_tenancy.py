@@ -24,9 +24,6 @@ SELECT u.user_id, platform, CASE WHEN platform THEN (SELECT count(*) FROM projec
   CASE WHEN platform THEN (SELECT count(*) FROM projects WHERE status = 'published') ELSE (SELECT count(*) FROM v WHERE v.user_id = u.user_id AND status = 'published') END AS published FROM u"""
 
 
-_MEASURES = {"projects": F.lit, "published": None}
-
-
 def _project_measures():
     return {"projects": F.lit(1), "published": (F.col("status") == "published").cast("int")}
 
@@ -182,10 +179,9 @@ def _(t):
 
 
 @query("win_fixed_minute_budget", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY key_id, date_trunc('hour', ts) ORDER BY seq) AS rn FROM key_requests)
-SELECT seq, rn <= 2 AS allowed, cast(CASE WHEN rn > 2 THEN greatest(1, 60 - cast(extract(minute FROM ts) AS int)) END AS int) AS retry_after FROM r""".replace(
-    "date_trunc('hour', ts)", "date_trunc('minute', mts)").replace("extract(minute FROM ts)", "extract(second FROM mts)").replace(
-    "FROM key_requests", "FROM (SELECT seq, key_id, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(cast(epoch_us(ts) / 60 AS bigint) - cast(epoch_us(TIMESTAMP '2024-01-01 00:00:00') / 60 AS bigint)) AS mts FROM key_requests)"))
+WITH f AS (SELECT seq, key_id, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(cast(epoch_us(ts) / 60 AS bigint) - cast(epoch_us(TIMESTAMP '2024-01-01 00:00:00') / 60 AS bigint)) AS mts FROM key_requests),
+r AS (SELECT *, row_number() OVER (PARTITION BY key_id, date_trunc('minute', mts) ORDER BY seq) AS rn FROM f)
+SELECT seq, rn <= 2 AS allowed, cast(CASE WHEN rn > 2 THEN greatest(1, 60 - cast(extract(second FROM mts) AS int)) END AS int) AS retry_after FROM r""")
 def _(t):
     # The log is slowed to one request in a few minutes; at 60 times the pace the budget bites.
     us = F.unix_micros(F.col("ts").cast("timestamp"))
