@@ -39,10 +39,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None, l1: float = 0.0, l2: float = 1e-4,
-                 rounds: int = 200) -> tuple[np.ndarray, float]:
+                 rounds: int = 200, nonnegative: bool = False) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on targets in [0, 1] (accelerated proximal gradient).
 
-    The intercept is not penalised. No rows, or no rows of one kind, give the base rate alone.
+    The intercept is not penalised. ``nonnegative`` weights can only add evidence. No rows, or no rows of one kind, give the base rate alone.
     """
     weight = np.ones(x.count) if weight is None else weight
     total = weight.sum()
@@ -56,7 +56,7 @@ def fit_logistic(x: Sparse, target: np.ndarray, weight: np.ndarray | None = None
     for _ in range(rounds):
         residual = share * (sigmoid(x.dot(wy) + by) - target)
         moved = wy - step * (x.transposed_dot(residual) + l2 * wy)
-        new_w = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+        new_w = np.maximum(moved - step * l1, 0) if nonnegative else np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
         new_b = by - step * residual.sum()
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
         pull = (t - 1) / new_t

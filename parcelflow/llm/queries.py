@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelflow.llm import balltree, sharding, simhash, urls
+from parcelflow.llm import balltree, decontaminate, pii, quality, sharding, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,46 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 @query
 def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.grade_documents(table(spark, folder, "documents"), quality.label_grades(table(spark, folder, "labels")))
+
+
+@query
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TOKENS = """SELECT {key}, [w FOR w IN regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF w <> ''] AS h FROM {table}"""
+ORACLES["op3_decontaminate"] = f"""
+WITH docs AS (SELECT DISTINCT * FROM ({_TOKENS.format(key="doc_id", table="documents")})),
+bench AS (SELECT DISTINCT * FROM ({_TOKENS.format(key="item_id", table="benchmark")})),
+d AS (SELECT row_number() OVER () AS d, * FROM docs),
+b AS (SELECT row_number() OVER () AS b, * FROM bench WHERE len(h) >= 5),
+dw AS (SELECT d, unnest(h) AS w, unnest(range(len(h))) AS p FROM d),
+bw AS (SELECT b, len(h) AS n, unnest(h) AS w, unnest(range(len(h))) AS q FROM b),
+same AS (SELECT d, b, n, p - q AS diagonal, q FROM dw JOIN bw USING (w)),
+busy AS (SELECT d, b, diagonal FROM same GROUP BY ALL HAVING count(*) >= least(11, min(n))),
+counted AS (
+  SELECT d, b, n, count(*) OVER (PARTITION BY d, b, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS m
+  FROM same SEMI JOIN busy USING (d, b, diagonal)),
+best AS (SELECT d, b, max(m) AS m FROM counted WHERE m >= CASE WHEN n >= 13 THEN 11 ELSE n END GROUP BY d, b)
+SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS matched FROM best JOIN d USING (d) JOIN b USING (b) GROUP BY doc_id, item_id
+"""
