@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parcelflow.session import cut
+
 WINDOW, NEEDED, LEAST = 13, 11, 5
 #: Offsets of the tokens that a seed hashes. The last mask is for short items, at their start.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8), (0, 1, 2, 3, 4))
@@ -29,9 +31,8 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 
 def token_hashes(text: Column) -> Column:
     """Hashes of a text's tokens, in order; an empty array if there is none."""
-    plain = F.regexp_replace(F.lower(text), f"^{SEPARATOR}|{SEPARATOR}$", "")
-    words = F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, SEPARATOR))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR)
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _positions(hashes: Column) -> Column:
@@ -83,14 +84,15 @@ def item_seeds(items: DataFrame, id_column: str = "item_id", text: str = "text")
 
 
 def text_seeds(texts: DataFrame, words: Column) -> DataFrame:
-    """seed, key and the tokens around for positions of ``texts`` (key, h) whose seed the filter may hold."""
+    """seed, key and the tokens around for positions of ``texts`` (key, h) whose seed the filter may hold.
+
+    Seeds are generated as rows, so that the test stands once in the generated code: repeated for every
+    mask, it makes a method that the JVM no longer compiles, ten times slower.
+    """
     at = texts.select("key", "h", F.explode(_positions(F.col("h"))).alias("at"))
-    names = [f"s{m}" for m in range(len(MASKS))]
-    seeded = at.select("key", "h", "at", *[_seed(F.col("h"), F.col("at"), m).alias(s) for m, s in enumerate(names)])
-    tested = seeded.select("key", "h", "at", *[F.when(_may_hold(words, F.col(s)), F.col(s)).alias(s) for s in names])
-    passed = tested.where(" or ".join(f"{s} is not null" for s in names))
-    listed = passed.select("key", _around(F.col("h"), F.col("at")).alias("tokens"), F.explode(F.array(*names)).alias("seed"))
-    return listed.where("seed is not null")
+    seeds = F.array(*[_seed(F.col("h"), F.col("at"), m) for m in range(len(MASKS))])
+    passed = at.select("key", "h", "at", F.explode(seeds).alias("seed")).where(_may_hold(words, F.col("seed")))
+    return passed.select("key", "seed", _around(F.col("h"), F.col("at")).alias("tokens"))
 
 
 def _best_window(a: Column, b: Column) -> Column:
@@ -105,7 +107,7 @@ def _best_window(a: Column, b: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """key (MD5 of the text), item_id, matched: the best window of each leaked item in each different text."""
-    seeds = item_seeds(items, item_id, item_text)
+    seeds = cut(item_seeds(items, item_id, item_text))
     words = _filter_words(seeds).scalar()
     body = F.col(text).cast("string")
     texts = docs.select(F.md5(F.encode(body, "UTF-8")).alias("key"), token_hashes(body).alias("h"))
