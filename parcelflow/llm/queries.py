@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelflow.llm import balltree, decontaminate, pii, quality, sharding, simhash, toxicity, urls
+from parcelflow.llm import balltree, decontaminate, pieces, pii, quality, sharding, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ counted AS (
 best AS (SELECT d, b, max(m) AS m FROM counted WHERE m >= CASE WHEN n >= 13 THEN 11 ELSE n END GROUP BY d, b)
 SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS matched FROM best JOIN d USING (d) JOIN b USING (b) GROUP BY doc_id, item_id
 """
+
+
+@query
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), k=2)
