@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelflow.llm import balltree, decontaminate, pieces, pii, quality, sharding, simhash, toxicity, urls
+from parcelflow.llm import balltree, decontaminate, licenses, pieces, pii, quality, sharding, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,53 @@ SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS matched FROM best JOIN d USIN
 @query
 def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), k=2)
+
+
+#: Documents as files: a path of source and number blocks; every tenth is the license file of a directory.
+_PATH = """concat(coalesce(source, 'unknown'), CASE
+  WHEN doc_id % 1000 = 0 THEN '/LICENSE'
+  WHEN doc_id % 100 = 0 THEN concat('/k', cast({thousand} AS {text}), '/LICENSE')
+  WHEN doc_id % 10 = 0 THEN concat('/k', cast({thousand} AS {text}), '/h', cast({hundred} AS {text}), '/LICENSE')
+  ELSE concat('/k', cast({thousand} AS {text}), '/h', cast({hundred} AS {text}), '/', cast(doc_id AS {text}), '.txt') END)"""
+
+
+@query
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    path = _PATH.format(thousand="doc_id div 1000", hundred="doc_id div 100", text="string")
+    found = licenses.scan(table(spark, folder, "documents").withColumn("path", F.expr(path)), "doc_id")
+    return found.withColumn("similarity", F.round("similarity", 6)).withColumnRenamed("id", "doc_id")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "[w FOR w IN regexp_split_to_array(" + _LOWER + ", '[^a-z0-9]+') IF w <> '']"
+_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+ORACLES["op4_licenses"] = f"""
+WITH t AS (SELECT col0 AS t, col1 AS name, {_TERMS.format("col2")} AS terms FROM (VALUES {_NOTICES})),
+tt AS (SELECT t, w, count(*) AS n FROM (SELECT t, unnest(terms) AS w FROM t) GROUP BY t, w),
+f AS (SELECT row_number() OVER () AS f, doc_id, {_PATH.format(thousand="doc_id // 1000", hundred="doc_id // 100", text="varchar")} AS path, text FROM documents),
+total AS (SELECT count(*) AS total FROM f),
+lines AS (SELECT f, row_number() OVER () AS l, line FROM (SELECT f, unnest(string_split(text, chr(10))) AS line FROM f)),
+lt AS (SELECT f, l, w, count(*) AS n FROM (SELECT f, l, unnest({_TERMS.format("line")}) AS w FROM lines) GROUP BY f, l, w),
+df AS (SELECT w, count(DISTINCT f) AS df FROM lt WHERE w IN (SELECT w FROM tt) GROUP BY w),
+weights AS (SELECT w, CAST(floor(1000 * (1 + ln((total + 1) / (coalesce(df, 0) + 1)))) AS BIGINT) AS weight
+            FROM (SELECT DISTINCT w FROM tt) LEFT JOIN df USING (w), total),
+other AS (SELECT CAST(floor(1000 * (1 + ln(total + 1))) AS BIGINT) AS weight FROM total),
+tv AS (SELECT t, w, n * weight AS x FROM tt JOIN weights USING (w)),
+tn AS (SELECT t, CAST(sum(x * x) AS DOUBLE) AS norm FROM tv GROUP BY t),
+lv AS (SELECT f, l, w, n * coalesce(weights.weight, other.weight) AS x FROM lt LEFT JOIN weights USING (w), other),
+ln AS (SELECT f, l, CAST(sum(x * x) AS DOUBLE) AS norm FROM lv GROUP BY f, l),
+dots AS (SELECT f, l, t, CAST(sum(lv.x * tv.x) AS DOUBLE) AS dot FROM lv JOIN tv USING (w) GROUP BY f, l, t),
+sims AS (SELECT f, t, max(dot / sqrt(ln.norm * tn.norm)) AS s FROM dots JOIN ln USING (f, l) JOIN tn USING (t) GROUP BY f, t),
+own AS (SELECT f, name AS own, s FROM sims JOIN t USING (t) WHERE s >= {licenses.THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY f ORDER BY s DESC, t) = 1),
+files AS (SELECT f, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own, s FROM f LEFT JOIN own USING (f)),
+grants AS (SELECT dir AS granted_by, own AS given, s AS given_s FROM files WHERE own IS NOT NULL AND path LIKE '%/LICENSE'
+           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY s DESC, own) = 1),
+nearest AS (SELECT d.dir, granted_by, given, given_s FROM (SELECT DISTINCT dir FROM files WHERE own IS NULL) d JOIN grants
+            ON d.dir = granted_by OR starts_with(d.dir, granted_by || '/')
+            QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(granted_by) DESC) = 1)
+SELECT doc_id, path, coalesce(own, given) AS license, round(CASE WHEN own IS NULL THEN given_s ELSE s END, 6) AS similarity,
+  CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own IS NULL THEN granted_by END AS granted_by
+FROM files LEFT JOIN nearest USING (dir)
+"""
