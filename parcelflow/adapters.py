@@ -84,7 +84,7 @@ SELECT event_id AS seq, user_id AS unit_id, user_id % 25 AS project_id,
   event_id % 4 AS expected_revision, CASE WHEN value > 100 THEN 'crm' ELSE 'erp' END AS source, ts
 FROM {events}"""
 _TEXT["integration_events"] = """
-SELECT event_id, user_id % 25 AS project_id, event_type, ts AS created_at FROM {events}"""
+SELECT event_id, user_id % 25 AS project_id, (user_id + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) % 25 AS organization_id, event_type, ts AS created_at FROM {events}"""
 _TEXT["subscriptions"] = """
 SELECT s_suppkey AS webhook_id, cast(s_nationkey AS bigint) AS project_id, s_suppkey % 9 <> 0 AS active,
   CASE WHEN s_suppkey % 2 = 0 THEN '["purchase","click"]' ELSE '["purchase"]' END AS event_types_json

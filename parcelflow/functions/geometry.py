@@ -318,6 +318,24 @@ def clip_convex(subject: Column, clipper: Column) -> Column:
     return F.aggregate(edges(clipper), start, lambda ring, e: clip_half_plane(ring, e["ax"], e["ay"], e["bx"], e["by"], 1))
 
 
+def common_area(a: Column, b: Column) -> Column:
+    """Area that two simple rings share, both counter-clockwise and of any shape.
+
+    ``b`` is the signed sum of the triangles of its fan; clipping ``a`` by a triangle is exact, so the
+    signed sum of the clipped areas is the common area. A convex ``b`` is clipped against at once.
+    """
+    def piece(ring: Column) -> Column:
+        return bind(clip_convex(a, ring), lambda c: F.when(F.size(c) >= 3, area(c)).otherwise(F.lit(0.0)))
+
+    def fan(ring: Column) -> Column:
+        first = F.get(ring, F.lit(0))
+        triangles = F.transform(F.sequence(F.lit(1), F.size(ring) - 2), lambda i: F.array(first, F.get(ring, i), F.get(ring, i + 1)))
+        signed = lambda t: bind(signed_area(t), lambda s: F.when(s < 0, -piece(F.reverse(t))).when(s > 0, piece(t)).otherwise(F.lit(0.0)))
+        return F.aggregate(F.transform(triangles, signed), F.lit(0.0), lambda total, x: total + x)
+
+    return F.when(F.size(b) < 3, F.lit(0.0)).when(is_convex(b), piece(b)).otherwise(fan(b))
+
+
 @once
 def line_crossings(ring: Column, ax, ay, bx, by) -> Column:
     """How often the boundary changes side of the line, vertices on the line ignored."""

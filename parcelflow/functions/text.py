@@ -243,8 +243,8 @@ def slug_base(name: Column, max_length: int = 64) -> Column:
 
 
 def hmac_sha256(key_hex: Column, message: Column) -> Column:
-    """HMAC-SHA256 as hex, for keys of at most 64 bytes given as hex text."""
-    block = F.rpad(key_hex, 128, "0")
+    """HMAC-SHA256 as hex, for a key given as hex text; a key of more than 64 bytes is hashed first."""
+    block = F.rpad(F.when(F.length(key_hex) > 128, F.sha2(F.unhex(key_hex), 256)).otherwise(key_hex), 128, "0")
 
     def mask(byte: int) -> Column:
         pad = F.lit(format(byte, "02x") * 64)

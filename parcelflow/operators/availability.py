@@ -93,8 +93,8 @@ def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame |
 
     ``requests(seq, project_id, unit_id, system, event_id, status, expected_revision, digest)``;
     ``units(unit_id, revision)`` gives the revisions before (0 when absent); ``recorded(project_id,
-    system, event_id, digest)`` the requests accepted earlier. An event id that was accepted
-    before replays (same digest) or conflicts; otherwise the expected revision must be current.
+    system, event_id, digest, revision)`` the requests accepted earlier. An event id that was accepted
+    before replays (same digest), with the revision recorded then, or conflicts; otherwise the expected revision must be current.
     Rejected requests are not recorded and may be sent again.
 
     Units meet only through event ids. Given a guess of each event id's first accepted request,
@@ -104,11 +104,11 @@ def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame |
     """
     ident = ["project_id", "system", "event_id"]
     base = cut(requests.select("seq", *ident, "unit_id", "status", "expected_revision", "digest"))
-    old = None if recorded is None else recorded.select(*ident, F.col("digest").alias("_old")).dropDuplicates(ident)
+    old = None if recorded is None else recorded.select(*ident, F.col("digest").alias("_old"), F.col("revision").alias("_old_revision")).dropDuplicates(ident)
     judged = base if old is None else base.join(old, ident, "left")
     if old is None:
-        judged = judged.withColumn("_old", F.lit(None).cast("string"))
-    fresh = cut(judged.where(F.col("_old").isNull()).drop("_old"))
+        judged = judged.withColumns({"_old": F.lit(None).cast("string"), "_old_revision": F.lit(None).cast("bigint")})
+    fresh = cut(judged.where(F.col("_old").isNull()).drop("_old", "_old_revision"))
     winners = cut(fresh.groupBy(*ident).agg(F.min("seq").alias("win")).limit(0))
     runs, stale_units = None, None
     while True:
@@ -128,16 +128,17 @@ def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame |
         if stale_units.isEmpty():
             break
     runs = runs.drop("unit_id")
-    digests = fresh.join(winners.select(F.col("win").alias("seq")), "seq", "left_semi").select(*ident, F.col("digest").alias("_won"))
+    digests = fresh.join(winners.select(F.col("win").alias("seq")), "seq", "left_semi").join(
+        runs.select("seq", F.col("revision").alias("_won_revision")), "seq").select(*ident, F.col("digest").alias("_won"), "_won_revision")
     decided = fresh.join(winners, ident, "left").join(runs, "seq", "left").join(digests, ident, "left")
     outcome = (F.when(F.col("seq") > F.col("win"), F.when(F.col("digest") == F.col("_won"), "replayed").otherwise("conflict"))
                .when(F.col("accepted"), "applied").otherwise("stale"))
     columns = [*base.columns, "outcome", "revision"]
     new = decided.withColumn("outcome", outcome).withColumn(
-        "revision", F.when(F.col("outcome") == "applied", F.col("revision"))).select(*columns)
+        "revision", F.when(F.col("outcome") == "applied", F.col("revision")).when(F.col("outcome") == "replayed", F.col("_won_revision"))).select(*columns)
     earlier = judged.where(F.col("_old").isNotNull()).withColumn(
         "outcome", F.when(F.col("digest") == F.col("_old"), "replayed").otherwise("conflict")).withColumn(
-        "revision", F.lit(None).cast("bigint")).select(*columns)
+        "revision", F.when(F.col("outcome") == "replayed", F.col("_old_revision"))).select(*columns)
     return new.unionByName(earlier)
 
 

@@ -99,22 +99,21 @@ def rings_within(left: DataFrame, right: DataFrame, key: str, distance: float, n
 def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | None = None) -> DataFrame:
     """Pairs with a common area: intersection, ratio to the smaller ring and to the left ring.
 
-    Clipping needs one convex ring of the two. When neither is convex the areas stay null and
-    ``exact`` is false, for the caller to decide.
+    Exact for simple rings of any shape.
     """
     pairs = box_join(left, right, key)
     if not_self is not None:
         pairs = pairs.where(not_self)
+
     def common(a: Column, b: Column) -> Column:
-        exact_b = G.is_convex(b)
-        clipped = F.when(exact_b, G.clip_convex(a, b)).when(G.is_convex(a), G.clip_convex(b, a))
-        return bind(clipped, lambda c: F.when(F.size(c) >= 3, G.area(c)).when(c.isNotNull(), F.lit(0.0)))
+        # the convex ring of the two, if there is one, does the clipping
+        return F.when(~G.is_convex(b) & G.is_convex(a), G.common_area(b, a)).otherwise(G.common_area(a, b))
 
     shared = bind(G.counter_clockwise(F.col("l.ring")), lambda a: bind(G.counter_clockwise(F.col("r.ring")), lambda b: common(a, b)))
     pairs = with_computed(pairs, "inter_area", shared)
     la, ra = F.col("l.area_px"), F.col("r.area_px")
     return pairs.select(
-        "l", "r", "inter_area", F.col("inter_area").isNotNull().alias("exact"),
+        "l", "r", "inter_area",
         (F.col("inter_area") / F.greatest(F.lit(1.0), F.least(la, ra))).alias("ratio_min"),
         (F.col("inter_area") / F.nullif(la, F.lit(0.0))).alias("ratio_left"))
 

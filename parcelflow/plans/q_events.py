@@ -41,13 +41,14 @@ def _(t):
 WITH RECURSIVE req AS MATERIALIZED (SELECT project_id, seq, unit_id, source || '/' || request_event_id AS ident, expected_revision AS expected, {DIGEST_SQL} AS digest,
     row_number() OVER (PARTITION BY project_id ORDER BY seq) AS n FROM availability_requests),
 walk AS (
-  SELECT project_id, 0::bigint AS n, 0::bigint AS seq, 'none' AS outcome, 0::bigint AS rev, MAP{{}}::MAP(bigint, bigint) AS revs, MAP{{}}::MAP(varchar, varchar) AS seen FROM (SELECT DISTINCT project_id FROM req)
+  SELECT project_id, 0::bigint AS n, 0::bigint AS seq, 'none' AS outcome, 0::bigint AS rev, MAP{{}}::MAP(bigint, bigint) AS revs, MAP{{}}::MAP(varchar, varchar) AS seen, MAP{{}}::MAP(varchar, bigint) AS given FROM (SELECT DISTINCT project_id FROM req)
   UNION ALL
-  SELECT project_id, n, seq, outcome, CASE WHEN outcome = 'applied' THEN cur + 1 END,
+  SELECT project_id, n, seq, outcome, CASE WHEN outcome = 'applied' THEN cur + 1 WHEN outcome = 'replayed' THEN given[ident] END,
     CASE WHEN outcome = 'applied' THEN map_concat(revs, MAP{{unit_id: cur + 1}}) ELSE revs END,
-    CASE WHEN outcome = 'applied' THEN map_concat(seen, MAP{{ident: digest}}) ELSE seen END
+    CASE WHEN outcome = 'applied' THEN map_concat(seen, MAP{{ident: digest}}) ELSE seen END,
+    CASE WHEN outcome = 'applied' THEN map_concat(given, MAP{{ident: cur + 1}}) ELSE given END
   FROM (SELECT *, CASE WHEN old IS NOT NULL THEN CASE WHEN old = digest THEN 'replayed' ELSE 'conflict' END WHEN expected = cur THEN 'applied' ELSE 'stale' END AS outcome
-    FROM (SELECT r.*, w.revs, w.seen, coalesce(w.revs[r.unit_id], 0) AS cur, w.seen[r.ident] AS old FROM walk w JOIN req r ON r.project_id = w.project_id AND r.n = w.n + 1)))
+    FROM (SELECT r.*, w.revs, w.seen, w.given, coalesce(w.revs[r.unit_id], 0) AS cur, w.seen[r.ident] AS old FROM walk w JOIN req r ON r.project_id = w.project_id AND r.n = w.n + 1)))
 SELECT seq, project_id, outcome, rev AS revision FROM walk WHERE n > 0""")
 def _(t):
     return A.apply_requests(change_requests(t), no_units(t)).select("seq", "project_id", "outcome", "revision")
@@ -132,17 +133,18 @@ def _(t):
     return subscription_validity(t).select("webhook_id", "valid")
 
 
-FAN_SQL = """fan AS (SELECT DISTINCT webhook_id, e.event_id FROM subscriptions s JOIN integration_events e ON e.project_id = s.project_id AND contains(event_types_json, '"' || e.event_type || '"'))"""
+FAN_SQL = """fan AS (SELECT DISTINCT webhook_id, e.event_id FROM (SELECT *, CASE WHEN webhook_id % 5 = 4 THEN (webhook_id * 3 + project_id) % 25 ELSE project_id END AS organization_id FROM subscriptions) s
+  JOIN integration_events e ON e.project_id = s.project_id AND e.organization_id = s.organization_id AND contains(event_types_json, '"' || e.event_type || '"'))"""
 
 
 @query("join_cross_fanout", f"WITH {FAN_SQL} SELECT * FROM fan")
 def _(t):
-    return O.fan_out(t.subscriptions, t.integration_events).select("webhook_id", "event_id")
+    return O.fan_out(owned_subscriptions(t), t.integration_events).select("webhook_id", "event_id")
 
 
 @query("join_event_outbox_anti", f"WITH {FAN_SQL} SELECT * FROM fan f WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.webhook_id = f.webhook_id AND d.event_id = f.event_id)")
 def _(t):
-    return O.pending_pairs(t.subscriptions, t.integration_events, t.deliveries).select("webhook_id", "event_id")
+    return O.pending_pairs(owned_subscriptions(t), t.integration_events, t.deliveries).select("webhook_id", "event_id")
 
 
 @query("top_n_per_subscription", f"""
@@ -150,7 +152,7 @@ WITH {FAN_SQL} SELECT webhook_id, event_id, rn FROM (SELECT *, cast(row_number()
   WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.webhook_id = f.webhook_id AND d.event_id = f.event_id)) WHERE rn <= 200""")
 def _(t):
     from parcelflow.operators.grouped import first_rows
-    pairs = O.pending_pairs(t.subscriptions, t.integration_events, t.deliveries).select("webhook_id", "event_id")
+    pairs = O.pending_pairs(owned_subscriptions(t), t.integration_events, t.deliveries).select("webhook_id", "event_id")
     return first_rows(pairs, ["webhook_id"], [F.col("event_id")], O.MATERIALIZE_LIMIT)
 
 
@@ -193,9 +195,9 @@ def _(t):
     return O.settle(held, results, claim_at()).select("delivery_id", "status", "last_http_status", "next_attempt_at")
 
 
-@query("outbox_envelope", """
+@query("outbox_envelope", r"""
 SELECT event_id, '{"id":' || event_id || ',"type":"' || event_type || '","organization_id":' || project_id || ',"project_id":' || project_id || ',"created_at":"' ||
-  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","data":' || props || '}' AS body FROM (SELECT *, user_id % 25 AS project_id FROM events)""")
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","data":' || regexp_replace(props, '\s+', '', 'g') || '}' AS body FROM (SELECT *, user_id % 25 AS project_id FROM events)""")
 def _(t):
     e = t.raw("events").select("event_id", "event_type", (F.col("user_id") % 25).alias("organization_id"), (F.col("user_id") % 25).alias("project_id"),
                                F.col("ts").alias("created_at"), F.col("props").alias("payload_json"))

@@ -61,6 +61,24 @@ def _(t):
     return pairs.select("l.lot_id", F.col("r.lot_id").alias("other"), *[F.round(c, 6).alias(c) for c in ("inter_area", "ratio_min", "ratio_left")])
 
 
+# An L-shaped ring is two rectangles; the common area of two of them is the sum over the rectangles.
+@query("join_overlap_concave", """
+WITH part AS (SELECT 0 AS dx0, 20 AS dx1, 0 AS dy0, 6 AS dy1 UNION ALL SELECT 0, 8, 6, 15),
+p AS (SELECT a.lot_id, b.lot_id AS other, sum(greatest(0, least(a.x0 + 7 + p.dx1, b.x0 + q.dx1) - greatest(a.x0 + 7 + p.dx0, b.x0 + q.dx0))
+    * greatest(0, least(a.y0 + 4 + p.dy1, b.y0 + q.dy1) - greatest(a.y0 + 4 + p.dy0, b.y0 + q.dy0))) AS i
+  FROM lots a JOIN lots b ON a.version_id = b.version_id AND abs(a.x0 + 7 - b.x0) <= 20 AND abs(a.y0 + 4 - b.y0) <= 15, part p, part q GROUP BY 1, 2)
+SELECT lot_id, other, round(i::double, 6) AS inter_area, round(i / 192.0, 6)::double AS ratio_min FROM p WHERE i > 0""")
+def _(t):
+    lots = rect_lots(t)
+    corner = lambda dx, dy: G.point(F.col("bx0") + dx, F.col("by0") + dy)
+    angled = F.array(corner(0.0, 0.0), corner(20.0, 0.0), corner(20.0, 6.0), corner(8.0, 6.0), corner(8.0, 15.0), corner(0.0, 15.0))
+    lots = lots.withColumn("ring", angled).withColumn("area_px", F.lit(192.0))
+    moved = lots.withColumn("ring", G.translate(F.col("ring"), F.lit(7.0), F.lit(4.0))).withColumns(
+        {"bx0": F.col("bx0") + 7, "bx1": F.col("bx1") + 7, "by0": F.col("by0") + 4, "by1": F.col("by1") + 4})
+    pairs = Sp.overlaps(moved, lots, "version_id").where("inter_area > 1e-6")
+    return pairs.select("l.lot_id", F.col("r.lot_id").alias("other"), F.round("inter_area", 6).alias("inter_area"), F.round("ratio_min", 6).alias("ratio_min"))
+
+
 @query("join_neighbour_in_direction", """
 WITH s AS (SELECT 0 AS axis, 1 AS sign, 20 AS sx, 0 AS sy UNION ALL SELECT 0, -1, -20, 0 UNION ALL SELECT 1, 1, 0, 15 UNION ALL SELECT 1, -1, 0, -15)
 SELECT a.lot_id, axis, sign, b.lot_id AS other, 0.0::double AS gap FROM lots a CROSS JOIN s JOIN lots b ON b.version_id = a.version_id AND b.x0 = a.x0 + sx AND b.y0 = a.y0 + sy""")

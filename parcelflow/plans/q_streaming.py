@@ -57,7 +57,8 @@ def _(t):
 WITH {FAN_SQL}, {OWNER_SQL} SELECT f.webhook_id, f.event_id FROM fan f JOIN owned o USING (webhook_id)
 WHERE o.active AND o.valid AND NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.webhook_id = f.webhook_id AND d.event_id = f.event_id)""")
 def _(t):
-    events = J.table_stream(t.spark, t.folder, "events").select("event_id", (F.col("user_id") % 25).alias("project_id"), "event_type", F.col("ts").alias("created_at"))
+    events = J.table_stream(t.spark, t.folder, "events").select("event_id", (F.col("user_id") % 25).alias("project_id"),
+        ((F.col("user_id") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)) % 25).alias("organization_id"), "event_type", F.col("ts").alias("created_at"))
     return J.outbox(t.spark, events, subscription_validity(t), t.deliveries)
 
 

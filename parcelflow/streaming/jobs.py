@@ -49,9 +49,8 @@ class BatchTable:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 16) -> DataFrame:
-    """A given table as a stream of the files ``name*.parquet`` of a folder."""
-    return (spark.readStream.schema(INPUT_TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
+    """A given table as a stream of its files: ``name*.parquet`` of a folder, each a file or a folder of part files."""
+    return spark.readStream.schema(INPUT_TABLES[name]).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}*.parquet")
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
@@ -86,7 +85,7 @@ def availability(spark: SparkSession, requests: DataFrame, root: str | None = No
         before = accepted.read(batch_id)
         units = before.join(rows.select("unit_id"), "unit_id", "left_semi").groupBy("unit_id").agg(F.max("revision").alias("revision"))
         ident = ["project_id", "system", "event_id"]
-        recorded = before.join(rows.select(*ident), ident, "left_semi").select(*ident, "digest")
+        recorded = before.join(rows.select(*ident), ident, "left_semi").select(*ident, "digest", "revision")
         done = cut(A.apply_requests(rows, cut(units), cut(recorded)))
         outcomes.write(done, batch_id)
         accepted.write(done.where("outcome = 'applied'"), batch_id)
@@ -105,13 +104,16 @@ def event_dedupe(spark: SparkSession, requests: DataFrame, root: str | None = No
 
 
 def rate_minute(spark: SparkSession, requests: DataFrame, root: str | None = None) -> DataFrame:
-    """Requests per key and minute."""
+    """Requests per key and minute, however late they come: every batch writes its own counts, the result adds them."""
     job = Job(spark, "rate-minute", root)
     out = job.table("counts", "key_id bigint, minute timestamp_ntz, requests bigint, batch bigint")
-    counts = requests.withWatermark("ts", "10 minutes").groupBy("key_id", F.window("ts", "1 minute").alias("w")).agg(
-        F.count("*").alias("requests")).select("key_id", F.col("w.start").cast("timestamp_ntz").alias("minute"), "requests")
-    run_to_end(counts, out.write, job.checkpoint, "update")
-    return out.latest(["key_id", "minute"])
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        minute = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+        out.write(rows.groupBy("key_id", minute.alias("minute")).agg(F.count("*").alias("requests")), batch_id)
+
+    run_to_end(requests, handle, job.checkpoint)
+    return out.read().groupBy("key_id", "minute").agg(F.sum("requests").alias("requests"))
 
 
 def _limit_attempts(limit: int, window: float):
@@ -205,10 +207,13 @@ def unit_snapshot(spark: SparkSession, changes: DataFrame, root: str | None = No
 
 
 def audit_feed(spark: SparkSession, events: DataFrame, root: str | None = None) -> DataFrame:
-    """Audit rows per action and hour. ``events(action, created_at)``."""
+    """Audit rows per action and hour, however late they come. ``events(action, created_at)``."""
     job = Job(spark, "audit", root)
     out = job.table("hours", "action string, hour timestamp_ntz, events bigint, batch bigint")
-    hourly = events.withWatermark("created_at", "1 day").groupBy("action", F.window("created_at", "1 hour").alias("w")).agg(
-        F.count("*").alias("events")).select("action", F.col("w.start").cast("timestamp_ntz").alias("hour"), "events")
-    run_to_end(hourly, out.write, job.checkpoint, "update")
-    return out.latest(["action", "hour"])
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
+        out.write(rows.groupBy("action", hour.alias("hour")).agg(F.count("*").alias("events")), batch_id)
+
+    run_to_end(events, handle, job.checkpoint)
+    return out.read().groupBy("action", "hour").agg(F.sum("events").alias("events"))

@@ -126,13 +126,49 @@ def test_lease_and_backoff(spark):
 
 
 def test_late_event_is_delivered(spark):
-    subs = spark.createDataFrame([(1, 7, '["x"]', True, True)], "webhook_id bigint, project_id bigint, event_types_json string, active boolean, valid boolean")
-    events = lambda ids: spark.createDataFrame([(i, 7, "x") for i in ids], "event_id bigint, project_id bigint, event_type string")
+    subs = spark.createDataFrame([(1, 3, 7, '["x"]', True, True)], "webhook_id bigint, organization_id bigint, project_id bigint, event_types_json string, active boolean, valid boolean")
+    events = lambda ids, owner=3: spark.createDataFrame([(i, owner, 7, "x") for i in ids], "event_id bigint, organization_id bigint, project_id bigint, event_type string")
     none = deliveries(spark, [])
     one = O.materialize(subs, events([50]), none)
     two = O.materialize(subs, events([20, 50]), one)
     assert [r.event_id for r in two.collect()] == [20]
     assert O.materialize(subs, events([20, 50]), one.unionByName(two)).count() == 0
+    assert O.materialize(subs, events([60], owner=4), none).count() == 0
+
+
+def test_claim_keeps_the_last_error(spark):
+    held = deliveries(spark, [(1, 1, 1, "pending", 2, T0, None)]).withColumn("last_error", F.lit("Webhook delivery failed."))
+    assert O.claim(held, at(0)).first().last_error == "Webhook delivery failed."
+
+
+def test_envelope_payload_is_compact(spark):
+    event = spark.createDataFrame([(1, "t", 2, 3, T0, '{ "k z": 1,\n "a" : [1, "x \\" y"] }')],
+                                  "event_id bigint, event_type string, organization_id bigint, project_id bigint, created_at timestamp_ntz, payload_json string")
+    body = O.envelope(event, F.lit("00"), F.lit("1")).first().body
+    assert body.endswith('"data":{"k z":1,"a":[1,"x \\" y"]}}')
+
+
+def test_replay_gives_the_recorded_revision(spark):
+    row = lambda seq, e, st, x: (seq, 1, 1, "crm", e, st, x, f"{e}{st}{x}")
+    rows = [row(1, "e1", "sold", 0), row(2, "e2", "blocked", 1), row(3, "e1", "sold", 0), row(4, "e1", "blocked", 2)]
+    done = {r.seq: (r.outcome, r.revision) for r in A.apply_requests(spark.createDataFrame(rows, REQ), no_units(spark)).collect()}
+    assert done == {1: ("applied", 1), 2: ("applied", 2), 3: ("replayed", 1), 4: ("conflict", None)}
+    recorded = spark.createDataFrame([(1, "crm", "e1", "e1sold0", 1)], "project_id bigint, system string, event_id string, digest string, revision bigint")
+    again = A.apply_requests(spark.createDataFrame([row(9, "e1", "sold", 0)], REQ), spark.createDataFrame([(1, 5)], "unit_id bigint, revision bigint"), recorded).first()
+    assert (again.outcome, again.revision) == ("replayed", 1)
+
+
+def test_streams_read_folders_and_late_rows(spark, tmp_path):
+    late = [(i, T0 + dt.timedelta(days=30 - 10 * (i // 250), seconds=i)) for i in range(1000)]
+    for part in range(4):
+        rows = spark.createDataFrame(late[250 * part:250 * (part + 1)], "k long, ts timestamp")
+        events = rows.selectExpr("k as event_id", "cast(ts as timestamp_ntz) as ts", "k % 50 as user_id", "'view' as event_type", "1.0 as value", "'{}' as props")
+        events.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = SJ.table_stream(spark, str(tmp_path), "events", 1)
+    feed = SJ.audit_feed(spark, stream.select(F.lit("view").alias("action"), F.col("ts").cast("timestamp").alias("created_at")), str(tmp_path / "audit"))
+    assert feed.agg(F.sum("events")).first()[0] == 1000
+    counts = SJ.rate_minute(spark, stream.select(F.lit(1).cast("long").alias("key_id"), F.col("ts").cast("timestamp").alias("ts")), str(tmp_path / "rate"))
+    assert counts.agg(F.sum("requests")).first()[0] == 1000
 
 
 def test_stalled_jobs(spark):

@@ -74,6 +74,8 @@ def test_hmac_matches_standard_library(column):
     key = bytes(range(40))
     wanted = [hmac.new(key, m.encode(), hashlib.sha256).hexdigest() for m in ("1.{}", "é")]
     assert column(["1.{}", "é"], lambda c: X.hmac_sha256(F.lit(key.hex()), c)) == wanted
+    long_key = bytes(range(100))
+    assert column(["m"], lambda c: X.hmac_sha256(F.lit(long_key.hex()), c)) == [hmac.new(long_key, b"m", hashlib.sha256).hexdigest()]
 
 
 def test_points_and_logs(column):
