@@ -85,12 +85,12 @@ def like_literal(text: str) -> str:
 
 
 def search_lots(lots: DataFrame, q: str | None = None, status: str | None = None) -> DataFrame:
-    """Substring of the name or block, ignoring case, and an exact status."""
+    """Substring of the name or block, ignoring case, and an exact status; in order of version and position."""
     if q:
         lots = lots.where(F.col("name").ilike(like_literal(q)) | F.col("block").ilike(like_literal(q)))
     if status:
         lots = lots.where(F.col("status") == status)
-    return lots
+    return lots.orderBy("version_id", "k", "lot_id")
 
 
 def is_missing_label(name: Column, extracted: Column) -> Column:
@@ -138,21 +138,32 @@ def is_auxiliary_layer(layer: Column) -> Column:
     return name.rlike("|".join(AUXILIARY_MARKERS))
 
 
-def batch_patch(lots: DataFrame, patch: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+def batch_patch(lots: DataFrame, patch: DataFrame, batch_col: str = "batch_id", clear_col: str | None = None,
+                order: str | None = None) -> DataFrame:
     """Applies ``patch(batch_id, lot_id, name, block, status, …)`` to the lots; null fields are left alone.
 
-    A batch is rejected whole when an id is unknown or its lots belong to several projects.
-    Rows come back per patched lot with ``applied`` and the values after the batch.
+    ``clear_col`` names an array column of fields to set to null. When a batch names a lot more than once, the
+    row of the greatest ``order`` counts, or of the greatest values without one. A batch is rejected whole
+    when an id is unknown or its lots belong to several projects. Rows come back per patched lot with
+    ``applied`` and the values after the batch.
     """
-    wanted = patch.dropDuplicates([batch_col, "lot_id"])
-    fields = [c for c in patch.columns if c not in (batch_col, "lot_id")]
+    fields = [c for c in patch.columns if c not in (batch_col, "lot_id", clear_col, order)]
+    values = F.struct(*fields, *([F.array_sort(clear_col).alias(clear_col)] if clear_col else []))
+    ranked = F.struct(*([F.col(order).alias("_o")] if order else []), values.alias("v"))
+    wanted = patch.groupBy(batch_col, "lot_id").agg(F.max(ranked).alias("_r")).select(batch_col, "lot_id", "_r.v.*")
+    cleared = wanted.select(batch_col, "lot_id", F.col(clear_col).alias("_clear")) if clear_col else None
     joined = wanted.select(batch_col, "lot_id", *[F.col(c).alias(f"_new_{c}") for c in fields]).join(lots, "lot_id", "left")
     gate = joined.groupBy(batch_col).agg(
         ((F.count_if(F.col("project_id").isNull()) == 0) & (F.min("project_id") == F.max("project_id"))).alias("applied"))
     out = joined.where(F.col("project_id").isNotNull()).join(gate, batch_col)
+    if cleared is not None:
+        out = out.join(cleared, [batch_col, "lot_id"])
     for c in fields:
-        out = out.withColumn(c, F.when(F.col("applied"), F.coalesce(f"_new_{c}", c)).otherwise(F.col(c)))
-    return out.drop(*[f"_new_{c}" for c in fields])
+        new = F.coalesce(f"_new_{c}", c)
+        if cleared is not None:
+            new = F.when(~F.coalesce(F.array_contains("_clear", c), F.lit(False)), new)
+        out = out.withColumn(c, F.when(F.col("applied"), new).otherwise(F.col(c)))
+    return out.drop("_clear", *[f"_new_{c}" for c in fields])
 
 
 def live_status(records: DataFrame, lots: DataFrame, key: str) -> DataFrame:

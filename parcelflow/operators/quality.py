@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow.functions import text as X
@@ -56,6 +58,11 @@ def area_agreement(lots: DataFrame, areas: DataFrame, key: str, lot_id: str) ->
     return joined.select(key, F.coalesce("measured", F.lit(0)).alias("measured"), F.when(enough, F.col("agreement")).alias("agreement"))
 
 
+def all_sheets(key: str, *tables: DataFrame) -> DataFrame:
+    """Every key of any of the tables, once."""
+    return reduce(DataFrame.union, [t.select(key) for t in tables]).distinct()
+
+
 def label_hits(lots: DataFrame, labels: DataFrame, key: str, label_id: str) -> DataFrame:
     """Number of lots over every label, zeros included."""
     pairs = points_in_rings(labels, lots, key)
@@ -64,9 +71,11 @@ def label_hits(lots: DataFrame, labels: DataFrame, key: str, label_id: str) -> D
 
 
 def label_coverage(lots: DataFrame, labels: DataFrame, key: str, label_id: str) -> DataFrame:
-    """Share of labels covered by exactly one lot."""
-    return label_hits(lots, labels, key, label_id).groupBy(key).agg(
+    """Share of labels covered by exactly one lot; 0 for a sheet without labels or without lots."""
+    found = label_hits(lots, labels, key, label_id).groupBy(key).agg(
         F.count("*").alias("labels"), F.avg((F.col("hits") == 1).cast("double")).alias("coverage"))
+    return all_sheets(key, lots, labels).join(found, key, "left").select(
+        key, F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def score_candidates(metrics: DataFrame) -> DataFrame:
@@ -138,7 +147,9 @@ LOWER_IS_BETTER = ("area_acima_20pct", "lotes_com_nome_ambiguo")
 
 def qa_report(lots: DataFrame, labels: DataFrame, areas: DataFrame, declared: DataFrame, key: str, lot_id: str,
               label_id: str) -> DataFrame:
-    """One row of quality metrics per sheet.
+    """One row of quality metrics per sheet of lots, labels or declarations.
+
+    A sheet without lots or without labels is reported as wholly uncovered and wrong.
 
     ``lots(key, lot_id, ring, area_px, name, block)``, ``labels(key, label_id, x, y)``,
     ``areas(key, x, y, value)``, ``declared(key, block, declared)``. The deviation is measured
@@ -165,8 +176,14 @@ def qa_report(lots: DataFrame, labels: DataFrame, areas: DataFrame, declared: Da
     per_block = by_name.where(F.col("_block") != "").groupBy(key, F.upper("_block").alias("block")).agg(F.sum("_n").alias("_found"))
     exact = declared.join(per_block, [key, "block"], "left").groupBy(key).agg(
         F.count("*").alias("quadras_declaradas"), F.count_if(F.col("_found") == F.col("declared")).alias("quadras_com_contagem_exata"))
-    report = names.join(hits, key, "left").join(shape, key, "left").join(exact, key, "left")
-    return report.withColumn("lotes_a_mais_que_rotulos", F.col("lotes_extraidos") - F.col("rotulos_na_planta"))
+    report = all_sheets(key, lots, labels, declared).join(names, key, "left").join(hits, key, "left").join(shape, key, "left").join(exact, key, "left")
+    report = report.withColumn("lotes_a_mais_que_rotulos", F.col("lotes_extraidos") - F.col("rotulos_na_planta"))
+    report = report.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lotes_extraidos", "rotulos_na_planta")})
+    empty = (F.col("lotes_extraidos") == 0) | (F.col("rotulos_na_planta") == 0)
+    fixed = {"cobertura_pct": 0.0, "area_ate_3pct": 0.0, "area_ate_5pct": 0.0, "area_acima_20pct": 100.0, "quadras_preenchidas_pct": 0.0}
+    unknown = ("rotulos_em_lote_duplicado", "lotes_com_area_impressa", "lotes_com_nome_ambiguo", "quadras_com_contagem_exata", "lotes_a_mais_que_rotulos")
+    return report.withColumns({**{c: F.when(empty, F.lit(v)).otherwise(F.col(c)) for c, v in fixed.items()},
+                               **{c: F.when(~empty, F.col(c)) for c in unknown}})
 
 
 def qa_compare(current: DataFrame, baseline: DataFrame, key: str, tolerance: float = 0.5) -> DataFrame:

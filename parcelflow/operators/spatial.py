@@ -123,8 +123,9 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     """The ``k`` nearest points (columns ``x``, ``y``) of every query point: pairs ``l``, ``r`` with ``dist``.
 
     Points are counted per cell on a ladder of levels. The first level at which the query's own
-    cell holds ``k`` points bounds their distance by the cell diagonal, and only points within
-    that bound are compared. A query in a group with fewer than ``k`` points sees all of them.
+    cell and its eight neighbours hold ``k`` points bounds their distance by two cell diagonals, and only
+    points within that bound are compared. The ladder starts at the spacing of the densest cells, not of the
+    average. A query in a group with fewer than ``k`` points sees all of them.
     """
     # Both sides are read several times below.
     queries, points = cut(queries), cut(points)
@@ -133,18 +134,26 @@ def nearest_k(queries: DataFrame, points: DataFrame, key: str, query_id: str, po
     spacing = F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1.0)) / F.col("n"))
     span = lambda df: df.agg(F.coalesce(F.max(F.abs("x")) + F.max(F.abs("y")), F.lit(0.0)).alias("m")).first().m
     reach = span(queries) + span(points)
-    low = stats.agg(F.floor(F.log2(F.min(spacing))).cast("int").alias("l")).first().l or 0
+    average = stats.agg(F.floor(F.log2(F.min(spacing))).cast("int").alias("l")).first().l or 0
+    # in the fullest cell of that level the points are so much closer: a level less for each factor of four
+    at = lambda c: F.floor(F.col(c) / 2.0 ** average)
+    fullest = points.groupBy(key, at("x"), at("y")).count().agg(F.coalesce(F.max("count"), F.lit(1)).alias("n")).first().n
+    low = average - max(0, math.ceil(math.log2(max(1, fullest / k)) / 2))
     # A given maximum distance makes coarser levels pointless: they could not tighten the bound.
     farthest = queries.agg(F.max(max_distance).alias("m")).first().m if max_distance else reach
     top = math.ceil(math.log2(max(min(reach, farthest or reach), 1.0))) + 1
-    ladder = F.array(*[F.lit(v) for v in range(min(max(low, top - 24), top), top + 1)])
+    ladder = F.array(*[F.lit(v) for v in range(min(low, top), top + 1)])
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lv")))
     counts = points.select(key, "x", "y", F.explode(ladder).alias("_lv")).groupBy(
         key, "_lv", cell("x").alias("_cx"), cell("y").alias("_cy")).agg(F.count("*").alias("_n"))
+    # a cell's count goes to the nine cells around it, where queries find the sum
+    beside = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    around = counts.select(key, "_lv", "_n", "_cx", beside("_cy")).select(key, "_lv", "_n", "_cy", beside("_cx")).groupBy(
+        key, "_lv", "_cx", "_cy").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
     own = queries.select(key, query_id, "x", "y", F.explode(ladder).alias("_lv")).select(
         key, query_id, "_lv", cell("x").alias("_cx"), cell("y").alias("_cy"))
-    level = own.join(counts.where(F.col("_n") >= k), [key, "_lv", "_cx", "_cy"]).groupBy(key, query_id).agg(F.min("_lv").alias("_lv"))
-    bound = F.coalesce(F.pow(F.lit(2.0), F.col("_lv")) * 1.4142135623731, F.lit(2 * reach))
+    level = own.join(around, [key, "_lv", "_cx", "_cy"]).groupBy(key, query_id).agg(F.min("_lv").alias("_lv"))
+    bound = F.coalesce(F.pow(F.lit(2.0), F.col("_lv")) * 2.8284271247462, F.lit(2 * reach))
     if max_distance:
         bound = F.least(bound, F.col(max_distance))
     sized = cut(queries.join(level, [key, query_id], "left").withColumn("_r", bound * 1.0000001))

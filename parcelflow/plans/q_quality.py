@@ -53,9 +53,12 @@ def _(t):
 
 
 @query("agg_label_coverage", f"""
-WITH {LABELS_SQL} SELECT sheet_id, count(*) AS labels, round(avg(CASE WHEN hits = 1 THEN 1.0 ELSE 0.0 END), 9) AS coverage FROM labels GROUP BY 1""")
+WITH {LABELS_SQL}, found AS (SELECT sheet_id, count(*) AS labels, round(avg(CASE WHEN hits = 1 AND sheet_id <> 20 THEN 1.0 ELSE 0.0 END), 9) AS coverage FROM labels WHERE sheet_id <> 10 GROUP BY 1)
+SELECT sheet_id, coalesce(labels, 0) AS labels, coalesce(coverage, 0.0)::double AS coverage
+FROM (SELECT version_id AS sheet_id FROM lots WHERE lot_id % 9 <> 0 AND version_id <> 20 UNION SELECT sheet_id FROM found) LEFT JOIN found USING (sheet_id)""")
 def _(t):
-    return Q.label_coverage(kept_lots(t), lot_labels(t), "sheet_id", "label_id").withColumn("coverage", F.round("coverage", 9))
+    # sheet 20 has lost its lots, sheet 10 its labels
+    return Q.label_coverage(kept_lots(t).where("sheet_id <> 20"), lot_labels(t).where("sheet_id <> 10"), "sheet_id", "label_id").withColumn("coverage", F.round("coverage", 9))
 
 
 @query("set_missing_labels", f"WITH {LABELS_SQL} SELECT sheet_id, label_id FROM labels WHERE hits = 0")
@@ -121,20 +124,24 @@ def qa_inputs(t):
     declared = t.lots.where("block <> ''").groupBy(F.col("version_id").alias("sheet_id"), "block").agg(
         (F.count("*") + F.max("k") % 2).cast("int").alias("declared"))
     areas = printed_areas(t)
-    return sheet_lots(t).where("lot_id % 9 <> 0"), lot_labels(t), areas, declared
+    # sheet 20 has lost its lots, sheet 10 its labels
+    return sheet_lots(t).where("lot_id % 9 <> 0 and sheet_id <> 20"), lot_labels(t).where("sheet_id <> 10"), areas, declared
 
 
-QA_SQL = f"""{AREAS_SQL}, kept AS (SELECT version_id AS sheet_id, * FROM lots WHERE lot_id % 9 <> 0),
-lab AS (SELECT version_id AS sheet_id, count(*) AS n, round(100.0 * avg(CASE WHEN lot_id % 9 <> 0 THEN 1.0 ELSE 0.0 END), 1) AS cov FROM lots WHERE name LIKE 'L0%' GROUP BY 1),
-q AS (SELECT * FROM ratios WHERE lot_id % 9 <> 0), med AS (SELECT sheet_id, median(ratio) AS m, count(*) AS n FROM q GROUP BY 1),
+QA_SQL = f"""{AREAS_SQL}, kept AS (SELECT version_id AS sheet_id, * FROM lots WHERE lot_id % 9 <> 0 AND version_id <> 20),
+lab AS (SELECT version_id AS sheet_id, count(*) AS n, round(100.0 * avg(CASE WHEN lot_id % 9 <> 0 THEN 1.0 ELSE 0.0 END), 1) AS cov FROM lots WHERE name LIKE 'L0%' AND version_id <> 10 GROUP BY 1),
+q AS (SELECT * FROM ratios WHERE lot_id % 9 <> 0 AND sheet_id <> 20), med AS (SELECT sheet_id, median(ratio) AS m, count(*) AS n FROM q GROUP BY 1),
 dev AS (SELECT q.sheet_id, count(*) AS n, round(100.0 * avg(CASE WHEN abs(ratio / m - 1) <= 0.03 THEN 1.0 ELSE 0.0 END), 1) AS a3, round(100.0 * avg(CASE WHEN abs(ratio / m - 1) <= 0.05 THEN 1.0 ELSE 0.0 END), 1) AS a5,
   round(100.0 - 100.0 * avg(CASE WHEN abs(ratio / m - 1) <= 0.2 THEN 1.0 ELSE 0.0 END), 1) AS a20 FROM q JOIN med USING (sheet_id) GROUP BY 1 HAVING count(*) >= 20),
 nm AS (SELECT sheet_id, count(*) AS n, round(100.0 * avg(CASE WHEN trim(block) <> '' THEN 1.0 ELSE 0.0 END), 1) AS qp, count(*) - count(DISTINCT coalesce(name, '') || '|' || trim(block)) AS amb FROM kept GROUP BY 1),
-de AS (SELECT version_id AS sheet_id, block, count(*) + max(k) % 2 AS declared, count(*) FILTER (lot_id % 9 <> 0) AS found FROM lots WHERE block <> '' GROUP BY 1, 2),
+de AS (SELECT version_id AS sheet_id, block, count(*) + max(k) % 2 AS declared, count(*) FILTER (lot_id % 9 <> 0 AND version_id <> 20) AS found FROM lots WHERE block <> '' GROUP BY 1, 2),
 ex AS (SELECT sheet_id, count(*) AS n, count(*) FILTER (declared = found) AS exact FROM de GROUP BY 1),
-report AS (SELECT sheet_id, nm.n AS lotes_extraidos, qp AS quadras_preenchidas_pct, amb AS lotes_com_nome_ambiguo, lab.n AS rotulos_na_planta, cov AS cobertura_pct, 0::bigint AS rotulos_em_lote_duplicado,
-  dev.n AS lotes_com_area_impressa, a3 AS area_ate_3pct, a5 AS area_ate_5pct, a20 AS area_acima_20pct, ex.n AS quadras_declaradas, ex.exact AS quadras_com_contagem_exata, nm.n - lab.n AS lotes_a_mais_que_rotulos
-  FROM nm LEFT JOIN lab USING (sheet_id) LEFT JOIN dev USING (sheet_id) LEFT JOIN ex USING (sheet_id))"""
+sheets AS (SELECT sheet_id FROM nm UNION SELECT sheet_id FROM lab UNION SELECT sheet_id FROM ex),
+report AS (SELECT sheet_id, coalesce(nm.n, 0) AS lotes_extraidos, CASE WHEN nm.n > 0 AND lab.n > 0 THEN qp ELSE 0.0 END::double AS quadras_preenchidas_pct, CASE WHEN lab.n > 0 THEN amb END AS lotes_com_nome_ambiguo,
+  coalesce(lab.n, 0) AS rotulos_na_planta, CASE WHEN nm.n > 0 AND lab.n > 0 THEN cov ELSE 0.0 END::double AS cobertura_pct, CASE WHEN nm.n > 0 AND lab.n > 0 THEN 0::bigint END AS rotulos_em_lote_duplicado,
+  CASE WHEN lab.n > 0 THEN dev.n END AS lotes_com_area_impressa, CASE WHEN nm.n > 0 AND lab.n > 0 THEN a3 ELSE 0.0 END::double AS area_ate_3pct, CASE WHEN nm.n > 0 AND lab.n > 0 THEN a5 ELSE 0.0 END::double AS area_ate_5pct,
+  CASE WHEN nm.n > 0 AND lab.n > 0 THEN a20 ELSE 100.0 END::double AS area_acima_20pct, ex.n AS quadras_declaradas, CASE WHEN nm.n > 0 AND lab.n > 0 THEN ex.exact END AS quadras_com_contagem_exata, nm.n - lab.n AS lotes_a_mais_que_rotulos
+  FROM sheets LEFT JOIN nm USING (sheet_id) LEFT JOIN lab USING (sheet_id) LEFT JOIN dev USING (sheet_id) LEFT JOIN ex USING (sheet_id))"""
 
 
 @query("agg_qa_report", f"WITH {QA_SQL} SELECT * FROM report")

@@ -36,8 +36,9 @@ def _(t):
               .when(F.col("event_type") == "error", "bloqueado").when(F.col("event_type") == "view", "outro").otherwise("disponivel"))
     index = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(
         (F.col("user_id") * 3).cast("string"))
-    rows = e.select(F.col("event_id").alias("seq"), index.alias("index"), status.alias("status"))
-    return R.status_from_csv(rows, t.raw("part").select(F.col("p_partkey").alias("i")))
+    path = shared_path(t.spark, "status-csv")
+    e.select(F.col("event_id").alias("seq"), index.alias("index"), status.alias("status")).write.option("header", True).csv(path)
+    return R.status_from_csv(R.read_status_csv(t.spark, path), t.raw("part").select(F.col("p_partkey").alias("i")))
 
 
 @query("src_demo_status", """
@@ -82,7 +83,8 @@ def _files(t):
     path = F.concat(F.lit("uploads/"), d["source"], F.lit("/doc "), d["doc_id"].cast("string"),
                     F.when(d["doc_id"] % 3 == 0, ".PDF").when(d["doc_id"] % 3 == 1, ".txt").otherwise(""))
     head = F.when(d["doc_id"] % 2 == 0, "%PDF-").otherwise("")
-    return d.select("doc_id", path.alias("path"), F.encode(F.concat(head, d["text"]), "UTF-8").alias("content"))
+    return d.select("doc_id", path.alias("path"), F.encode(F.concat(head, d["text"]), "UTF-8").alias("content")).withColumn(
+        "length", F.length("content").cast("bigint"))
 
 
 _FILES_SQL = """files AS (SELECT doc_id, 'uploads/' || source || '/doc ' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PDF' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '' END AS path,
@@ -123,6 +125,20 @@ def _(t):
     return S.lot_csv_lines(export_rows(t), ["lot_id"])
 
 
+@query("sink_lot_csv_files", """
+SELECT concat_ws(',', '"' || k || '"', '"' || block || '"', '"' || coalesce(name, '') || '"',
+  '"' || area_text || CASE WHEN lot_id % 41 = 0 THEN ' ""x""' ELSE '' END || '"',
+  '"' || CASE s WHEN 1 THEN 'sold' WHEN 2 THEN 'reserved' WHEN 3 THEN 'blocked' ELSE 'available' END || '"',
+  '"' || CASE s WHEN 1 THEN '#6e6d67' WHEN 2 THEN '#e0613b' WHEN 3 THEN '#7c838b' ELSE '#26d07c' END || '"', '""', '"' || pts || '"') AS line FROM lots""")
+def _(t):
+    """The files as written, without their header lines."""
+    path = shared_path(t.spark, "lots-csv")
+    S.write_lot_csv(export_rows(t).withColumn("index", F.col("index").cast("string")), path)
+    header = ",".join(f'"{c}"' for c in S.CSV_COLUMNS)
+    lines = t.spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.where(~F.col("line").isin(header, ",".join(S.CSV_COLUMNS)))
+
+
 @query("sink_geojson_features", """
 SELECT lot_id, lot_id % 29 <> 0 AND lot_id % 31 <> 0 AS has_geometry,
   CASE WHEN lot_id % 29 <> 0 AND lot_id % 31 <> 0 THEN 5 ELSE NULL END AS ring_points,

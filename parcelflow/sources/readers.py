@@ -37,10 +37,10 @@ def status_from_csv(rows: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def read_status_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema("index string, status string").option("header", True).csv(path)
-        .withColumn("seq", F.monotonically_increasing_id())
-    )
+    """Status files with the columns seq, index and status. ``seq`` numbers the rows: the order of several
+    files, or of the parts of one, is not known to a reader."""
+    return spark.read.schema("seq bigint, index string, status string").option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def demo_status(i: Column) -> Column:
@@ -127,11 +127,23 @@ def read_binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFr
 
 
 def file_intake(files: DataFrame, limit: int = PDF_SIZE_LIMIT) -> DataFrame:
-    """Classify uploads, in the order in which the checks reject them."""
+    """Classify uploads ``(path, content, length)``, in the order in which the checks reject them.
+
+    A file beyond the limit is judged by its length alone: ``content`` may be null there.
+    """
     verdict = (
         F.when(~F.lower("path").endswith(".pdf"), "not_pdf_name")
-        .when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "bad_signature")
-        .when(F.length("content") > limit, "too_large")
+        .when(F.col("content").isNotNull() & (F.substring("content", 1, 5) != F.lit(b"%PDF-")), "bad_signature")
+        .when(F.col("length") > limit, "too_large")
         .otherwise("ok")
     )
     return files.withColumn("verdict", verdict)
+
+
+def read_uploads(spark: SparkSession, path: str, glob: str = "*", limit: int = PDF_SIZE_LIMIT) -> DataFrame:
+    """Files of a folder as (path, content, length); files beyond ``limit`` are listed and not opened, so their
+    size is no matter."""
+    source = lambda: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    small = source().where(F.col("length") <= limit).select("path", "content", "length")
+    large = source().where(F.col("length") > limit).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    return small.unionByName(large)

@@ -20,7 +20,8 @@ def lot_csv_lines(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def write_lot_csv(rows: DataFrame, path: str) -> None:
     (rows.select(*CSV_COLUMNS).na.fill("").write.mode("overwrite")
-        .option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+        .option("header", True).option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def geojson_features(lots: DataFrame, id_col: str, properties: list[str], geometry_col: str = "geometry_json") -> DataFrame:
