@@ -210,6 +210,18 @@ def test_refine_blocks_walk(spark):
     assert got == {0: "Q1", 1: "Q3", 2: "Q2", 3: "Q1"}
 
 
+def test_nearest_across_zero_and_in_clusters(spark):
+    rng = random.Random(8)
+    points = [(1, i, rng.uniform(-400, 400), rng.uniform(-400, 400)) for i in range(300)] + [(1, 300 + i, rng.gauss(50, 0.05), rng.gauss(-3, 0.05)) for i in range(300)]
+    points += [(2, 900, 0.0, 0.0)]
+    queries = [(1, 0, -0.01, -0.01), (1, 1, 501.0, 2.0), (1, 2, -430.0, -1.0), (1, 3, 50.0, -3.0), (2, 4, 1e6, 5.0)]
+    schema = "k bigint, id bigint, x double, y double"
+    got = Sp.nearest_k(spark.createDataFrame(queries, schema.replace("id", "q")), spark.createDataFrame(points, schema), "k", "q", "id", 5).collect()
+    for k, q, x, y in queries:
+        near = sorted((round(((px - x) ** 2 + (py - y) ** 2) ** 0.5, 9), i) for kk, i, px, py in points if kk == k)[:5]
+        assert sorted((r.dist, r.r.id) for r in got if r.l.q == q) == near
+
+
 def test_candidate_choice(spark):
     table = [(1603, 0.9042, 0.9980), (1496, 1.0, 0.9914), (1508, 0.9947, 0.9993), (1570, 0.9054, 0.9973)]
     df = spark.createDataFrame([(1, i, n, a, c) for i, (n, a, c) in enumerate(table)], "sheet int, rank int, n int, agreement double, coverage double")
