@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelflow.operators.grouped import first_rows
+from parcelflow.session import cut
 
 FAILURE_LIMIT = 8
 FAILURE_WINDOW_SECONDS = 900
@@ -30,17 +31,24 @@ def sliding_failures(failures: DataFrame, keys: list[str], limit: int = FAILURE_
                      window_seconds: int = FAILURE_WINDOW_SECONDS) -> DataFrame:
     """Failures of the key in the trailing window at every failure, and the wait when it is full.
 
-    Time is cut into strips one window long. A strip is evaluated together with the one before
-    it, so a busy key is spread over all its strips.
+    Time is cut into strips one window long, and a strip sees the failures of the one before it, so a busy
+    key is spread over its strips. In a strip every failure asks twice: how many failures there are up to
+    now, and up to one window ago. Both are running sums, so the cost does not grow with the
+    failures inside a window.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = window_seconds * 1_000_000
-    rows = failures.withColumn("_t", micros).withColumn("_own", F.floor(F.col("_t") / span))
-    spread = rows.withColumn("_strip", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    rows = cut(failures.withColumns({"_t": F.unix_micros(F.col("ts").cast("timestamp")), "_id": F.monotonically_increasing_id()}))
+    strip = F.floor(F.col("_t") / span)
+    mark = lambda at, hit, ask, shift=0: F.struct((strip + shift).alias("strip"), at.alias("at"), F.lit(hit).alias("hit"), F.lit(ask).alias("ask"))
+    now, past = mark(F.col("_t"), 0, 1), mark(F.col("_t") - span, 0, 2)
+    marks = rows.select(*keys, "_id", F.explode(F.array(mark(F.col("_t"), 1, 0), mark(F.col("_t"), 1, 0, 1), now, past)).alias("m")).select(*keys, "_id", "m.*")
     # The window is open at its old end: a failure exactly one window ago no longer counts.
-    frame = Window.partitionBy(*keys, "_strip").orderBy("_t").rangeBetween(-(span - 1), 0)
-    counted = spread.withColumn("failures", F.count("*").over(frame)).withColumn("_oldest", F.min("_t").over(frame)).where(
-        F.col("_own") == F.col("_strip"))
+    upto = Window.partitionBy(*keys, "strip").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys, "strip").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    answered = marks.withColumns({"n": F.sum("hit").over(upto), "next": F.min(F.when(F.col("hit") == 1, F.col("at"))).over(after)}).where("ask > 0")
+    of = lambda ask, c: F.max(F.when(F.col("ask") == ask, F.col(c)))
+    found = answered.groupBy("_id").agg((of(1, "n") - of(2, "n")).alias("failures"), of(2, "next").alias("_oldest"))
+    counted = rows.join(found, "_id")
     wait = F.greatest(F.lit(1), F.ceil((F.col("_oldest") + span - F.col("_t")) / 1_000_000)).cast("bigint")
     full = F.col("failures") >= limit
     return counted.select(*failures.columns, "failures", full.alias("blocked"), F.when(full, wait).alias("retry_after"))
