@@ -42,7 +42,7 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 _LITERAL = 0x110000  # stands for a U+2581 of the text itself, which no piece may cover
 SLOTS = 18
-SLICE = 2 << 20
+SLICE = 768 << 10
 
 
 @dataclass

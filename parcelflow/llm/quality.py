@@ -28,7 +28,7 @@ REPEATED, FIRST_LENGTH = WORDS + SHAPES, WORDS + SHAPES + 1
 WIDTH = FIRST_LENGTH + 24
 #: Most ratings that a model is fitted on (the first by hash).
 SAMPLE = 6000
-MOST_CACHED = 200_000
+MOST_CACHED = 100_000
 _DIGITS = str.maketrans("0123456789", "0" * 10)
 
 

@@ -27,7 +27,7 @@ from parcelflow.llm.linear import Sparse, fit_logistic, sigmoid
 WIDTH = 1 << 20
 #: Most labelled rows of each label that the voters and the classifier are fitted on (the first by hash).
 SAMPLE = {1: 2500, 0: 5000}
-MOST_CACHED = 300_000
+MOST_CACHED = 150_000
 #: Hand-written lexicons, one voter each.
 LEXICONS = (
     ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "fool", "cretin"),
