@@ -322,10 +322,10 @@ def common_area(a: Column, b: Column) -> Column:
     """Area that two simple rings share, both counter-clockwise and of any shape.
 
     ``b`` is the signed sum of the triangles of its fan; clipping ``a`` by a triangle is exact, so the
-    signed sum of the clipped areas is the common area. A convex ``b`` is clipped against at once.
+    signed sum of the clipped areas is the common area. A convex ring of the two clips the other at once.
     """
-    def piece(ring: Column) -> Column:
-        return bind(clip_convex(a, ring), lambda c: F.when(F.size(c) >= 3, area(c)).otherwise(F.lit(0.0)))
+    def piece(ring: Column, subject: Column = a) -> Column:
+        return bind(clip_convex(subject, ring), lambda c: F.when(F.size(c) >= 3, area(c)).otherwise(F.lit(0.0)))
 
     def fan(ring: Column) -> Column:
         first = F.get(ring, F.lit(0))
@@ -333,7 +333,7 @@ def common_area(a: Column, b: Column) -> Column:
         signed = lambda t: bind(signed_area(t), lambda s: F.when(s < 0, -piece(F.reverse(t))).when(s > 0, piece(t)).otherwise(F.lit(0.0)))
         return F.aggregate(F.transform(triangles, signed), F.lit(0.0), lambda total, x: total + x)
 
-    return F.when(F.size(b) < 3, F.lit(0.0)).when(is_convex(b), piece(b)).otherwise(fan(b))
+    return F.when(F.least(F.size(a), F.size(b)) < 3, F.lit(0.0)).when(is_convex(b), piece(b)).when(is_convex(a), piece(a, b)).otherwise(fan(b))
 
 
 @once

@@ -104,12 +104,7 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | Non
     pairs = box_join(left, right, key)
     if not_self is not None:
         pairs = pairs.where(not_self)
-
-    def common(a: Column, b: Column) -> Column:
-        # the convex ring of the two, if there is one, does the clipping
-        return F.when(~G.is_convex(b) & G.is_convex(a), G.common_area(b, a)).otherwise(G.common_area(a, b))
-
-    shared = bind(G.counter_clockwise(F.col("l.ring")), lambda a: bind(G.counter_clockwise(F.col("r.ring")), lambda b: common(a, b)))
+    shared = bind(G.counter_clockwise(F.col("l.ring")), lambda a: bind(G.counter_clockwise(F.col("r.ring")), lambda b: G.common_area(a, b)))
     pairs = with_computed(pairs, "inter_area", shared)
     la, ra = F.col("l.area_px"), F.col("r.area_px")
     return pairs.select(
