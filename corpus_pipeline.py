@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies (five words, similarity 0.8)."""
+    """The document of the smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
     return simhash.keep_one_per_group(docs, size=5, similarity=0.8)
 
 
@@ -41,7 +41,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage),
           ("privacy", privacy_stage), ("encoding", encoding_stage)]
-#: A fitted classifier, sampled bands and loopy propagation have no SQL; tests/llm/test_pipeline.py checks every stage by other means.
+#: A fitted classifier, shingle sets and loopy propagation have no SQL; tests/llm/test_pipeline.py checks every stage by other means.
 ORACLE_SQL = None
 
 

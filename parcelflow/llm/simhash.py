@@ -1,9 +1,10 @@
 """Near-duplicates by SimHash, compared on bit planes.
 
 Fingerprints: each of the ``64 * words`` bits is the majority of that bit over the hashes of a text's
-word shingles, repeats included. Candidates share a *band*, a fixed choice of bits: for 64 bits and a
-small radius the bands are complete (any two within the radius share one), for wide fingerprints they
-find a pair with a stated probability. Inside a band, ``bitslice.forest`` compares all members exactly.
+word shingles, repeats included. Candidates share a *band*, a fixed choice of bits; for 64 bits and a
+small radius the bands are complete: any two within the radius share one. For similarities of shingle
+sets they share a shingle of a *prefix*, which is complete too. Inside a band or below a shingle,
+``bitslice.forest`` compares all members exactly.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; equal fingerprints are one node, so copies are never compared with one another; a null
@@ -110,19 +111,21 @@ def complete_bands(radius: int, spare: int = 2) -> list[list[int]]:
     return [[sum(c)] for c in combinations(masks, spare)]
 
 
-def sampled_bands(words: int, width: int = 16) -> list[list[int]]:
-    """Masks of wide fingerprints: consecutive pieces of ``width`` bits, then the same number of strided ones."""
+def radius_of(similarity: float, words: int, deviations: float = 6.0) -> int:
+    """Expected differing bits of two shingle sets with that Jaccard similarity, plus ``deviations`` standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * words
-    groups = [range(i, i + width) for i in range(0, bits, width)]
-    groups += [range(i, bits, bits // width) for i in range(bits // width)]
-    return [[sum(1 << (b - 64 * w) for b in g if 64 * w <= b < 64 * w + 64) for w in range(words)] for g in groups]
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
-def radius_of(similarity: float, words: int) -> int:
-    """Expected differing bits of two shingle sets with that Jaccard similarity, plus one standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * words
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text, without case and punctuation."""
+    return np.unique(np.array(shingle_hashes(text, size, True), np.uint64))
+
+
+def prefix_length(count: int, similarity: float) -> int:
+    """Two sets at ``similarity`` or more share one of this many first members, in any order common to both."""
+    return count - math.ceil(similarity * count - 1e-9) + 1 if count else 0
 
 
 def _signed(mask: int) -> int:
@@ -131,17 +134,20 @@ def _signed(mask: int) -> int:
 
 def links(prints: DataFrame, names: list[str], bands: list[list[int]], radius: int, chunk: int = CHUNK) -> DataFrame:
     """Links (u, v) between the node numbers of distinct fingerprints, enough to connect every pair that
-    shares a band and lies within ``radius``.
-
-    ``prints`` has a unique long ``node`` and the words ``names``. A band value with more than ``chunk``
-    members is cut into parts by hash and every pair of parts is a cell of its own, so no task holds a
-    crowded value whole; a cell emits at most one link per member.
-    """
+    shares a band and lies within ``radius``. ``prints`` has a unique long ``node`` and the words ``names``."""
     keys = [F.struct(F.lit(i).alias("band"), *[F.col(n).bitwiseAND(F.lit(_signed(m))).alias(f"k_{n}")
                                                 for n, m in zip(names, b)]) for i, b in enumerate(bands)]
     rows = prints.select("node", *names, F.explode(F.array(*keys)).alias("key"))
     rows = rows.select("node", *names, F.xxhash64("key").alias("h"), "key.*")
-    key = ["band", *[f"k_{n}" for n in names]]
+    return links_below(rows, names, ["band", *[f"k_{n}" for n in names]], radius, chunk)
+
+
+def links_below(rows: DataFrame, names: list[str], key: list[str], radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (u, v) that connect every pair of ``rows`` with equal ``key`` within ``radius``.
+
+    A key with more than ``chunk`` members is cut into parts by hash and every pair of parts is a cell
+    of its own, so no task holds a crowded key whole; a cell emits at most one link per member.
+    """
     crowded = cut(rows.groupBy(*key).count().where(F.col("count") > chunk))
     rows = rows.join(crowded, key, "left")
     parts = F.ceil(F.coalesce("count", F.lit(1)) / chunk)
@@ -157,7 +163,8 @@ def links(prints: DataFrame, names: list[str], bands: list[list[int]], radius: i
 
     def compare(node, words, run):
         child, root = forest(words, run, radius)
-        return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root])], names=["u", "v"])
+        pairs = np.unique(np.stack([node[child], node[root]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["u", "v"])
 
     def run_cells(batches):
         held = None
@@ -201,22 +208,120 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return prints.join(named, prints.f0 == named.node).select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
 
 
+def linked_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (member, first member of its set) that connect all pairs of sets at Jaccard ``similarity`` or more.
+
+    Breadth-first: each set reached is compared with all that are not, by a table of its members.
+    """
+    counts = np.array([len(s) for s in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(counts)
+    ids = [ids[e - c:e] for e, c in zip(ends, counts)]
+    mark = np.zeros(len(values), bool)
+    left, found = np.arange(len(sets)), []
+    while len(left) > 1:
+        start, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            pivot = front.pop()
+            size = counts[pivot]
+            able = left[np.minimum(counts[left], size) >= similarity * np.maximum(counts[left], size) - 1e-9]
+            if not len(able):
+                continue
+            mark[ids[pivot]] = True
+            shared = np.add.reduceat(mark[np.concatenate([ids[i] for i in able])], np.cumsum(counts[able]) - counts[able], dtype=np.int64)
+            mark[ids[pivot]] = False
+            hit = able[shared >= similarity * (counts[able] + size - shared) - 1e-9]
+            found += [(int(i), int(start)) for i in hit]
+            front += hit.tolist()
+            left = left[~np.isin(left, hit)]
+    return found
+
+
+def verified_links(members: DataFrame, size: int, similarity: float, chunk: int = CHUNK // 4, most: int = 1 << 19) -> DataFrame:
+    """Links (u, v) that connect all pairs of a candidate group at Jaccard ``similarity`` or more of their shingles.
+
+    ``members`` has ``node``, ``root`` (the group), ``n`` (its different shingles, not 0) and ``text``. A group of more than
+    ``chunk`` members or ``most`` shingles is cut into parts, and every pair of parts is a cell, as in ``links_below``.
+    """
+    large = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / most)).alias("parts"))
+    rows = members.join(cut(large.where("parts > 1")), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("part")))
+    rows = rows.withColumn("other", F.explode(other)).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    cell = ["root", "lo", "hi"]
+    rows = rows.select("node", "text", *cell).repartition(*cell).sortWithinPartitions(*cell, "node")
+
+    def compare(nodes, sets):
+        pairs = linked_sets(sets, similarity) if len(sets) > 1 else []
+        return pa.RecordBatch.from_pydict({"u": [nodes[a] for a, _ in pairs], "v": [nodes[b] for _, b in pairs]},
+                                          pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    def run_cells(batches):
+        last, nodes, sets = None, [], []
+        for batch in batches:
+            for node, text, *at in zip(*[c.to_pylist() if i != 1 else c for i, c in enumerate(batch.columns)]):
+                if at != last:
+                    if len(sets) > 1:
+                        yield compare(nodes, sets)
+                    last, nodes, sets = at, [], []
+                nodes.append(node)
+                sets.append(shingle_set(text.as_py(), size))
+        if len(sets) > 1:
+            yield compare(nodes, sets)
+
+    return rows.mapInArrow(run_cells, "u long, v long")
+
+
+def with_sets(df: DataFrame, text: str, size: int, words: int, similarity: float, names: list[str]) -> DataFrame:
+    """Adds of the set of different shingles: the fingerprint's words, a 128-bit hash in two longs, its size and its prefix."""
+
+    def make():
+        def work(texts):
+            sets = [shingle_set(t, size) for t in texts]
+            counts = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets)
+            prints = [majority(flat if not i else _mixed(flat, i), counts) for i in range(words)]
+            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets), np.int64).reshape(-1, 2)
+            heads = [s[:prefix_length(len(s), similarity)] for s in sets]
+            offsets = np.cumsum([0, *[len(h) for h in heads]]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads).view(np.int64)))
+            return [*[pa.array(w.view(np.int64)) for w in prints], *[pa.array(whole[:, i].copy()) for i in (0, 1)], pa.array(counts), prefix]
+
+        return work
+
+    kinds = [*[T.LongType()] * (words + 3), T.ArrayType(T.LongType())]
+    return with_arrow_columns(df, text, list(zip(names, kinds)), make)
+
+
 def keep_one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, words: int = 4,
                        similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one row of each near-duplicate group: that of the smallest id, ids before null.
 
-    Groups are single-linkage over wide fingerprints (``64 * words`` bits) of ``size``-word shingles
-    without case and punctuation, linked at the distance expected at ``similarity``. Repeated rows are one group.
+    Groups are single-linkage over pairs whose sets of ``size``-word shingles, without case and punctuation, have a Jaccard
+    similarity of ``similarity`` or more; equal sets are one node. Candidates share a shingle of their prefixes (no pair
+    at ``similarity`` is without one) and lie within ``radius_of`` bits of ``64 * words``, six deviations beyond
+    the distance expected; every link is then decided by the sets themselves. Repeated rows are one group.
     """
-    row, names = free_name(docs, "_row"), [free_name(docs, f"_f{i}") for i in range(words)]
+    row = free_name(docs, "_row")
+    inner = [*[f"f{i}" for i in range(words)], "s0", "s1", "n", "prefix"]
+    names = [free_name(docs, f"_{i}") for i in inner]
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    stored = cut(with_fingerprints(numbered, text, size, words, normal=True, names=names))
-    prints = stored.select(F.col(row).alias("row"), F.col(id_column).alias("id"), *[F.col(n).alias(f"f{i}") for i, n in enumerate(names)])
-    fields = [f"f{i}" for i in range(words)]
+    stored = cut(with_sets(numbered, text, size, words, similarity, names))
+    prints = stored.select(F.col(row).alias("row"), F.col(id_column).alias("id"), *[F.col(n).alias(i) for n, i in zip(names, inner)])
+    fields = inner[:words]
     best = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
-    nodes = cut(prints.groupBy(*fields).agg(F.min(best).alias("best"), F.min("row").alias("node")))
-    found = links(nodes.select("node", *fields), fields, sampled_bands(words), radius_of(similarity, words))
-    roots = components(found)
+    nodes = cut(prints.groupBy("s0", "s1", *fields, "n").agg(F.min(best).alias("best"), F.min("row").alias("node")))
+    heads = prints.select(F.col("row").alias("node"), "prefix").join(nodes.select("node"), "node", "left_semi")
+    tokens = cut(heads.select("node", F.explode("prefix").alias("token")))
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    met = cut(tokens.join(shared, "token", "left_semi"))
+    found = links_below(met.join(nodes.select("node", *fields), "node"), fields, ["token"], radius_of(similarity, words))
+    groups = cut(components(found))
+    members = groups.select(F.col("u").alias("node"), "root").union(groups.select("root", "root").distinct())
+    members = members.join(nodes.select("node", "n"), "node").join(
+        stored.select(F.col(row).alias("node"), F.col(text).cast("string").alias("text")), "node")
+    roots = components(verified_links(members, size, similarity))
     rooted = nodes.join(roots, nodes.node == roots.u, "left").select("best", F.coalesce("root", "node").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.c").alias(row))
     return stored.join(chosen, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])

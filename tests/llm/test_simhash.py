@@ -141,3 +141,45 @@ def test_keep_one_per_group(spark):
     want = {g: min((i is None, i or 0) for (i, _, _), h in zip(rows, groups) if h == g) for g in groups}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i in want.values())
     assert simhash.keep_one_per_group(df.where("false")).count() == 0
+
+
+def jaccard_groups(sets, similarity):
+    root = {}
+    for start in range(len(sets)):
+        front = [start] if start not in root else []
+        root.setdefault(start, start)
+        while front:
+            x = front.pop()
+            for y in range(len(sets)):
+                if y not in root and 5 * len(sets[x] & sets[y]) >= 5 * similarity * len(sets[x] | sets[y]) - 1e-9:
+                    root[y] = start
+                    front.append(y)
+    return root
+
+
+def test_groups_are_those_of_the_shingle_sets(spark):
+    """Pairs on both sides of similarity 0.8, repeated passages, chains and short texts, against all pairs."""
+    rng = np.random.default_rng(8)
+    number = iter(range(10**9))
+    fresh = lambda n: [f"w{next(number)}" for _ in range(n)]
+    texts = []
+    for n in (8, 9, 24, 104, 204, 204, 204, 204, 404):
+        for share in (0.70, 0.75, 0.79, 0.80, 0.80, 0.81, 0.85):
+            words = fresh(n)
+            count = n - 4
+            keep = round(2 * share / (1 + share) * count)
+            texts += [words, words[:keep + 4] + fresh(count - keep)]
+    chain = fresh(304)
+    for i in range(8):
+        texts.append(chain[i * 20:i * 20 + 184])
+    line = fresh(12)
+    texts += [line + line * 60 + fresh(1), line * 2 + fresh(1), fresh(1), []]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = jaccard_groups(sets, 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_per_group(df).collect()) == sorted(set(root.values()))
+    members = spark.createDataFrame([(i, 0, len(s), t) for i, (s, t) in enumerate(zip(sets, texts))], "node long, root long, n long, text string")
+    for chunk in (10, 1000):
+        got = {r.u: r.root for r in components(simhash.verified_links(members, 5, 0.8, chunk)).collect()}
+        assert got == {k: v for k, v in root.items() if k != v}
