@@ -1,7 +1,7 @@
 """URL filter: rules for hosts and paths, and a logistic regression on character n-grams for the rest.
 
-The model is trained from a small labelled URL table (host, path, blocked). ``rule_labels`` makes one from
-the URLs that a rule decides; any other table of that form will do.
+The model is trained from a small labelled URL table (host, path, blocked), by default ``labelled_urls``; the rules
+only override it. It knows the words of that table: a bad host of other words passes.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by the model;
 repeated urls get equal verdicts; a labelled table without rows, or with one verdict only, gives the model
@@ -22,6 +22,17 @@ WIDTH = 1 << 16
 SIZES = (2, 3, 4, 5)
 #: Most labelled URLs of each verdict that a model is fitted on.
 SAMPLE = 2000
+#: Words of the labelled table; those of ``COMMON_WORDS`` go with both verdicts.
+BAD_WORDS = """casino poker roulette jackpot slots bets betting gamble lottery adult xxx porn escort viagra pills pharma
+  malware phishing warez crack keygen torrent ads adserver track tracker popup banner clickbait spam loans payday"""
+GOOD_WORDS = """school library museum weather garden history science music cooking travel hospital university council theatre
+  railway harbour village mountain river forest bakery kitchen football chess poetry painting physics biology chemistry
+  grammar dictionary encyclopedia journal gazette archive recipes knitting cycling hiking sailing astronomy geology
+  farming orchard carpenter pottery cinema orchestra parish county station bridge castle island meadow valley winter summer
+  nation there then thing other than hand ready inner rest order either action motion table stable fresh wish"""
+COMMON_WORDS = "win free best top online go my one daily club"
+PREFIXES, LANGUAGES = ("", "www.", "m.", "blog."), ("en", "de", "fr", "es")
+DOMAINS = ("example.com", "example.net", "example.org", "site.info", "seite.de", "portail.fr", "sitio.es")
 A_TO_Z, A_TO_Z_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,12 +71,17 @@ def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     return columns, values / max(1.0, float(np.sqrt((values ** 2).sum())))
 
 
-def rule_labels(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """host, path, blocked of the different urls that a rule decides."""
-    host, path = split_url(F.col(url))
-    judged = pages.select(host.alias("host"), path.alias("path")).distinct()
-    judged = judged.select("host", "path", longest_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
-    return judged.where("verdict is not null").select("host", "path", (F.col("verdict") == "block").alias("blocked"))
+def labelled_urls() -> list[tuple[str, str, bool]]:
+    """The stated table (host, path, blocked): hosts of bad and of ordinary words, both under all domains and language paths."""
+    rows = []
+    for blocked, words in ((True, BAD_WORDS), (False, GOOD_WORDS)):
+        for word in words.split():
+            for i, other in enumerate(COMMON_WORDS.split()):
+                name = (f"{word}-{other}", f"{other}-{word}", f"{other}{word}", f"{word}{other}", word)[i % 5]
+                turn = zlib.crc32(f"{name}/{i}".encode())  # domain, prefix and path say nothing about the verdict
+                host = f"{PREFIXES[turn % 4]}{name}.{DOMAINS[turn // 4 % len(DOMAINS)]}"
+                rows.append((host, f"/{LANGUAGES[turn // 64 % 4]}/{turn // 256 % 10000}{('', '/', '.html')[turn // 7 % 3]}", blocked))
+    return rows
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -98,7 +114,9 @@ def with_score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, id_column: str = "page_id",
           url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score: the longest fitting rule's verdict, else block where score >= 0.5."""
-    model = fit(rule_labels(pages, rules, url) if labelled is None else labelled)
+    if labelled is None:
+        labelled = pages.sparkSession.createDataFrame(labelled_urls(), "host string, path string, blocked boolean")
+    model = fit(labelled)
     host, path = split_url(F.col(url))
     rows = with_score(pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path")), model)
     rule = longest_rule(F.col("host"), F.col("path"), rules)

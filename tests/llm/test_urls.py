@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -63,3 +65,21 @@ def test_fit_reaches_the_optimum():
     w, b = fit_logistic(x, y, l2=1e-2, rounds=2000)
     residual = (sigmoid(x.dot(w) + b) - y) / 200
     assert np.abs(x.transposed_dot(residual) + 1e-2 * w).max() < 1e-4 and abs(residual.sum()) < 1e-4
+
+
+def test_query_model_judges_hosts_not_rules(spark):
+    """Held-out hosts of the stated table, and pages that no rule decides, by the registered query's own model."""
+    rows = urls.labelled_urls()
+    held = [i for i, (h, _, _) in enumerate(rows) if zlib.crc32(h.encode()) % 5 == 0]
+    schema = "host string, path string, blocked boolean"
+    model = urls.fit(spark.createDataFrame([r for i, r in enumerate(rows) if i not in set(held)], schema))
+    scored = urls.with_score(spark.createDataFrame([rows[i] for i in held], schema), model).collect()
+    right = sum((r.score >= 0.5) == r.blocked for r in scored)
+    print("held out", right, "of", len(scored))
+    assert right >= 0.95 * len(scored)
+    bad = ["http://m.casino-win.example.com/en/4033.html", "https://free-bets.example.com/fr/5462", "http://poker-top.example.org/en/1"]
+    good = ["https://blog.oldtown.example.com/es/12", "http://m.lanternfish.example.com/fr/7", "http://www.quiltwork.example.org/en/3"]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id int, url string")
+    got = {r.page_id: r for r in urls.judge(pages, URL_RULES).collect()}
+    assert [got[i].verdict for i in range(6)] == ["block"] * 3 + ["allow"] * 3
+    assert all(got[i].rule is None for i in range(6))
