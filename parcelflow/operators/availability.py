@@ -36,12 +36,12 @@ def _chunk_effects(batches):
         for unit, chunk, expected in zip(batch["unit_id"].tolist(), batch["chunk"].tolist(), batch["expected_revision"].tolist()):
             if (unit, chunk) != run:
                 if run is not None:
-                    out.append((*run, list(ends), list(ends.values())))
+                    out += [(*run, *e) for e in ends.items()]
                 run, ends = (unit, chunk), {}
             ends[expected] = ends.get(expected + 1, expected + 1)
-        yield pd.DataFrame(out, columns=["unit_id", "chunk", "starts", "finals"])
+        yield pd.DataFrame(out, columns=["unit_id", "chunk", "start", "final"])
     if run is not None:
-        yield pd.DataFrame([(*run, list(ends), list(ends.values()))], columns=["unit_id", "chunk", "starts", "finals"])
+        yield pd.DataFrame([(*run, *e) for e in ends.items()], columns=["unit_id", "chunk", "start", "final"])
 
 
 def _chunk_replay(batches):
@@ -60,29 +60,56 @@ def _chunk_replay(batches):
         yield pd.DataFrame({"seq": batch["seq"], "unit_id": batch["unit_id"], "accepted": accepted, "revision": after})
 
 
+def _composed(maps: DataFrame) -> DataFrame:
+    """Maps of pairs of neighbouring chunks, as rows: the even one's finals go through the odd one's starts."""
+    pair = F.shiftright("chunk", 1)
+    first = maps.where("chunk % 2 = 0").select("unit_id", pair.alias("pair"), "start", "final")
+    second = maps.where("chunk % 2 = 1").select("unit_id", pair.alias("pair"), F.col("start").alias("s"), F.col("final").alias("f"))
+    through = first.join(second.withColumnRenamed("s", "final"), ["unit_id", "pair", "final"], "left").select(
+        "unit_id", F.col("pair").alias("chunk"), "start", F.coalesce("f", "final").alias("final"))
+    past = second.select("unit_id", "pair", F.col("s").alias("start"), "f").join(first, ["unit_id", "pair", "start"], "left_anti")
+    return through.union(past.select("unit_id", "pair", "start", "f"))
+
+
+def _chunk_starts(maps: DataFrame, units: DataFrame) -> DataFrame:
+    """unit_id, chunk, revision_in: the revision of every unit before each of its chunks, from maps (unit_id, chunk, start, final).
+
+    Maps are composed pairwise in log2(chunks) rounds of joins; going back, a pair's revision is that of its first chunk,
+    and through the first one's map that of its second. No row holds more than one entry of a map.
+    """
+    ends = maps.agg(F.min("chunk"), F.max("chunk")).first()
+    base = ends[0] or 0
+    levels = [maps.withColumn("chunk", F.col("chunk") - base)]
+    for _ in range(((ends[1] or 0) - base).bit_length() - 1):
+        levels.append(cut(_composed(levels[-1])))
+    blocks = levels[0].select("unit_id", "chunk").distinct()
+    rounds = ((ends[1] or 0) - base).bit_length()
+    known = blocks.select("unit_id").distinct().join(units.select("unit_id", "revision"), "unit_id", "left").select(
+        "unit_id", F.lit(0).cast("bigint").alias("chunk"), F.coalesce("revision", F.lit(0)).cast("bigint").alias("revision_in"))
+    for level in range(rounds - 1, -1, -1):
+        here = blocks.select("unit_id", F.shiftright("chunk", level).alias("chunk")).distinct()
+        above = here.withColumn("pair", F.shiftright("chunk", 1)).join(
+            known.select("unit_id", F.col("chunk").alias("pair"), "revision_in"), ["unit_id", "pair"])
+        even = above.where("chunk % 2 = 0")
+        first = levels[level].select("unit_id", (F.col("chunk") + 1).alias("chunk"), F.col("start").alias("revision_in"), "final")
+        odd = above.where("chunk % 2 = 1").join(first, ["unit_id", "chunk", "revision_in"], "left").withColumn(
+            "revision_in", F.coalesce("final", "revision_in"))
+        known = cut(even.select("unit_id", "chunk", "revision_in").union(odd.select("unit_id", "chunk", "revision_in")))
+    return known.withColumn("chunk", F.col("chunk") + base)
+
+
 def _run_units(open_requests: DataFrame, units: DataFrame) -> DataFrame:
     """Accepted flag and revision after each request, unit by unit, as a scan over bounded chunks.
 
-    A unit's requests are cut into chunks of consecutive ``seq``. Chunk effects are composed per
-    unit (one small row per chunk), which gives every chunk its starting revision; then all
-    chunks run at the same time. A unit with most of the traffic is spread like any other.
+    A unit's requests are cut into chunks of consecutive ``seq``. Chunk effects are composed
+    pairwise, which gives every chunk its starting revision; then all chunks run
+    at the same time. A unit with most of the traffic is spread like any other.
     """
     run = ["unit_id", "chunk"]
     rows = open_requests.select("unit_id", "seq", "expected_revision").withColumn("chunk", F.floor(F.col("seq") / CHUNK_ROWS))
     effects = rows.repartition(*run).sortWithinPartitions(*run, F.col("seq").desc()).select(*run, "expected_revision").mapInPandas(
-        _chunk_effects, "unit_id bigint, chunk bigint, starts array<bigint>, finals array<bigint>")
-    listed = effects.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "starts", "finals"))).alias("fx"))
-    start = F.coalesce("revision", F.lit(0)).cast("bigint")
-
-    def advance(done: Column, fx: Column) -> Column:
-        now = F.element_at(done, -1)
-        hit = F.array_position(fx["starts"], now)
-        return F.concat(done, F.array(F.when(hit > 0, F.element_at(fx["finals"], F.greatest(hit, F.lit(1)).cast("int"))).otherwise(now)))
-
-    states = listed.join(units.select("unit_id", "revision"), "unit_id", "left").withColumn(
-        "states", F.aggregate("fx", F.array(start), advance))
-    inputs = states.select("unit_id", F.posexplode("fx").alias("i", "f"), "states").select(
-        "unit_id", F.col("f.chunk").alias("chunk"), F.get("states", F.col("i")).alias("revision_in"))
+        _chunk_effects, "unit_id bigint, chunk bigint, start bigint, final bigint")
+    inputs = _chunk_starts(cut(effects), units)
     ready = rows.join(inputs, run).repartition(*run).sortWithinPartitions(*run, "seq")
     return ready.select("seq", *run, "expected_revision", "revision_in").mapInPandas(
         _chunk_replay, "seq bigint, unit_id bigint, accepted boolean, revision bigint")

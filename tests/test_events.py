@@ -217,3 +217,22 @@ def test_workspace_visibility(spark):
         one((1, 1, "a.pdf", T0), "asset_id bigint, project_id bigint, original_name string, created_at timestamp_ntz"),
         one((1, 1, T0 - dt.timedelta(1), "failed", 10), "job_id bigint, project_id bigint, created_at timestamp_ntz, status string, progress int")).first()
     assert (w.visibility, w.processing_status, w.lots, w.client) == ("password", "processed", 1509, "Org")
+
+
+def test_chunk_maps_are_composed_as_rows(spark):
+    """Starting revisions of many chunks against a walk; no plan or row gathers a unit's maps."""
+    import random
+    rng = random.Random(9)
+    rows, want = [], {}
+    for unit in (1, 2, 3):
+        now = 4 if unit == 1 else 0
+        for chunk in sorted(rng.sample(range(3, 40), 20 if unit < 3 else 1)):
+            want[unit, chunk] = now
+            ends = {s: s + rng.randint(1, 3) for s in rng.sample(range(now + 6), min(4, now + 6))}
+            rows += [(unit, chunk, s, e) for s, e in ends.items()]
+            now = ends.get(now, now)
+    maps = spark.createDataFrame(rows, "unit_id long, chunk long, start long, final long")
+    units = spark.createDataFrame([(1, 4)], "unit_id long, revision long")
+    found = A._chunk_starts(maps, units)
+    assert {(r.unit_id, r.chunk): r.revision_in for r in found.collect()} == want
+    assert A._chunk_starts(maps.where("false"), units).count() == 0
