@@ -129,3 +129,17 @@ def test_pieces_are_those_of_the_library():
         assert v.decode(ids) == text
         found = P.Sampler(v).sample([text], [1], 1)[0][0]
         assert made.decode(found.ids.tolist()) == text
+
+
+@needs_model
+def test_query_returns_the_ids(spark):
+    import zlib
+
+    from parcelflow.llm.queries import op7_pieces
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = P.with_decoded(op7_pieces(spark, folder)).collect()
+    assert {r.doc_id for r in rows} == {i for i, t in texts.items() if t is not None}
+    assert {r["rank"] for r in rows} == {1, 2}
+    for r in rows:
+        assert r.text == texts[r.doc_id] and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
