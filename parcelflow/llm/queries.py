@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelflow.llm import balltree, decontaminate, filteraudit, licenses, pieces, pii, quality, sharding, simhash, toxicity, urls
+from parcelflow.llm import balltree, decontaminate, filteraudit, licenses, pieces, pii, quality, sharding, simhash, tokenalign, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,8 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
 FROM walked
 """
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenalign.align_documents(table(spark, folder, "documents"))
