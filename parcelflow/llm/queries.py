@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelflow.llm import balltree, decontaminate, filteraudit, licenses, pieces, pii, quality, sharding, simhash, tokenalign, toxicity, urls
+from parcelflow.llm import balltree, decontaminate, filteraudit, licenses, pieces, pii, quality, sharding, simhash, tokenalign, tokengroups, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,8 @@ FROM walked
 @query
 def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return tokenalign.align_documents(table(spark, folder, "documents"))
+
+
+@query
+def op13_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return tokengroups.join_components(table(spark, folder, "documents"), size=3, percent=90)
