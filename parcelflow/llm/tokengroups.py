@@ -12,10 +12,12 @@ The steps, each a join or a grouped aggregate over all documents:
    both (as many as may be missing, and one). The order here: hashes of the lowest quarter first, those by
    how many nodes hold them, counted exactly; then the others by hash. So crowded tokens come last.
 3. Grouping: each node is compared with the smallest node of each of its first tokens. Linked nodes form a
-   component, cut into groups of at most ``members`` nodes. Nothing inside a component needs comparing again.
-4. Tokens that two components share bring the nodes of the smaller one to the groups of the larger one.
-   A first bound comes from the sets hashed to 1,024 bits, by bit counts; the exact one from the union.
-   A group that many queries meet is dealt to several tasks.
+   component, and nothing inside a component needs comparing again. A component, or the single nodes that share
+   a smallest node, is cut into groups of at most ``members`` nodes.
+4. Groups that share a first token and are not of one component meet; those of their nodes that hold the token are
+   the queries. Tokens that many nodes hold are keyed by the smallest of these, so near copies that share a hundred
+   crowded tokens meet over a few keys, group by group. A first bound comes from the sets hashed to
+   1,024 bits, by bit counts; the exact one from the union. A group that many queries meet is dealt to several tasks.
 
 Links are decided by the hashes of the sets, whole and exact. Defined results: null and empty texts and texts without
 words have empty sets, linked with nothing, each its own component; equal sets are linked; a null id is ignored when
@@ -160,53 +162,54 @@ def _rows(batches, lists: list[str]) -> Iterator[dict]:
             yield row
 
 
-MATRIX = T.StructType([T.StructField("group", LONG), T.StructField("tokens", LONGS), T.StructField("nodes", LONGS), T.StructField("sizes", INTS),
-                       T.StructField("positions", INTS)])
+MATRIX = T.StructType([T.StructField("group", LONG), T.StructField("tokens", LONGS), T.StructField("nodes", LONGS), T.StructField("comps", LONGS),
+                       T.StructField("sizes", INTS), T.StructField("positions", INTS)])
 
 
 def matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The token-group matrix, a row per group of (group, node): the union of tokens, and the members' positions in it one after the other."""
-    rows = members.join(sets, "node").select("group", "node", "tokens").repartition("group").sortWithinPartitions("group", "node")
+    """The token-group matrix, a row per group of (group, node, comp): the union of tokens, and the members' positions in it one after the other."""
+    rows = members.join(sets, "node").select("group", "node", "comp", "tokens").repartition("group").sortWithinPartitions("group", "node")
 
-    def build(group, nodes, held):
+    def build(group, nodes, comps, held):
         tokens, positions = np.unique(np.concatenate(held), return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array([group]), _lists([tokens]), _lists([np.array(nodes, np.int64)]),
+        return pa.RecordBatch.from_arrays([pa.array([group]), _lists([tokens]), _lists([np.array(nodes, np.int64)]), _lists([np.array(comps, np.int64)]),
                                            _lists([np.array([len(h) for h in held], np.int32)], np.int32), _lists([positions.astype(np.int32)], np.int32)],
                                           names=MATRIX.names)
 
     def run(batches):
-        last, nodes, held = None, [], []
+        last, nodes, comps, held = None, [], [], []
         for row in _rows(batches, ["tokens"]):
             if row["group"] != last and nodes:
-                yield build(last, nodes, held)
-                nodes, held = [], []
+                yield build(last, nodes, comps, held)
+                nodes, comps, held = [], [], []
             last = row["group"]
             nodes.append(row["node"])
+            comps.append(row["comp"])
             held.append(row["tokens"].view(np.uint64))
         if nodes:
-            yield build(last, nodes, held)
+            yield build(last, nodes, comps, held)
 
     return rows.mapInArrow(run, MATRIX)
 
 
-def opened(groups: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, spread: int = 1024) -> DataFrame:
-    """Links (u, v) of queries (group, node) with members of their group, one for each group that has a member at the threshold.
+def opened(groups: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, spread: int = 256) -> DataFrame:
+    """Links (u, v) of queries (group, node) with members of their group at the threshold, one for each component of members.
 
     ``groups`` is a ``matrix``. More than ``spread`` queries of one group are dealt to several tasks, each with a copy of the group's row.
     """
     crowded = cut(queries.groupBy("group").count().where(F.col("count") > spread).select("group", F.ceil(F.col("count") / spread).alias("parts")))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    empty = [F.lit(None).cast(T.ArrayType(t)).alias(n) for n, t in (("nodes", LONG), ("sizes", T.IntegerType()), ("positions", T.IntegerType()))]
+    empty = [F.lit(None).cast(T.ArrayType(t)).alias(n) for n, t in (("nodes", LONG), ("comps", LONG), ("sizes", T.IntegerType()), ("positions", T.IntegerType()))]
     asked = queries.join(crowded, "group", "left").select("group", F.pmod(F.xxhash64("node"), parts).alias("part"), F.lit(1).alias("kind"), "node")
     asked = asked.join(sets, "node").select("group", "part", "kind", "node", "tokens", *empty)
     stored = groups.join(crowded, "group", "left").select(
         "group", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"),
-        "tokens", "nodes", "sizes", "positions")
+        "tokens", "nodes", "comps", "sizes", "positions")
     cells = stored.union(asked).repartition("group", "part").sortWithinPartitions("group", "part", "kind")
 
     def run(batches):
         group, found = None, []
-        for row in _rows(batches, ["tokens", "nodes", "sizes", "positions"]):
+        for row in _rows(batches, ["tokens", "nodes", "comps", "sizes", "positions"]):
             if not row["kind"]:
                 group = row
                 union, sizes = row["tokens"].view(np.uint64), row["sizes"].astype(np.int64)
@@ -225,7 +228,8 @@ def opened(groups: DataFrame, queries: DataFrame, sets: DataFrame, percent: int,
             shared = np.add.reduceat(mark[group["positions"]], starts, dtype=np.int64)
             hit = np.flatnonzero((shared * (100 + percent) >= percent * (n + sizes)) & (group["nodes"] != row["node"]))
             if len(hit):
-                found.append((row["node"], int(group["nodes"][hit[0]])))
+                one = np.unique(group["comps"][hit], return_index=True)[1]
+                found += [(row["node"], v) for v in group["nodes"][hit[one]].tolist()]
             if len(found) >= 1 << 14:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
                 found = []
@@ -242,10 +246,11 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, members: int = 64,
-                    most: int = 1 << 18) -> DataFrame:
+                    most: int = 1 << 18, crowd: int = 16) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of ``percent`` or more).
 
-    A group holds at most about ``members`` nodes and ``most`` tokens; these bound memory and change no result.
+    A group holds at most about ``members`` nodes and ``most`` tokens; tokens of more than ``crowd`` nodes are keyed by the smallest.
+    These bound memory and work and change no result.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = narrow.select("doc_id", F.xxhash64("doc_id", "text").alias("k0"), F.xxhash64("text", "doc_id").alias("k1"), "text")
@@ -254,48 +259,50 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.min("doc_id").alias("least"), F.min(F.struct("k0", "k1")).alias("k"), F.first("head").alias("head"), F.first("bits").alias("bits"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     about = nodes.select("node", "n", "bits")
+    misses = lambda n: F.expr(f"{n} * {100 - percent} div 100")
 
     held = cut(first_tokens(nodes, percent))
     pivots = held.groupBy("token").agg(F.count("*").alias("nodes"), F.min(F.struct("node", "n")).alias("pivot")).where("nodes > 1")
-    held = cut(held.join(pivots, "token").select("token", "node", "n", "pivot"))
-    active = cut(held.select("node").distinct())
+    key = F.when(F.col("nodes") > crowd, F.col("pivot.node")).otherwise(F.col("token"))
+    held = cut(held.join(pivots, "token").select(key.alias("key"), "node", "n", "pivot"))
+    active = cut(held.groupBy("node").agg(F.min("pivot.node").alias("home")))
     sets = cut(token_sets(keyed, nodes.join(active, "node").select("node", "k.k0", "k.k1"), size))
 
-    # round 1: groups of one, the smallest node of each token
+    # groups of one: the smallest node of each token
     star = held.where((F.col("node") != F.col("pivot.node")) & _near(F.col("n"), F.col("pivot.n"), percent)).select("node", F.col("pivot.node").alias("group")).distinct()
     star = star.join(about, "node").join(about.select(F.col("node").alias("group"), F.col("n").alias("m"), F.col("bits").alias("union")), "group")
-    misses = lambda n: F.expr(f"{n} * {100 - percent} div 100")
     star = cut(star.where((_missing("bits", "union") <= misses("n")) & (_missing("union", "bits") <= misses("m"))).select("group", "node"))
-    alone = matrix(star.select("group").distinct().select("group", F.col("group").alias("node")), sets)
+    alone = matrix(star.select("group").distinct().select("group", F.col("group").alias("node"), F.col("group").alias("comp")), sets)
     first = cut(opened(alone, star, sets, percent))
 
-    # round 2: components cut into groups, met by the nodes of smaller components
+    # components, or single nodes of one home, cut into groups
     labelled = cut(_labelled(about.join(active, "node"), first))
-    sizes = labelled.groupBy("comp").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / most)).alias("parts"))
-    labelled = cut(labelled.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    grouped = labelled.groupBy("comp", "chunk").agg(
-        F.min("node").alias("group"), F.min("n").alias("low"), F.max("n").alias("high"), F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)]).alias("union"))
-    grouped = cut(grouped)
-    placed = cut(held.select("token", "node").join(labelled.select("node", "n", "comp", "size", "chunk"), "node"))
-    sides = placed.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = sides.groupBy("token").count().where("count > 1").select("token")
-    sides = cut(sides.join(mixed, "token", "left_semi"))
-    small = sides.select("token", "comp", "size", F.col("low").alias("l"), F.col("high").alias("h"))
-    large = sides.select("token", F.col("comp").alias("other"), F.col("size").alias("larger"), "low", "high")
-    below = (F.col("size") < F.col("larger")) | ((F.col("size") == F.col("larger")) & (F.col("comp") < F.col("other")))
+    linked = labelled.groupBy("comp").agg((F.count("*") > 1).alias("linked"))
+    labelled = labelled.join(linked, "comp").withColumn("home", F.when(F.col("linked"), F.col("comp")).otherwise(F.col("home")))
+    parts = labelled.groupBy("linked", "home").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / most)).alias("parts"))
+    labelled = cut(labelled.join(parts, ["linked", "home"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    union = F.array(*[F.bit_or(F.col("bits")[i]) for i in range(WORDS)])
+    grouped = cut(labelled.groupBy("linked", "home", "chunk").agg(
+        F.min("node").alias("group"), F.min("n").alias("low"), F.max("n").alias("high"), union.alias("union")))
+    grouping = cut(labelled.join(grouped.select("linked", "home", "chunk", "group"), ["linked", "home", "chunk"]).select("node", "n", "comp", "group"))
+
+    # groups that meet over a key, and the nodes of the one that query the other
+    placed = cut(held.select("key", "node").distinct().join(grouping, "node"))
+    sides = placed.groupBy("key", "group").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("n").alias("l"), F.max("n").alias("h"))
+    mixed = sides.groupBy("key").agg(F.min("c").alias("c"), F.max("d").alias("d")).where("c < d").select("key")
+    sides = cut(sides.join(mixed, "key", "left_semi"))
+    others = sides.toDF("key", "other", "e", "f", "low", "high")
+    apart = (F.col("c") < F.col("d")) | (F.col("e") < F.col("f")) | (F.col("c") != F.col("e"))
     near = (100 * F.col("h") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("l"))
-    met = small.join(large, "token").where(below & near).select("token", "comp", "other")
-    asking = met.join(placed.select("token", "comp", "node"), ["token", "comp"]).select("token", F.col("other").alias("comp"), "node")
-    lists = placed.select("token", "comp", "chunk").distinct()
-    queries = asking.join(lists, ["token", "comp"]).select("node", "comp", "chunk").distinct().join(grouped, ["comp", "chunk"]).join(about, "node")
+    met = sides.join(others, "key").where((F.col("group") <= F.col("other")) & apart & near).select("key", "group", "other")
+    asking = met.join(placed.select("key", "group", "node"), ["key", "group"]).select(F.col("other").alias("group"), "node").distinct()
     able = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")) & (_missing("bits", "union") <= misses("n"))
-    queries = cut(queries.where(able).select("group", "node"))
-    wanted = grouped.join(queries.select("group").distinct(), "group", "left_semi").select("comp", "chunk", "group")
-    unions = matrix(labelled.join(wanted, ["comp", "chunk"]).select("group", "node"), sets)
+    queries = cut(asking.join(grouped.select("group", "low", "high", "union"), "group").join(about, "node").where(able).select("group", "node"))
+    unions = matrix(grouping.join(queries.select("group").distinct(), "group", "left_semi").select("group", "node", "comp"), sets)
     second = opened(unions, queries, sets, percent)
 
-    linked = labelled.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(second)
-    rooted = cut(_labelled(nodes.select("node", "s0", "s1", "n", "least"), linked))
+    links = grouping.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(second)
+    rooted = cut(_labelled(nodes.select("node", "s0", "s1", "n", "least"), links))
     smallest = rooted.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "comp").select("s0", "s1", "n", "component_id")
     found = prints.select("doc_id", "s0", "s1", "n").join(named, ["s0", "s1", "n"], "left")

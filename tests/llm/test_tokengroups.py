@@ -48,7 +48,7 @@ def copies(rng, words, base, count, edits):
         yield " ".join(text)
 
 
-@pytest.mark.parametrize("limits", [{}, {"members": 3, "most": 500}])
+@pytest.mark.parametrize("limits", [{}, {"members": 3, "most": 500, "crowd": 2}])
 def test_equals_brute_force(spark, limits):
     rng = np.random.default_rng(5)
     words = np.array([f"w{i}" for i in range(60)])
@@ -76,13 +76,13 @@ def test_crowded_group_is_dealt_out(spark):
     base = rng.choice(words, 80)
     docs = [(i, t) for i, t in enumerate(copies(rng, words, base, 150, 5))]
     sets = spark.createDataFrame([(i, tokengroups.Shingles(3).of(t).view(np.int64).tolist()) for i, t in docs], "node long, tokens array<long>")
-    members = spark.createDataFrame([(0 if i < 40 else 1, i) for i, _ in docs[:80]], "`group` long, node long")
+    members = spark.createDataFrame([(0 if i < 40 else 1, i, i % 2) for i, _ in docs[:80]], "`group` long, node long, comp long")
     queries = spark.createDataFrame([(g, i) for i, _ in docs for g in (0, 1)], "`group` long, node long")
     found = tokengroups.opened(tokengroups.matrix(members, sets), queries, sets, 90, spread=16).collect()
     plain = [plain_set(t) for _, t in docs]
     similar = lambda i, j: i != j and 100 * len(plain[i] & plain[j]) >= 90 * len(plain[i] | plain[j])
-    want = {(i, g) for i, _ in docs for g in (0, 1) if any(similar(i, j) for j in range(40 * g, 40 * g + 40))}
-    assert {(r.u, int(r.v >= 40)) for r in found} == want and all(similar(r.u, r.v) for r in found)
+    want = {(i, g, c) for i, _ in docs for g in (0, 1) for c in (0, 1) if any(similar(i, j) for j in range(40 * g + c, 40 * g + 40, 2))}
+    assert {(r.u, int(r.v >= 40), r.v % 2) for r in found} == want and all(similar(r.u, r.v) for r in found)
     assert run(spark, docs) == expected(docs)
 
 
