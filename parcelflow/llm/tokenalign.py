@@ -17,6 +17,7 @@ text. Every row counts as a document, repeated ones too; a null id is kept. No r
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -60,22 +61,38 @@ class Side:
         return ids if b"".join(map(self.as_bytes.__getitem__, ids.tolist())) == raw else None
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_side(model: bytes) -> Side:
-    """A byte-level vocabulary in the JSON format of ``tokenizers``; it reads a space and the text."""
+    """A byte-level vocabulary in the JSON format of ``tokenizers``; it reads a space and the text.
+
+    Where the n-th merge makes the n-th id after the bytes, merge ranks are ids, and ``tiktoken`` gives the same ids in a
+    quarter of the time; any other vocabulary is encoded by ``tokenizers``.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+    said = json.loads(model)
+    letters = byte_letters()
+    spelt = lambda e: bytes(map(letters.__getitem__, e))
+    special = {t["id"]: t["content"].encode() for t in said.get("added_tokens", [])}
+    table: list[bytes] = [b""] * (1 + max([*said["model"]["vocab"].values(), *special]))
+    for entry, i in said["model"]["vocab"].items():
+        table[i] = special[i] if i in special else spelt(entry)
+    for i, content in special.items():
+        table[i] = content
+    merges = [spelt("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in said["model"]["merges"]]
+    first = len(table) - len(special) - len(merges)
+    if first == 256 and merges == table[256:256 + len(merges)] and said.get("pre_tokenizer", {}).get("type") == "ByteLevel" and not said.get("normalizer"):
+        ranks = {table[i]: i for i in range(len(table)) if i not in special}
+        coded = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        return Side(table, lambda texts: [np.array(coded.encode_ordinary(f" {t}"), np.int32) for t in texts])
     made = Tokenizer.from_str(model.decode("utf-8"))
     made.encode_special_tokens = True
-    letters = byte_letters()
-    entries = [made.id_to_token(i) for i in range(made.get_vocab_size(True))]
-    table = [b"" if e is None else bytes(letters[c] for c in e) if all(c in letters for c in e) else e.encode() for e in entries]
-
-    def encode(texts):
-        found = made.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        return [np.array(f.ids, np.int32) for f in found]
-
-    return Side(table, encode)
+    return Side(table, lambda texts: [np.array(f.ids, np.int32) for f in made.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)])
 
 
 def piece_side(model: bytes) -> Side:

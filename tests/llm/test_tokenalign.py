@@ -95,3 +95,20 @@ def test_lockstep_of_documents_of_unlike_length():
     links, a_cut, b_cut = tokenalign.lockstep(a_ends, b_ends, np.array([0, 3, 3, 4, 7]), np.array([0, 2, 2, 3, 4]))
     assert sorted(zip(*links.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3), (6, 3)]
     assert a_cut.tolist() == [False, False, True, True, False, False, True] and b_cut.tolist() == [False, True, True, True]
+
+
+def test_fast_encoder_equals_the_vocabulary_file():
+    """Random strings over letters, marks, digits, spaces and symbols of many scripts."""
+    model = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    side = tokenalign.byte_side(model)
+    made = Tokenizer.from_str(model.decode())
+    made.encode_special_tokens = True
+    rng = np.random.default_rng(8)
+    ranges = [(0, 128), (0, 128), (128, 0x250), (0x250, 0x3100), (0x3000, 0xD7FF), (0xE000, 0xFFFF), (0x10000, 0x1FFFF), (9, 33), (0x2000, 0x2070)]
+    texts = ["", "<|endoftext|>", "it's we'll I'M  x\u00a0\u2003y\u3000 \u200b", "a" * 3000, " " * 500 + "x", "\n\n\t x"]
+    for _ in range(1500):
+        spans = [ranges[i] for i in rng.integers(0, len(ranges), rng.integers(1, 4))]
+        texts.append("".join(chr(rng.integers(*spans[i])) for i in rng.integers(0, len(spans), rng.integers(1, 40))))
+    want = [e.ids for e in made.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in side.encode(texts)] == want
+    assert b"".join(side.as_bytes[i] for i in want[2]).decode() == " " + texts[2]
