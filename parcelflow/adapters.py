@@ -186,11 +186,12 @@ class Tables:
 
 
 def with_shape(rings: DataFrame) -> DataFrame:
-    """Adds ``area_px`` and the bounding box ``bx0,by0,bx1,by1`` of ``ring``.
+    """Adds ``area_px`` (without ``holes``, if there is that column) and the bounding box ``bx0,by0,bx1,by1`` of ``ring``.
 
     An empty ring has a NaN box, which touches nothing. As the box is then never null, no
     null check of it is pushed down, where it would parse the geometry once more per column.
     """
-    boxed = rings.withColumn("_b", G.bbox(F.col("ring"))).withColumn("area_px", G.area(F.col("ring")))
+    area = G.holed_area(F.col("ring"), F.col("holes")) if "holes" in rings.columns else G.area(F.col("ring"))
+    boxed = rings.withColumn("_b", G.bbox(F.col("ring"))).withColumn("area_px", area)
     side = lambda c: F.coalesce(F.col("_b")[c], F.lit(float("nan"))).alias("b" + c)
     return boxed.select(*rings.columns, "area_px", *[side(c) for c in ("x0", "y0", "x1", "y1")])

@@ -130,6 +130,58 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return _inside(x, y, edges(ring))
 
 
+@once
+def left_of_outline(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule along the ray to the left, for a point that is not on the ring or is its leftmost one, which counts as outside."""
+    def flip(inside: Column, e: Column) -> Column:
+        spans = (e["ay"] > y) != (e["by"] > y)
+        rise = F.nullif(e["by"] - e["ay"], F.lit(0.0))
+        return F.when(spans & ((e["bx"] - e["ax"]) * (y - e["ay"]) / rise + e["ax"] < x - 1e-9), ~inside).otherwise(inside)
+
+    return F.aggregate(edges(ring), F.lit(False), flip)
+
+
+def holed_area(ring: Column, holes: Column) -> Column:
+    """Area of a ring without its holes, which lie inside and apart from each other."""
+    return area(ring) - F.aggregate(F.transform(holes, area), F.lit(0.0), lambda total, a: total + a)
+
+
+def holed_centroid(ring: Column, holes: Column) -> Column:
+    """Area-weighted centre of a ring without its holes."""
+    def moment(r: Column, sign: int) -> Column:
+        return bind(centroid(r), lambda c: bind(sign * area(r), lambda a: F.struct((a * c["x"]).alias("x"), (a * c["y"]).alias("y"), a.alias("a"))))
+
+    start = moment(ring, 1)
+    total = F.aggregate(F.transform(holes, lambda h: moment(h, -1)), start, lambda s, m: F.struct(
+        (s["x"] + m["x"]).alias("x"), (s["y"] + m["y"]).alias("y"), (s["a"] + m["a"]).alias("a")))
+    weighted = bind(total, lambda s: point(s["x"] / F.nullif(s["a"], F.lit(0.0)), s["y"] / F.nullif(s["a"], F.lit(0.0))))
+    return F.when(F.size(holes) == 0, centroid(ring)).otherwise(weighted)
+
+
+def interior_point(ring: Column, holes: Column) -> Column:
+    """A point inside the ring and outside its holes: in the middle of the widest stretch at half the height of the widest
+    gap between the heights of two vertices."""
+    def at_height(rings: Column, y: Column) -> Column:
+        crossing = lambda e: F.when((e["ay"] > y) != (e["by"] > y), (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"])
+        xs = F.array_sort(F.array_compact(F.transform(F.flatten(F.transform(rings, edges)), crossing)))
+
+        def widest(xs: Column) -> Column:
+            stretch = lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i + 1) + F.get(xs, 2 * i)) / 2).alias("x"))
+            return F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) / 2 - 1, F.lit(0)).cast("int")), stretch))["x"]
+
+        return point(bind(xs, widest), y)
+
+    def middle(ys: Column) -> Column:
+        gap = lambda i: F.struct((F.get(ys, i + 1) - F.get(ys, i)).alias("w"), ((F.get(ys, i + 1) + F.get(ys, i)) / 2).alias("y"))
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ys) - 2, F.lit(0))), gap))["y"]
+
+    def place(rings: Column) -> Column:
+        ys = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+        return bind(bind(ys, middle), lambda y: at_height(rings, y))
+
+    return bind(F.concat(F.array(ring), holes), place)
+
+
 def segment_foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance, unclamped parameter and foot of the point on the segment."""
     dx, dy = bx - ax, by - ay
@@ -336,6 +388,18 @@ def common_area(a: Column, b: Column) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) < 3, F.lit(0.0)).when(is_convex(b), piece(b)).when(is_convex(a), piece(a, b)).otherwise(fan(b))
 
 
+def common_area_holed(a: Column, a_holes: Column, b: Column, b_holes: Column) -> Column:
+    """Area that two rings without their holes share."""
+    signed = lambda ring, holes: F.concat(F.array(F.struct(counter_clockwise(ring).alias("r"), F.lit(1.0).alias("s"))),
+                                          F.transform(holes, lambda h: F.struct(counter_clockwise(h).alias("r"), F.lit(-1.0).alias("s"))))
+
+    def total(left: Column, right: Column) -> Column:
+        against = lambda l: F.aggregate(F.transform(right, lambda r: l["s"] * r["s"] * common_area(l["r"], r["r"])), F.lit(0.0), lambda t, v: t + v)
+        return F.aggregate(F.transform(left, against), F.lit(0.0), lambda t, v: t + v)
+
+    return bind(signed(a, a_holes), lambda left: bind(signed(b, b_holes), lambda right: total(left, right)))
+
+
 @once
 def line_crossings(ring: Column, ax, ay, bx, by) -> Column:
     """How often the boundary changes side of the line, vertices on the line ignored."""

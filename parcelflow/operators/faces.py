@@ -2,7 +2,8 @@
 
 A sheet is never assembled in one task: segments are cut where they meet (a spatial
 self-join), every half-edge learns its successor from the angles at its end node, and the
-half-edges of a face find their common smallest id in log2(longest face) joins.
+half-edges of a face find their common smallest id in log2(longest face) joins. The outline of a
+part that touches nothing else becomes a hole of the smallest face around it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from parcelflow.adapters import with_shape
 from parcelflow.functions import geometry as G
 from parcelflow.functions.let import once
 from parcelflow.operators.grouped import pick_row
-from parcelflow.operators.spatial import as_points, box_join, grow, points_in_rings
+from parcelflow.operators.spatial import as_points, box_join, boxes_at_points, grow, points_in_rings
 from parcelflow.session import cut
 
 NODE_SCALE = 1_000_000
@@ -131,17 +132,44 @@ def cycle_rings(labelled: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return with_shape(rings.select(key, F.col("face").alias("face_id"), without_straight(ring).alias("ring")))
 
 
+def hole_parents(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, hole, hole_area, face): every outline that lies inside a face, with the smallest such face.
+
+    Parts of a drawing do not touch, so one vertex tells: the leftmost one of the outline, seen along a ray to the
+    left, is outside all faces of its own part. Boxes find the few faces that may hold it, and rings are
+    joined to these pairs of ids afterwards.
+    """
+    cycles = cut(labelled.groupBy(key, "face").agg(
+        (F.sum(_real("a.x") * _real("b.y") - _real("b.x") * _real("a.y")) / 2).alias("cycle_area"), F.min(F.struct(_real("a.x").alias("x"), _real("a.y").alias("y"))).alias("p"),
+        F.min(_real("a.x")).alias("bx0"), F.min(_real("a.y")).alias("by0"), F.max(_real("a.x")).alias("bx1"), F.max(_real("a.y")).alias("by1")))
+    outlines = cycles.where("cycle_area < 0").select(key, F.col("face").alias("hole"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), (-F.col("cycle_area")).alias("hole_area"))
+    around = cycles.where("cycle_area > 0").select(key, "face", "cycle_area", "bx0", "by0", "bx1", "by1")
+    pairs = boxes_at_points(outlines, around, key).where(F.col("r.cycle_area") > F.col("l.hole_area"))
+    pairs = cut(pairs.select(F.col(f"l.{key}").alias(key), "l.hole", "l.hole_area", "l.x", "l.y", "r.face", "r.cycle_area"))
+    rings = cycle_rings(labelled, pairs.select(key, "face").distinct(), key).select(key, F.col("face_id").alias("face"), "ring")
+    inside = pairs.join(rings, [key, "face"]).where(G.left_of_outline(F.col("ring"), F.col("x"), F.col("y")))
+    return inside.groupBy(key, "hole", "hole_area").agg(F.min_by("face", F.struct("cycle_area", "face")).alias("face"))
+
+
 def trace_faces(segments: DataFrame, key: str, min_area: float = 1e-6, max_area: float | None = None,
                 prune: bool = True) -> DataFrame:
-    """Bounded faces per key with their ring, area and box. Holes are not subtracted.
+    """Bounded faces per key with their ring, ``holes`` (rings), area without these, and box.
 
-    Only faces inside the area window are put together as rings, so the outer face never is.
+    Only faces inside the area window, and faces that may be around a hole, are put together as rings, so the outer
+    face never is.
     """
     labelled = face_cycles(segments, key, prune)
-    wanted = F.col("cycle_area") >= min_area
-    if max_area is not None:
-        wanted = wanted & (F.col("cycle_area") <= max_area)
-    return cycle_rings(labelled, cycle_areas(labelled, key).where(wanted), key)
+    parents = cut(hole_parents(labelled, key))
+    lost = parents.groupBy(key, "face").agg(F.sum("hole_area").alias("_lost"))
+    sizes = cycle_areas(labelled, key).where("cycle_area > 0").join(lost, [key, "face"], "left")
+    net = F.col("cycle_area") - F.coalesce("_lost", F.lit(0.0))
+    wanted = sizes.where(net >= min_area if max_area is None else net.between(min_area, max_area))
+    rings = cycle_rings(labelled, wanted, key).drop("area_px", "bx0", "by0", "bx1", "by1")
+    outlines = cycle_rings(labelled, parents.select(key, F.col("hole").alias("face")), key).select(key, F.col("face_id").alias("hole"), F.col("ring").alias("_r"))
+    holes = parents.join(outlines, [key, "hole"]).groupBy(key, F.col("face").alias("face_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("hole", "_r"))), lambda h: h["_r"]).alias("holes"))
+    none = F.filter(F.array("ring"), lambda r: F.lit(False))
+    return with_shape(rings.join(holes, [key, "face_id"], "left").withColumn("holes", F.coalesce("holes", none)))
 
 
 WELD_STEPS = (0.25, 0.6, 1.2)
@@ -198,7 +226,7 @@ def without_straight(ring: Column, tolerance: float = 1e-7) -> Column:
 
 def dedupe_by_centroid(rings: DataFrame, key: str, tolerance: float, id_col: str) -> DataFrame:
     """One ring per rounded centroid: the largest, then the lowest id. Rounding is half to even."""
-    c = G.centroid(F.col("ring"))
+    c = G.holed_centroid(F.col("ring"), F.col("holes")) if "holes" in rings.columns else G.centroid(F.col("ring"))
     rows = rings.withColumn("_c", c).withColumns({"_kx": F.bround(F.col("_c.x") / tolerance), "_ky": F.bround(F.col("_c.y") / tolerance)})
     return pick_row(rows, [key, "_kx", "_ky"], F.struct((-F.col("area_px")).alias("a"), F.col(id_col).alias("i")), latest=False).drop("_kx", "_ky", "_c")
 
@@ -227,16 +255,16 @@ def best_face_per_anchor(segments: DataFrame, labels: DataFrame, key: str, label
     faces = trace_faces(meshes(segments, key, snaps), "mesh", low, high)
     faces = faces.withColumns({"sheet": F.col("mesh.sheet"), "rank": F.col("mesh.rank")})
     named = labels.select(F.col(key).alias("sheet"), label_id, "x", "y")
-    pairs = points_in_rings(named, faces.select("sheet", "rank", "face_id", "ring", "area_px", "bx0", "by0", "bx1", "by1"), "sheet")
+    pairs = points_in_rings(named, faces.select("sheet", "rank", "face_id", "ring", "holes", "area_px", "bx0", "by0", "bx1", "by1"), "sheet")
     per_face = pairs.groupBy("r.sheet", "r.rank", "r.face_id").agg(
         F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("f")).where("n = 1")
-    shaped = per_face.select(F.col("f.sheet").alias("sheet"), F.col(f"l.{label_id}").alias(label_id), F.col("f.rank").alias("rank"), F.col("f.ring").alias("ring"),
+    shaped = per_face.select(F.col("f.sheet").alias("sheet"), F.col(f"l.{label_id}").alias(label_id), F.col("f.rank").alias("rank"), F.col("f.ring").alias("ring"), F.col("f.holes").alias("holes"),
                              F.col("f.area_px").alias("area_px"), F.col("l.x").alias("x"), F.col("l.y").alias("y")).withColumns({
-        "_rect": G.oriented_rect(F.col("ring")), "_c": G.centroid(F.col("ring")), "corners": G.corner_count(F.col("ring"))})
+        "_rect": G.oriented_rect(F.col("ring")), "_c": G.holed_centroid(F.col("ring"), F.col("holes")), "corners": G.corner_count(F.col("ring"))})
     shaped = shaped.withColumns({
         "fill": G.fill_ratio(F.col("area_px"), F.col("_rect")),
         "centred": F.hypot(F.col("_c.x") - F.col("x"), F.col("_c.y") - F.col("y")) / F.greatest(F.sqrt("area_px"), F.lit(1.0))})
     fit = shaped.where((F.col("fill") >= 0.55) & (F.col("corners") <= 32) & (F.col("centred") <= 0.65))
     score = F.struct("rank", F.abs(1 - F.col("fill")).alias("off_fill"), "centred", "corners", "area_px")
-    best = pick_row(fit.select("sheet", label_id, "rank", "ring", "area_px", "fill", "centred", "corners"), ["sheet", label_id], score, latest=False)
+    best = pick_row(fit.select("sheet", label_id, "rank", "ring", "holes", "area_px", "fill", "centred", "corners"), ["sheet", label_id], score, latest=False)
     return with_shape(best.drop("area_px").withColumnRenamed("sheet", key))

@@ -23,6 +23,11 @@ MIN_LEVEL = -20
 BOX = ("bx0", "by0", "bx1", "by1")
 
 
+def shape_columns(df: DataFrame) -> list[str]:
+    """What a ring relation is read by: ring, holes where it has them, and box."""
+    return ["ring", *(["holes"] if "holes" in df.columns else []), *BOX]
+
+
 def as_points(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     return df.withColumns({"bx0": px, "by0": py, "bx1": px, "by1": py})
@@ -80,12 +85,21 @@ def box_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return _one_way(right, left, key, flipped=False).unionByName(_one_way(left, right, key, flipped=True))
 
 
+def boxes_at_points(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """Pairs of a point (``x``, ``y``) and a box that holds it, sides included."""
+    return _one_way(boxes, as_points(points), key, flipped=False)
+
+
 def points_in_rings(points: DataFrame, rings: DataFrame, key: str, boundary: bool = True) -> DataFrame:
     """Pairs of a point (``x``, ``y``) and a ring that holds it. ``boundary`` tells whether a point
-    on the outline counts."""
-    pairs = _one_way(rings, as_points(points), key, flipped=False)
-    test = G.covers if boundary else G.contains_strict
-    return pairs.where(test(F.col("l.x"), F.col("l.y"), F.col("r.ring")))
+    on the outline counts. Where the rings have ``holes``, a point in a hole is not held."""
+    pairs = boxes_at_points(points, rings, key)
+    test, hole_test = (G.covers, G.contains_strict) if boundary else (G.contains_strict, G.covers)
+    x, y = F.col("l.x"), F.col("l.y")
+    held = test(x, y, F.col("r.ring"))
+    if "holes" in rings.columns:
+        held = held & ~F.exists("r.holes", lambda h: hole_test(x, y, h))
+    return pairs.where(held)
 
 
 def rings_within(left: DataFrame, right: DataFrame, key: str, distance: float, not_self: Column | None = None) -> DataFrame:
@@ -99,12 +113,17 @@ def rings_within(left: DataFrame, right: DataFrame, key: str, distance: float, n
 def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | None = None) -> DataFrame:
     """Pairs with a common area: intersection, ratio to the smaller ring and to the left ring.
 
-    Exact for simple rings of any shape.
+    Exact for simple rings of any shape, and without their ``holes`` where there are such.
     """
     pairs = box_join(left, right, key)
     if not_self is not None:
         pairs = pairs.where(not_self)
     shared = bind(G.counter_clockwise(F.col("l.ring")), lambda a: bind(G.counter_clockwise(F.col("r.ring")), lambda b: G.common_area(a, b)))
+    if "holes" in left.columns or "holes" in right.columns:
+        holes = lambda df, side: F.col(f"{side}.holes") if "holes" in df.columns else F.filter(F.array(F.col(f"{side}.ring")), lambda h: F.lit(False))
+        l_holes, r_holes = holes(left, "l"), holes(right, "r")
+        shared = F.when((F.size(l_holes) == 0) & (F.size(r_holes) == 0), shared).otherwise(
+            G.common_area_holed(F.col("l.ring"), l_holes, F.col("r.ring"), r_holes))
     pairs = with_computed(pairs, "inter_area", shared)
     la, ra = F.col("l.area_px"), F.col("r.area_px")
     return pairs.select(

@@ -227,3 +227,52 @@ def test_candidate_choice(spark):
     df = spark.createDataFrame([(1, i, n, a, c) for i, (n, a, c) in enumerate(table)], "sheet int, rank int, n int, agreement double, coverage double")
     best = Q.choose_candidate(Q.score_candidates(df), "sheet").first()
     assert best.n == 1508 and best.score == pytest.approx(0.9958, abs=1e-4)
+
+
+def holed(faces):
+    return sorted((round(f.area_px, 6), round(f.bx0, 6), len(f.holes)) for f in faces.collect())
+
+
+def test_holes_go_to_the_smallest_face_around(spark):
+    """A lot with two holes, one of them with a lot and a lot in that; a neighbour; a hole that touches its frame; another sheet."""
+    lines = sides(0, 0, 100, 50) + sides(10, 10, 40, 40) + sides(15, 15, 35, 35) + sides(20, 20, 25, 25) + sides(60, 10, 80, 30)
+    lines += [(1, 70, 10, 70, 30)] + sides(100, 0, 150, 50) + sides(110, 0, 120, 10) + sides(-50, 0, -40, 10)
+    lines += [(2, *r[1:]) for r in sides(30, 20, 50, 45)]
+    want = [(5000 - 900 - 400, 0, 2), (900 - 400, 10, 1), (400 - 25, 15, 1), (25, 20, 0), (200, 60, 0), (200, 70, 0), (2500 - 100, 100, 0), (100, 110, 0), (100, -50, 0), (500, 30, 0)]
+    assert holed(Fc.trace_faces(segments(spark, lines), "sheet")) == sorted((float(a), float(x), n) for a, x, n in want)
+    # the window is on the area without holes, and a face below it still takes its hole
+    assert [f[0] for f in holed(Fc.trace_faces(segments(spark, lines), "sheet", 401, 2500))] == [500, 500, 2400]
+
+
+def test_round_holes_at_awkward_places(spark):
+    """Hexagons in hexagons, turned so that no side is level, against polygon areas."""
+    ring = lambda x, y, r, turn: [(x + r * math.cos(turn + i * math.pi / 3), y + r * math.sin(turn + i * math.pi / 3)) for i in range(6)]
+    outlines = [ring(0, 0, 40, 0.1)] + [ring(x, y, 6, 0.3 * x) for x, y in ((-20, 0), (0, 0), (20, 0), (0, 20))] + [ring(0, 0, 3, 0.7), ring(100, 0, 10, 0.2), ring(45, 0, 3, 0.0)]
+    lines = [(1, *r[i], *r[(i + 1) % 6]) for r in outlines for i in range(6)]
+    size = lambda r: 1.5 * math.sqrt(3) * r * r
+    want = [size(40) - 4 * size(6), *[size(6)] * 3, size(6) - size(3), size(3), size(10), size(3)]
+    got = Fc.trace_faces(segments(spark, lines), "sheet").collect()
+    assert sorted(round(f.area_px, 2) for f in got) == sorted(round(a, 2) for a in want)
+    inner = {round(f.area_px, 2): f for f in got}
+    assert len(inner[round(want[0], 2)].holes) == 4 and len(inner[round(want[4], 2)].holes) == 1
+
+
+def test_labels_see_holes(spark):
+    lines = sides(0, 0, 40, 20) + sides(10, 5, 20, 15)
+    best = Fc.best_face_per_anchor(segments(spark, lines), points(spark, [(28, 10), (15, 10)]), "sheet", "label_id", 20, 900, snaps=(None,)).collect()
+    assert {r.label_id: round(r.area_px, 6) for r in best} == {0: 700, 1: 100}
+
+
+def test_interior_points_and_holed_areas(spark):
+    shapes = [([(0, 0), (10, 0), (10, 10), (0, 10)], [[(1, 1), (9, 1), (9, 9), (1, 9)]]), ([(0, 0), (9, 0), (9, 1), (1, 1), (1, 9), (0, 9)], []),
+              ([(0, 0), (8, 0), (4, 7)], [[(3, 1), (5, 1), (4, 3)]])]
+    kind = "i int, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"
+    fl = lambda r: [(float(x), float(y)) for x, y in r]
+    rows = spark.createDataFrame([(i, fl(r), [fl(h) for h in hs]) for i, (r, hs) in enumerate(shapes)], kind)
+    for r in rows.select("i", G.interior_point(F.col("ring"), F.col("holes")).alias("p"), G.holed_area(F.col("ring"), F.col("holes")).alias("a"),
+                         G.holed_centroid(F.col("ring"), F.col("holes")).alias("c")).collect():
+        ring, holes = shapes[r.i]
+        inside = lambda poly: sum((a[1] > r.p.y) != (b[1] > r.p.y) and r.p.x < (b[0] - a[0]) * (r.p.y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(poly, poly[1:] + poly[:1])) % 2
+        assert inside(ring) and not any(map(inside, holes))
+        assert abs(r.a - [36, 17, 26][r.i]) < 1e-9
+        assert r.i != 0 or abs(r.c.x - 5) + abs(r.c.y - 5) < 1e-9
