@@ -359,3 +359,33 @@ def _(t):
     from parcelflow.plans.q_quality import lot_labels
     best = Fc.best_face_per_anchor(t.segments(), lot_labels(t), "sheet_id", "label_id", 20, 400, snaps=(None, 0.5))
     return best.select("sheet_id", "label_id", "rank", F.round("area_px", 4).alias("area"), F.round("bx0", 4).alias("x"), F.round("by0", 4).alias("y"))
+
+
+#: Rectangles drawn inside lots, by lot_id % 4, relative to the lot's corner: one hole; two holes; a hole with a lot in it.
+INNER = [(1, 5, 5, 10, 10), (2, 2, 2, 4, 4), (2, 10, 6, 13, 9), (3, 4, 3, 14, 12), (3, 6, 5, 9, 8)]
+
+
+def nested_segments(t):
+    lots = t.lots.select(F.col("version_id").alias("sheet_id"), "lot_id", F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
+    inner = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("kind", "x0", "y0", "x1", "y1"), r)]) for r in [(-1, 0, 0, 20, 15), *INNER]])
+    r = lots.select("*", F.inline(inner)).where("kind = -1 or kind = lot_id % 4")
+    corner = lambda a, b: G.point(F.col("x") + F.col(a), F.col("y") + F.col(b))
+    ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+    return r.select("sheet_id", F.inline(G.edges(ring)))
+
+
+@query("geo_trace_faces_nested", """
+WITH f(kind, dx, dy, area, holes) AS (VALUES (0, 0, 0, 300, 0), (1, 0, 0, 275, 1), (1, 5, 5, 25, 0), (2, 0, 0, 287, 2), (2, 2, 2, 4, 0), (2, 10, 6, 9, 0),
+  (3, 0, 0, 210, 1), (3, 4, 3, 81, 1), (3, 6, 5, 9, 0))
+SELECT version_id AS sheet_id, (x0 + dx)::double AS x, (y0 + dy)::double AS y, area::double AS area, cast(holes AS int) AS holes FROM lots JOIN f ON kind = lot_id % 4""")
+def _(t):
+    f = Fc.trace_faces(nested_segments(t), "sheet_id")
+    return f.select("sheet_id", F.col("bx0").alias("x"), F.col("by0").alias("y"), F.round("area_px", 6).alias("area"), F.size("holes").alias("holes"))
+
+
+@query("win_best_face_nested", """
+SELECT version_id AS sheet_id, lot_id AS label_id, CASE lot_id % 4 WHEN 0 THEN 300 WHEN 1 THEN 25 WHEN 2 THEN 287 ELSE 9 END::double AS area FROM lots WHERE name LIKE 'L0%'""")
+def _(t):
+    labels = t.lots.where("name like 'L0%'").select(F.col("version_id").alias("sheet_id"), F.col("lot_id").alias("label_id"), (F.col("x0") + 7.5).alias("x"), (F.col("y0") + 6.5).alias("y"))
+    best = Fc.best_face_per_anchor(nested_segments(t), labels, "sheet_id", "label_id", 5, 400, snaps=(None, 0.5))
+    return best.select("sheet_id", "label_id", F.round("area_px", 4).alias("area"))
