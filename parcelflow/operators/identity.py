@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelflow.functions import codes as C
 from parcelflow.operators.grouped import pick_row
 from parcelflow.operators.lots import trusted_label
+from parcelflow.session import cut
 
 # The stronger status wins when legacy lots merge.
 BACKFILL_RANK = {"available": 0, "reserved": 1, "blocked": 2, "sold": 3}
@@ -123,44 +124,76 @@ def backfill_units(lots: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bind_plan(requests: DataFrame, lots: DataFrame, units: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Outcome per bind request: ``create``, ``reuse``, ``absorb``, ``conflict_*``, ``not_found`` or ``deferred``.
-
-    ``requests(seq, project_id, system, external_unit_id, lot_id)`` are judged against the current
-    ``units(unit_id, project_id, external_system, external_unit_id, status, revision, mapping_state)`` and
-    ``bridge(lot_id, unit_id, version_id)``. Requests that touch the same lot or reference as an
-    earlier one are deferred to the next run.
+    """Outcome per bind request as if all were handled in the order of ``seq``: ``create``, ``reuse``, ``absorb``, ``conflict_lot_bound``,
+    ``conflict_reference``, ``conflict_version`` or ``not_found``; with the unit, or the request that made it (``created_by``).
+
+    ``requests(seq, project_id, system, external_unit_id, lot_id)`` start from ``units(unit_id, project_id, external_system,
+    external_unit_id, status, revision, mapping_state)`` and ``bridge(lot_id, unit_id, version_id)``.
+
+    Requests meet in two places only. A lot, or all lots of its unit, takes one reference for good; a reference has room for one lot in
+    each version, and the first request that succeeds names its unit. So the requests that change anything are an ordered
+    matching of lots to places, built in rounds: one that is the earliest open of both succeeds, and whatever wants a taken lot or
+    place is out at once, so a lot or reference with any number of requests takes no more rounds. Rounds are at most half of the
+    longest chain of requests in which each shares a lot or a place with the next, later one; in other orders few.
+    The outcomes of all other requests then follow from what was taken before them.
     """
-    by_ref = requests.groupBy("project_id", "system", "external_unit_id").agg(F.min("seq").alias("_first_ref"))
-    by_lot = requests.groupBy("lot_id").agg(F.min("seq").alias("_first_lot"))
-    lot = lots.select("lot_id", F.col("project_id").alias("_lot_project"), F.col("version_id").alias("_version"))
+    spark = requests.sparkSession
     links = bridge.groupBy("unit_id").agg(F.count("*").alias("_links"))
-    linked = bridge.select("lot_id", F.col("unit_id").alias("_linked")).join(
-        units.select(F.col("unit_id").alias("_linked"), F.col("external_system").alias("_l_sys"), F.col("external_unit_id").alias("_l_ext"),
-                     F.col("status").alias("_l_status"), F.col("revision").alias("_l_rev"), F.col("mapping_state").alias("_l_state")), "_linked").join(
+    of_lot = bridge.select("lot_id", F.col("unit_id").alias("_linked")).join(
+        units.select(F.col("unit_id").alias("_linked"), "external_system", F.col("external_unit_id").alias("_ext"), F.col("status").alias("_l_status"), "revision", "mapping_state"), "_linked").join(
         links.withColumnRenamed("unit_id", "_linked"), "_linked", "left")
-    named = units.where(F.col("external_system").isNotNull()).select(
-        "project_id", F.col("external_system").alias("system"), "external_unit_id", F.col("unit_id").alias("_named"), F.col("status").alias("_n_status"))
-    in_version = bridge.select(F.col("unit_id").alias("_named"), F.col("version_id").alias("_version"), F.col("lot_id").alias("_held")).groupBy(
-        "_named", "_version").agg(F.max("_held").alias("_held"))
-    row = (requests.join(by_ref, ["project_id", "system", "external_unit_id"]).join(by_lot, "lot_id").join(lot, "lot_id", "left")
-           .join(linked, "lot_id", "left").join(named, ["project_id", "system", "external_unit_id"], "left").join(in_version, ["_named", "_version"], "left"))
-    other = F.col("_named").isNotNull() & F.col("_linked").isNotNull() & (F.col("_named") != F.col("_linked"))
-    provisional = (F.col("_l_sys").isNull() & (F.col("_l_rev") == 0) & (F.col("_l_state") == "needs_reconciliation") & (F.col("_links") == 1))
-    keeps_sale = F.col("_l_status").isin("sold", "reserved") & (F.col("_n_status") != F.col("_l_status"))
-    immutable = F.col("_linked").isNotNull() & F.col("_l_sys").isNotNull() & (
-        (F.col("_l_sys") != F.col("system")) | (F.col("_l_ext") != F.col("external_unit_id")))
-    held = F.col("_named").isNotNull() & F.col("_held").isNotNull() & (F.col("_held") != F.col("lot_id"))
+    ref = F.struct("project_id", F.col("system"), F.col("external_unit_id")).alias("ref")
+    unit_ref = F.struct("project_id", F.col("external_system").alias("system"), "external_unit_id").alias("ref")
+    rows = requests.join(lots.select("lot_id", F.col("project_id").alias("_lot_project"), F.col("version_id").alias("version"), F.col("status").alias("_lot_status")), "lot_id", "left").join(of_lot, "lot_id", "left")
+    linked = F.col("_linked").isNotNull()
+    taker = F.when(linked, F.concat(F.lit("unit:"), F.col("_linked").cast("string"))).otherwise(F.concat(F.lit("lot:"), F.col("lot_id").cast("string")))
+    provisional = F.col("external_system").isNull() & (F.col("revision") == 0) & (F.col("mapping_state") == "needs_reconciliation") & (F.col("_links") == 1)
+    rows = rows.select(
+        "seq", "lot_id", ref, F.coalesce(F.col("_lot_project") == F.col("project_id"), F.lit(False)).alias("found"), "version", taker.alias("taker"), linked.alias("linked"), "_linked",
+        F.coalesce(provisional, F.lit(False)).alias("provisional"), F.coalesce("_l_status", "_lot_status").alias("status"),
+        F.when(F.col("external_system").isNotNull(), F.struct("project_id", F.col("external_system").alias("system"), F.col("_ext").alias("external_unit_id"))).alias("own_ref"))
+    rows = cut(rows)
+    # what is there before the first request: seq null
+    start = units.where(F.col("external_system").isNotNull())
+    never = F.lit(None).cast(requests.schema["seq"].dataType).alias("since")
+    named = cut(start.select(unit_ref, never, F.col("status").alias("named_status"), F.col("unit_id").alias("named_unit")))
+    places = cut(start.select("unit_id", unit_ref).join(bridge, "unit_id").groupBy("ref", F.col("version_id").alias("version")).agg(F.max("lot_id").alias("held_by")).withColumn("since", never))
+    bound = cut(rows.where("false").select("taker", F.col("seq").alias("since"), F.col("ref").alias("bound_ref")))
+    keeps_sale = F.col("status").isin("sold", "reserved") & (F.col("named_status") != F.col("status"))
+    barred = F.col("named_status").isNotNull() & F.col("linked") & (~F.col("provisional") | keeps_sale)
+    open_ = rows.where(F.col("found") & F.col("own_ref").isNull())
+    while True:
+        free = open_.join(bound.select("taker"), "taker", "left_anti").join(places.select("ref", "version"), ["ref", "version"], "left_anti")
+        open_ = cut(free.join(named.select("ref", "named_status"), "ref", "left").where(~barred).drop("named_status"))
+        if open_.isEmpty():
+            break
+        first = lambda *keys: open_.groupBy(*keys).agg(F.min("seq").alias("seq"))
+        ready = open_.join(first("taker"), ["taker", "seq"], "left_semi").join(named.select("ref", F.lit(True).alias("is_named")), "ref", "left")
+        # a reference without a unit may get one for several versions, so its earliest request of all goes first
+        ready = ready.join(first("ref", "version").withColumn("_v", F.lit(True)), ["ref", "version", "seq"], "left").join(
+            first("ref").withColumn("_r", F.lit(True)), ["ref", "seq"], "left")
+        won = cut(ready.where(F.when(F.col("is_named"), F.col("_v")).otherwise(F.col("_r"))))
+        made = won.where("is_named is null")
+        bound = cut(bound.unionByName(won.select("taker", F.col("seq").alias("since"), F.col("ref").alias("bound_ref"))))
+        named = cut(named.unionByName(made.select("ref", F.col("seq").alias("since"), F.col("status").alias("named_status"), F.col("_linked").alias("named_unit"))))
+        taken = won.select("ref", "version", F.col("lot_id").alias("held_by"), F.col("seq").alias("since"))
+        along = made.where("linked").select("ref", F.col("_linked").alias("unit_id"), F.col("seq").alias("since")).join(bridge, "unit_id").select(
+            "ref", F.col("version_id").alias("version"), F.col("lot_id").alias("held_by"), "since")
+        places = cut(places.unionByName(taken.unionByName(along).dropDuplicates(["ref", "version"])))
+        open_ = open_.join(won.select("seq"), "seq", "left_anti")
+
+    full = rows.join(bound.withColumnRenamed("since", "_bound"), "taker", "left").join(named.withColumnRenamed("since", "_named"), "ref", "left")
+    there = F.col("named_status").isNotNull() & (F.col("_named").isNull() | (F.col("_named") < F.col("seq")))
+    before = F.when(F.col("own_ref").isNotNull(), F.col("own_ref")).when(F.col("_bound") < F.col("seq"), F.col("bound_ref"))
+    wins = F.coalesce(F.col("_bound") == F.col("seq"), F.lit(False))
     outcome = (
-        F.when((F.col("seq") > F.col("_first_ref")) | (F.col("seq") > F.col("_first_lot")), "deferred")
-        .when(F.col("_lot_project").isNull() | (F.col("_lot_project") != F.col("project_id")), "not_found")
-        .when(other & (~provisional | keeps_sale), "conflict_lot_bound")
-        .when(~other & immutable, "conflict_reference")
-        .when((other | F.col("_linked").isNull()) & held, "conflict_version")
-        .when(other, "absorb")
-        .when(F.col("_linked").isNotNull() | F.col("_named").isNotNull(), "reuse")
-        .otherwise("create"))
-    unit = F.when(outcome.isin("absorb", "reuse"), F.coalesce(F.when(other, F.col("_named")), F.col("_linked"), F.col("_named")))
-    return row.select(*requests.columns, outcome.alias("outcome"), unit.alias("unit_id"))
+        F.when(~F.col("found"), "not_found")
+        .when(before.isNotNull(), F.when(before == F.col("ref"), "reuse").when(there, "conflict_lot_bound").otherwise("conflict_reference"))
+        .when(wins, F.when(there, F.when(F.col("linked"), "absorb").otherwise("reuse")).otherwise(F.when(F.col("linked"), "reuse").otherwise("create")))
+        .when(barred, "conflict_lot_bound").otherwise("conflict_version"))
+    done = full.select("seq", "lot_id", "ref.*", outcome.alias("outcome"), "named_unit", "_named")
+    good = F.col("outcome").isin("create", "reuse", "absorb")
+    return done.select(*requests.columns, "outcome", F.when(good, F.col("named_unit")).alias("unit_id"), F.when(good & F.col("named_unit").isNull(), F.col("_named")).alias("created_by"))
 
 
 def carry_from_base(lots: DataFrame, base: DataFrame, bridge: DataFrame, units: DataFrame, expected: DataFrame) -> DataFrame:

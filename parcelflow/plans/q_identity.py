@@ -138,19 +138,31 @@ def _(t):
 
 
 @query("unit_bind_plan", f"""
-WITH un AS (SELECT l.lot_id AS unit_id, project_id, version_id, {STATUS_SQL} AS status, CASE WHEN l.lot_id % 2 = 0 THEN 'crm' END AS sys, 'U' || l.lot_id AS ext, l.lot_id % 4 AS rev, l.lot_id % 3 = 0 AS needs FROM lots l WHERE version_id % 2 = 0),
+WITH RECURSIVE un AS (SELECT l.lot_id AS unit_id, project_id, version_id, {STATUS_SQL} AS status, CASE WHEN l.lot_id % 2 = 0 THEN 'crm' END AS sys, 'U' || l.lot_id AS ext, l.lot_id % 4 AS rev, l.lot_id % 3 = 0 AS needs FROM lots l WHERE version_id % 2 = 0),
 br AS (SELECT unit_id, unit_id AS lot_id, version_id FROM un UNION ALL SELECT lot_id - 25, lot_id, version_id FROM lots WHERE version_id % 2 = 1 AND lot_id % 5 = 0 AND lot_id >= 25),
 rq AS (SELECT seq, lot_id % 25 AS project_id, sys, ext, lot_id FROM (SELECT l_orderkey * 10 + l_linenumber AS seq, min(l_partkey) AS lot_id, 'crm' AS sys, 'U' || (min(l_partkey) + 25 * (min(l_suppkey) % 3 - 1)) AS ext FROM lineitem GROUP BY 1)),
-f AS (SELECT *, min(seq) OVER (PARTITION BY project_id, sys, ext) AS f1, min(seq) OVER (PARTITION BY lot_id) AS f2 FROM rq),
-j AS (SELECT f.*, lt.version_id, li.unit_id AS linked, lu.sys AS l_sys, lu.ext AS l_ext, lu.status AS l_st, lu.rev AS l_rev, lu.needs AS l_needs, (SELECT count(*) FROM br x WHERE x.unit_id = li.unit_id) AS l_n, nu.unit_id AS named, nu.status AS n_st,
-    (SELECT max(x.lot_id) FROM br x WHERE x.unit_id = nu.unit_id AND x.version_id = lt.version_id) AS held
-  FROM f LEFT JOIN lots lt ON lt.lot_id = f.lot_id LEFT JOIN br li ON li.lot_id = f.lot_id LEFT JOIN un lu ON lu.unit_id = li.unit_id LEFT JOIN un nu ON nu.project_id = f.project_id AND nu.sys = f.sys AND nu.ext = f.ext),
-o AS (SELECT *, coalesce(named <> linked, false) AS other FROM j)
-SELECT seq, CASE WHEN seq > f1 OR seq > f2 THEN 'deferred' WHEN version_id IS NULL THEN 'not_found'
-  WHEN other AND (NOT (l_sys IS NULL AND l_rev = 0 AND l_needs AND l_n = 1) OR (l_st IN ('sold', 'reserved') AND n_st <> l_st)) THEN 'conflict_lot_bound'
-  WHEN NOT other AND linked IS NOT NULL AND l_sys IS NOT NULL AND (l_sys <> sys OR l_ext <> ext) THEN 'conflict_reference'
-  WHEN (other OR linked IS NULL) AND named IS NOT NULL AND held IS NOT NULL AND held <> lot_id THEN 'conflict_version'
-  WHEN other THEN 'absorb' WHEN linked IS NOT NULL OR named IS NOT NULL THEN 'reuse' ELSE 'create' END AS outcome FROM o""")
+q AS (
+  SELECT rq.*, lt.version_id AS ver, coalesce('u' || li.unit_id, 'l' || rq.lot_id) AS taker, li.unit_id IS NOT NULL AS linked, lu.sys IS NOT NULL AS has_ref, lu.status AS lst, {STATUS_SQL.replace(' s ', ' lt.s ')} AS lot_st,
+    coalesce(lu.sys IS NULL AND lu.rev = 0 AND lu.needs AND (SELECT count(*) FROM br x WHERE x.unit_id = li.unit_id) = 1, false) AS prov,
+    (SELECT map(list(x.version_id::varchar ORDER BY x.version_id), list(x.lot_id ORDER BY x.version_id)) FROM br x WHERE x.unit_id = li.unit_id) AS along,
+    row_number() OVER (PARTITION BY rq.project_id ORDER BY rq.seq) AS i
+  FROM rq LEFT JOIN lots lt ON lt.lot_id = rq.lot_id AND lt.project_id = rq.project_id LEFT JOIN br li ON li.lot_id = rq.lot_id LEFT JOIN un lu ON lu.unit_id = li.unit_id),
+z AS (SELECT project_id, map(list('u' || unit_id), list(ext)) AS refs, map(list(ext), list(status)) AS named FROM un WHERE sys IS NOT NULL GROUP BY project_id),
+y AS (SELECT project_id, map(list(k), list(lot_id)) AS held FROM (SELECT u.project_id, u.ext || ':' || x.version_id AS k, max(x.lot_id) AS lot_id FROM un u JOIN br x USING (unit_id) WHERE sys IS NOT NULL GROUP BY ALL) GROUP BY project_id),
+w AS (
+  SELECT project_id, 0::bigint AS i, NULL::bigint AS seq, NULL::varchar AS outcome, coalesce(refs, map([]::varchar[], []::varchar[])) AS refs,
+    coalesce(named, map([]::varchar[], []::varchar[])) AS named, coalesce(held, map([]::varchar[], []::bigint[])) AS held
+  FROM (SELECT DISTINCT project_id FROM rq) LEFT JOIN z USING (project_id) LEFT JOIN y USING (project_id)
+  UNION ALL
+  SELECT project_id, i, seq, outcome, CASE WHEN ok THEN map_concat(refs, MAP {{taker: ext}}) ELSE refs END,
+    CASE WHEN ok AND n IS NULL THEN map_concat(named, MAP {{ext: CASE WHEN linked THEN lst ELSE lot_st END}}) ELSE named END,
+    CASE WHEN ok AND n IS NULL AND linked THEN map_concat(held, map([ext || ':' || v FOR v IN map_keys(along)], map_values(along))) WHEN ok THEN map_concat(held, MAP {{ext || ':' || ver: lot_id}}) ELSE held END
+  FROM (SELECT *, b IS NULL AND outcome IN ('create', 'reuse', 'absorb') AS ok FROM (
+    SELECT *, CASE WHEN ver IS NULL THEN 'not_found' WHEN b IS NOT NULL THEN CASE WHEN b = ext THEN 'reuse' WHEN n IS NOT NULL THEN 'conflict_lot_bound' ELSE 'conflict_reference' END
+      WHEN n IS NULL THEN CASE WHEN linked THEN 'reuse' ELSE 'create' END
+      WHEN linked AND (NOT prov OR (lst IN ('sold', 'reserved') AND n <> lst)) THEN 'conflict_lot_bound' WHEN h IS NOT NULL THEN 'conflict_version' WHEN linked THEN 'absorb' ELSE 'reuse' END AS outcome
+    FROM (SELECT q.*, w.refs, w.named, w.held, w.refs[q.taker] AS b, w.named[q.ext] AS n, w.held[q.ext || ':' || q.ver] AS h FROM w JOIN q ON q.project_id = w.project_id AND q.i = w.i + 1))))
+SELECT seq, outcome FROM w WHERE i > 0""")
 def _(t):
     units = units_of_first_version(t).withColumns({
         "external_system": F.when(F.col("unit_id") % 2 == 0, "crm"), "external_unit_id": F.concat(F.lit("U"), F.col("unit_id").cast("string")),
@@ -158,7 +170,7 @@ def _(t):
     li = t.raw("lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(F.min("l_partkey").alias("lot_id"), F.min("l_suppkey").alias("sup"))
     requests = li.select("seq", (F.col("lot_id") % 25).alias("project_id"), F.lit("crm").alias("system"),
                          F.concat(F.lit("U"), (F.col("lot_id") + 25 * (F.col("sup") % 3 - 1)).cast("string")).alias("external_unit_id"), "lot_id")
-    return I.bind_plan(requests, t.lots, units, bridge_rows(t)).select("seq", "outcome")
+    return I.bind_plan(requests, status_lots(t), units, bridge_rows(t)).select("seq", "outcome")
 
 
 @query("join_base_version_carry", f"""
