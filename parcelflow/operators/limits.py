@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelflow.operators.grouped import first_rows
@@ -54,6 +56,111 @@ def sliding_failures(failures: DataFrame, keys: list[str], limit: int = FAILURE_
     return counted.select(*failures.columns, "failures", full.alias("blocked"), F.when(full, wait).alias("retry_after"))
 
 
+def walk_attempts(t: np.ndarray, ok: np.ndarray, hits: list[int], limit: int, span: int) -> tuple[np.ndarray, list[int]]:
+    """When each attempt's block ends (0: not blocked) and the failures that count after the last one.
+
+    ``t`` rises. Only failures that count and successes that clear take a step: a block is left by one search for its end,
+    and what follows a cleared state up to the next failure changes nothing.
+    """
+    until = np.zeros(len(t), np.int64)
+    failures = np.flatnonzero(~ok)
+    at = 0
+    while at < len(t):
+        now = int(t[at])
+        hits = [h for h in hits if h > now - span]
+        if len(hits) >= limit:
+            end = min(hits) + span
+            after = int(np.searchsorted(t, end))
+            until[at:after] = end
+            at = after
+        elif ok[at]:
+            hits = []
+            k = int(np.searchsorted(failures, at))
+            at = int(failures[k]) if k < len(failures) else len(t)
+        else:
+            hits.append(now)
+            at += 1
+    return until, hits
+
+
+_WALKED = "key string, chunk bigint, seq bigint, blocked boolean, retry_after bigint, hits array<bigint>"
+
+
+def _walked(rows: DataFrame, starts: DataFrame, limit: int, span: int, emit: bool) -> DataFrame:
+    """Walks chunks of ``rows(key, chunk, t, seq, ok)`` from ``starts(key, chunk, hits)``: a row per attempt if asked, and the hits at each chunk's end."""
+    none = F.lit(None)
+    heads = starts.select("key", "chunk", F.lit(0).alias("kind"), none.cast("bigint").alias("t"), none.cast("bigint").alias("seq"), none.cast("boolean").alias("ok"), "hits")
+    tails = rows.join(starts.select("key", "chunk"), ["key", "chunk"], "left_semi").select(
+        "key", "chunk", F.lit(1).alias("kind"), "t", "seq", "ok", none.cast("array<bigint>").alias("hits"))
+    ordered = heads.unionByName(tails).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind", "t", "seq")
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+    names = ["key", "chunk", "seq", "blocked", "retry_after", "hits"]
+
+    def made(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def run(batches):
+        key, chunk, hits = None, None, None
+        for batch in batches:
+            keys, chunks = batch.column("key").to_pylist(), batch.column("chunk").to_pylist()
+            is_head = batch.column("kind").to_numpy() == 0
+            heads = np.flatnonzero(is_head).tolist()
+            t, ok = batch.column("t").fill_null(0).to_numpy(), batch.column("ok").fill_null(False).to_numpy(zero_copy_only=False)
+            for start, end in zip(sorted({0, *heads}), [*[h for h in heads if h], batch.num_rows]):
+                if start < batch.num_rows and is_head[start]:
+                    if hits is not None:
+                        yield made([key], [chunk], [None], [None], [None], [hits])
+                    key, chunk, hits = keys[start], chunks[start], batch.column("hits")[start].as_py()
+                    start += 1
+                if start >= end:
+                    continue
+                until, hits = walk_attempts(t[start:end], ok[start:end], hits, limit, span)
+                if emit:
+                    blocked = until > 0
+                    wait = np.maximum(1, -((t[start:end] - until) // 1_000_000))
+                    n = end - start
+                    yield made([key] * n, [chunk] * n, batch.column("seq").slice(start, n).to_pylist(), blocked, pa.array(wait, pa.int64(), mask=~blocked), [None] * n)
+        if hits is not None:
+            yield made([key], [chunk], [None], [None], [None], [hits])
+
+    return ordered.mapInArrow(run, _WALKED)
+
+
+def password_attempts(attempts: DataFrame, carried: DataFrame | None = None, limit: int = FAILURE_LIMIT,
+                      window_seconds: int = FAILURE_WINDOW_SECONDS, windows: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Attempts ``(key, seq, ts, ok)`` in order of time and seq: blocked while ``limit`` counted failures are in the window. A success that is not
+    blocked clears the key; a blocked attempt counts for nothing. → (key, seq, blocked, retry_after) and (key, hits) at the end.
+
+    A key's time is cut into chunks of ``windows`` windows, walked side by side in constant memory. What a chunk needs of
+    the one before are at most ``limit`` times. First every chunk starts from none; then those whose predecessor ends
+    otherwise than assumed are walked again, until none is. A chunk in which a success clears the key or a window passes without failures ends the
+    same whatever came before, so there are few rounds, at most one more than the longest run of chunks without such a moment.
+    ``carried(key, hits)``: failures that still count from before.
+    """
+    span = window_seconds * 1_000_000
+    rows = attempts.select(F.col("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("seq"), F.col("ok"))
+    rows = cut(rows.withColumn("chunk", F.floor(F.col("t") / (span * windows))))
+    own = Window.partitionBy("key").orderBy("chunk")
+    chunks = cut(rows.groupBy("key", "chunk").agg(F.min("t").alias("first")).withColumn("prev", F.lag("chunk").over(own)))
+    none = F.array().cast("array<bigint>")
+    old = attempts.select("key", none.alias("_old")).limit(0) if carried is None else carried.select("key", F.col("hits").alias("_old"))
+    fresh = lambda hits: F.filter(F.coalesce(hits, none), lambda h: h > F.col("first") - span)
+    based = chunks.join(old, "key", "left").withColumn("_old", F.when(F.col("prev").isNull(), F.col("_old")))
+    starts = cut(based.select("key", "chunk", fresh(F.col("_old")).alias("hits")))
+    todo, ends = starts, None
+    while True:
+        found = _walked(rows, todo, limit, span, False).select("key", F.col("chunk").alias("prev"), F.col("hits").alias("_end"))
+        ends = cut(found if ends is None else ends.join(found.select("key", "prev"), ["key", "prev"], "left_anti").unionByName(found))
+        wanted = based.join(ends, ["key", "prev"], "left").select("key", "chunk", fresh(F.coalesce("_end", "_old")).alias("hits"))
+        changed = cut(wanted.join(starts.withColumnRenamed("hits", "_used"), ["key", "chunk"]).where("hits <> _used").drop("_used"))
+        if changed.isEmpty():
+            break
+        starts = cut(starts.join(changed.select("key", "chunk"), ["key", "chunk"], "left_anti").unionByName(changed))
+        todo = changed
+    last = ends.groupBy("key").agg(F.max_by("_end", "prev").alias("hits"))
+    return _walked(rows, starts, limit, span, True).where("seq is not null").select("key", "seq", "blocked", "retry_after"), last
+
+
 def classify_uploads(requests: DataFrame) -> DataFrame:
     """``first``, ``replay`` (same content), ``conflict`` (other content) or ``pending`` (no job yet).
 

@@ -37,7 +37,16 @@ def _(t):
     return J.rate_minute(t.spark, e.select((F.col("user_id") % 5).alias("key_id"), F.col("ts").cast("timestamp").alias("ts")))
 
 
-@query("st_rate_sliding")
+@query("st_rate_sliding", """
+WITH RECURSIVE a AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS i FROM (
+    SELECT 'share:' || (user_id % 3) AS key, event_id AS seq, epoch_us(ts) // 20 AS t, event_type = 'purchase' AND event_id % 7 = 0 AS ok FROM events WHERE event_type IN ('error', 'purchase'))),
+w AS (
+  SELECT DISTINCT key, 0::bigint AS i, NULL::bigint AS seq, false AS blocked, NULL::bigint AS retry_after, []::bigint[] AS hits FROM a
+  UNION ALL
+  SELECT key, i, seq, len(live) >= 8, CASE WHEN len(live) >= 8 THEN greatest(1, cast(ceil((live[1] + 900000000 - t) / 1000000.0) AS bigint)) END, CASE WHEN len(live) >= 8 THEN live WHEN ok THEN [] ELSE list_append(live, t) END
+  FROM (SELECT a.*, [h FOR h IN w.hits IF h > a.t - 900000000] AS live FROM w JOIN a ON a.key = w.key AND a.i = w.i + 1))
+SELECT key, seq, blocked, retry_after FROM w WHERE i > 0""")
 def _(t):
     e = J.table_stream(t.spark, t.folder, "events").where("event_type IN ('error', 'purchase')")
     fast = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 20)).cast("timestamp_ntz")

@@ -9,9 +9,6 @@ a state store would pin it to one task.
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelflow.operators import availability as A, jobs as J, limits as M, outbox as O
@@ -49,8 +46,8 @@ class BatchTable:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 16) -> DataFrame:
-    """A given table as a stream of its files: ``name*.parquet`` of a folder, each a file or a folder of part files."""
-    return spark.readStream.schema(INPUT_TABLES[name]).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}*.parquet")
+    """A given table as a stream of its files: ``name.parquet``, a file or a folder of part files."""
+    return spark.readStream.schema(INPUT_TABLES[name]).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")  # a pattern, as a stream does not take the path of a single file
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str, mode: str = "append") -> None:
@@ -74,6 +71,30 @@ class Job:
         return f"{self.root}/checkpoint"
 
 
+class KeyedState:
+    """The latest row per key across batches. Every ``every``-th batch also writes a snapshot of all keys, so a batch reads that
+    and the changes of less than ``every`` batches, however many came before. A repeated batch reads and writes the same."""
+
+    def __init__(self, job: Job, name: str, schema: str, keys: list[str], every: int = 16):
+        self.changes, self.snapshots = job.table(f"{name}-changes", schema), job.table(f"{name}-snapshots", schema)
+        self.keys, self.every = keys, every
+
+    def _merged(self, first: int, end: int) -> DataFrame:
+        """Of the snapshot of batch ``first - 1`` and the changes of the batches from ``first`` to before ``end``."""
+        batch = F.col("batch")
+        rows = self.snapshots.read().where(batch == first - 1).unionByName(self.changes.read().where((batch >= first) & (batch < end)))
+        rest = [c for c in rows.columns if c not in self.keys and c != "batch"]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*self.keys, "_r.*")
+
+    def before(self, batch_id: int) -> DataFrame:
+        return self._merged(batch_id // self.every * self.every, batch_id)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        self.changes.write(rows, batch_id)
+        if (batch_id + 1) % self.every == 0:
+            self.snapshots.write(self._merged(batch_id + 1 - self.every, batch_id + 1), batch_id)
+
+
 def availability(spark: SparkSession, requests: DataFrame, root: str | None = None) -> DataFrame:
     """Revision-checked changes with replay, across micro-batches. ``requests`` as for ``apply_requests``."""
     job = Job(spark, "availability", root)
@@ -116,53 +137,22 @@ def rate_minute(spark: SparkSession, requests: DataFrame, root: str | None = Non
     return out.read().groupBy("key_id", "minute").agg(F.sum("requests").alias("requests"))
 
 
-def _limit_attempts(limit: int, window: float):
-    def run(batches):
-        key, hits = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.key != key:
-                    key, hits = row.key, []
-                if row.kind == 0:
-                    hits.append(row.t)
-                    continue
-                hits = [h for h in hits if h > row.t - window]
-                blocked = len(hits) >= limit
-                wait = max(1, math.ceil(hits[0] + window - row.t)) if blocked else None
-                if not blocked:
-                    hits = [] if row.ok else hits + [row.t]
-                out.append((row.key, row.seq, blocked, wait, list(hits)))
-            yield pd.DataFrame(out, columns=["key", "seq", "blocked", "retry_after", "hits"])
-
-    return run
-
-
 def rate_sliding(spark: SparkSession, attempts: DataFrame, root: str | None = None, limit: int = M.FAILURE_LIMIT,
                  window: int = M.FAILURE_WINDOW_SECONDS) -> DataFrame:
-    """Password attempts ``(key, seq, ts, ok)``: blocked at ``limit`` failures in the window.
+    """Password attempts ``(key, seq, ts, ok)``: blocked at ``limit`` failures in the window, as ``limits.password_attempts`` has it.
 
-    A success clears the key; a blocked attempt counts for nothing. The walk is in order, so a key's
-    rows stream through one task, which holds at most ``limit`` times. They carry over as a table.
+    The failures that still count carry over in a keyed table, of which a batch reads the last snapshot and the few batches since.
     """
     job = Job(spark, "rate-sliding", root)
-    state = job.table("state", "key string, t double, batch bigint")
+    state = KeyedState(job, "hits", "key string, hits array<bigint>, batch bigint", ["key"])
     out = job.table("attempts", "key string, seq bigint, blocked boolean, retry_after bigint, batch bigint")
-    source_order = ["key", "kind", "t", "seq"]
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        new = rows.select("key", F.lit(1).alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "seq", "ok")
-        carried = state.read(batch_id)
-        latest = carried.groupBy("key").agg(F.max("batch").alias("batch"))
-        old = carried.join(latest, ["key", "batch"]).where("t IS NOT NULL").select(
-            "key", F.lit(0).alias("kind"), "t", F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("ok"))
-        touched = old.join(new.select("key"), "key", "left_semi")
-        ordered = new.unionByName(touched).repartition("key").sortWithinPartitions(*source_order)
-        done = cut(ordered.mapInPandas(_limit_attempts(limit, float(window)), "key string, seq bigint, blocked boolean, retry_after bigint, hits array<double>"))
-        out.write(done, batch_id)
-        # A key without hits leaves one empty row, which replaces its older ones.
-        last = done.join(new.select("seq", "t"), "seq").groupBy("key").agg(F.max_by("hits", F.struct("t", "seq")).alias("hits"))
-        state.write(last.select("key", F.explode_outer("hits").alias("t")), batch_id)
+        rows = cut(rows)
+        carried = cut(state.before(batch_id).join(rows.select("key"), "key", "left_semi"))
+        judged, last = M.password_attempts(rows, carried, limit, window)
+        out.write(judged, batch_id)
+        state.write(last, batch_id)
 
     run_to_end(attempts, handle, job.checkpoint)
     return out.read().drop("batch")

@@ -1,6 +1,7 @@
 """Availability, identity, outbox, jobs, limits and streams against the golden scenarios."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -200,6 +201,59 @@ def test_sliding_failures_stream(spark, tmp_path, pattern, blocked):
     assert sorted(r.seq for r in got if r.blocked) == blocked and len(got) == len(rows)
 
 
+def plain_attempts(rows, limit, window):
+    """(blocked, wait) by walking every key's rows."""
+    hits, out = {}, {}
+    for key, seq, ts, ok in sorted(rows, key=lambda r: (r[2], r[1])):
+        live = [h for h in hits.get(key, []) if h > ts - dt.timedelta(seconds=window)]
+        blocked = len(live) >= limit
+        out[key, seq] = (blocked, max(1, math.ceil((live[0] - ts).total_seconds() + window)) if blocked else None)
+        hits[key] = live if blocked else [] if ok else live + [ts]
+    return out
+
+
+def attempt_rows(seed):
+    """A key under steady attack, one with bursts and successes, and quiet ones."""
+    rnd = random.Random(seed)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("attack", i, at(7 * i + rnd.random()), rnd.random() < 0.1) for i in range(400)]
+    t = 0.0
+    for i in range(400, 800):
+        t += rnd.choice([1, 1, 2, 5, 30, 150])
+        rows.append(("bursts", i, at(t), rnd.random() < 0.2))
+    return rows + [(f"quiet{i % 7}", i, at(rnd.randrange(20000)), rnd.random() < 0.5) for i in range(800, 900)]
+
+
+@pytest.mark.parametrize("seed, windows", [(1, 1), (2, 3), (3, 1000)])
+def test_attempts_equal_a_walk(spark, seed, windows):
+    rows = attempt_rows(seed)
+    judged, last = M.password_attempts(spark.createDataFrame(rows, "key string, seq bigint, ts timestamp_ntz, ok boolean"), None, 5, 60, windows)
+    got = {(r.key, r.seq): (r.blocked, r.retry_after) for r in judged.collect()}
+    assert got == plain_attempts(rows, 5, 60) and sum(b for b, _ in got.values()) > 100
+    assert {r.key for r in last.collect()} == {r[0] for r in rows}
+
+
+def test_attempt_chunks_run_in_many_tasks(spark):
+    """One busy key: its chunks lie in different partitions."""
+    rows = [("k", i, T0 + dt.timedelta(seconds=20 * i), False) for i in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    judged, _ = M.password_attempts(spark.createDataFrame(rows, "key string, seq bigint, ts timestamp_ntz, ok boolean"), None, 5, 60, 8)
+    assert judged.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_attempt_stream_equals_batch(spark, tmp_path):
+    """Twenty batches: past snapshots of the carried state."""
+    schema = "key string, seq bigint, ts timestamp_ntz, ok boolean"
+    rows = sorted((r for r in attempt_rows(4) if r[0] != "bursts"), key=lambda r: (r[2], r[1]))
+    for i in range(20):
+        part = rows[i * len(rows) // 20:(i + 1) * len(rows) // 20]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{i:02}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {(r.key, r.seq): (r.blocked, r.retry_after) for r in SJ.rate_sliding(spark, source, str(tmp_path / "out"), 5, 60).collect()}
+    assert got == plain_attempts(rows, 5, 60)
+
+
 def test_pages(spark):
     df = spark.range(3)
     page = lambda offset: [(r.id, r.total, r.next_offset) for r in T.offset_page(df, [F.col("id")], 2, offset).collect()]
