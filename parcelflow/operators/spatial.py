@@ -4,13 +4,14 @@ A box is filed at the level whose cell side (a power of two) is at least its own
 so it covers four cells at most, whatever its size. The other side looks it up at every level in use. A
 giant polygon among small ones therefore costs four rows, and no group is ever paired with
 itself in full. Rows pair up in the one cell that holds the lower-left corner of the common
-box, so there is nothing to de-duplicate afterwards. A crowded cell is an ordinary skewed
-join key, which adaptive execution splits.
+box, so there is nothing to de-duplicate afterwards. A crowded cell is dealt into tiles by
+the number of its pairs.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +21,7 @@ from parcelflow.operators.grouped import first_rows
 from parcelflow.session import cut
 
 MIN_LEVEL = -20
+TILE = 4096
 BOX = ("bx0", "by0", "bx1", "by1")
 
 
@@ -50,30 +52,59 @@ def _file_in_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_cx", F.explode(span("bx0", "bx1"))).withColumn("_cy", F.explode(span("by0", "by1")))
 
 
-def _levels_of(rows: DataFrame) -> list[int]:
-    """The levels in use, found by a job of its own over the box columns alone.
+def _levels_of(*sides: DataFrame) -> list[list[int]]:
+    """The levels in use on each side, found by one job over the box columns alone.
 
     There are a few of them at most (one per power of two between the smallest and the largest
     box), and as literals they keep the join's plan free of a second copy of its input.
     """
-    return sorted(r.l for r in rows.select(_level().alias("l")).distinct().collect())
+    tagged = [rows.select(F.lit(i).alias("i"), _level().alias("l")) for i, rows in enumerate(sides)]
+    found = reduce(DataFrame.union, tagged).distinct().collect()
+    return [sorted(r.l for r in found if r.i == i) for i in range(len(sides))]
 
 
-def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool) -> DataFrame:
-    """``filed`` at its own level against ``lookup`` at that level (or only above its own level)."""
-    used = F.array(*[F.lit(v) for v in _levels_of(filed)]).cast("array<int>")
+def _cells(filed: DataFrame, lookup: DataFrame, levels: list[int], flipped: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides in their cells: ``filed`` at its own level, ``lookup`` at that level (or only above its own level)."""
+    used = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
     wanted = F.filter(used, lambda v: (v > F.col("_own")) if flipped else (v >= F.col("_own")))
     probes = lookup.withColumn("_own", _level()).withColumn("_level", F.explode(wanted))
+    return _file_in_cells(filed.withColumn("_level", _level())), _file_in_cells(probes)
+
+
+def _tiled(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Deals the rows of crowded cells into tiles of at most ``TILE`` rows a side, so that no task gets more than ``TILE`` squared pairs of one cell.
+    A row's tile is a hash of the row, so a repeated task deals alike.
+
+    Adaptive execution splits a skewed cell by its bytes; boxes are small, and a cell of few MB can hold billions of pairs.
+    """
+    cell = [key, "_level", "_cx", "_cy"]
+    count = lambda df, name: df.groupBy(*cell).agg(F.count("*").alias(name)).where(F.col(name) > 1)
+    full = count(a, "_na").join(count(b, "_nb"), cell).where(F.col("_na") * F.col("_nb") > TILE * TILE)
+    full = cut(full.select(*cell, F.ceil(F.col("_na") / TILE).alias("_pa"), F.ceil(F.col("_nb") / TILE).alias("_pb")))
+    if full.isEmpty():
+        return a, b, cell
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        rows = df.join(full, cell, "left")
+        parts, spread = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        return rows.withColumn(mine, F.pmod(F.xxhash64(*df.columns), parts)).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0).cast("bigint"), spread - 1))).drop("_pa", "_pb")
+
+    return dealt(a, "_pa", "_pb", "_ta", "_tb"), dealt(b, "_pb", "_pa", "_tb", "_ta"), [*cell, "_ta", "_tb"]
+
+
+def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool, levels: list[int] | None = None, tiles: bool = False) -> DataFrame:
+    """``filed`` at its own level against ``lookup`` at that level (or only above its own level)."""
+    a, b = _cells(filed, lookup, _levels_of(filed)[0] if levels is None else levels, flipped)
+    a, b, on = _tiled(a, b, key) if tiles else (a, b, [key, "_level", "_cx", "_cy"])
     # Columns keep their own names until after the join, so Catalyst prunes those nobody reads.
-    tagged = lambda df, tag, names: df.select(key, "_level", "_cx", "_cy", *[F.col(c).alias(tag + c) for c in names])
-    a = tagged(_file_in_cells(filed.withColumn("_level", _level())), "_a_", filed.columns)
-    b = tagged(_file_in_cells(probes), "_b_", lookup.columns)
+    tagged = lambda df, tag, names: df.select(*on, *[F.col(c).alias(tag + c) for c in names])
+    a, b = tagged(a, "_a_", filed.columns), tagged(b, "_b_", lookup.columns)
     size = F.pow(F.lit(2.0), F.col("_level"))
     corner = lambda c: F.floor(F.greatest("_a_" + c, "_b_" + c) / size)
     below = lambda lo, hi: F.col(lo) <= F.col(hi)
     touching = (below("_a_bx0", "_b_bx1") & below("_b_bx0", "_a_bx1") & below("_a_by0", "_b_by1") & below("_b_by0", "_a_by1"))
-    pairs = a.join(b, [key, "_level", "_cx", "_cy"]).where(
-        touching & (F.col("_cx") == corner("bx0")) & (F.col("_cy") == corner("by0")))
+    pairs = a.join(b, on).where(touching & (F.col("_cx") == corner("bx0")) & (F.col("_cy") == corner("by0")))
     of_a = F.struct(*[F.col("_a_" + c).alias(c) for c in filed.columns])
     of_b = F.struct(*[F.col("_b_" + c).alias(c) for c in lookup.columns])
     left, right = (of_a, of_b) if flipped else (of_b, of_a)
@@ -81,8 +112,15 @@ def _one_way(filed: DataFrame, lookup: DataFrame, key: str, flipped: bool) -> Da
 
 
 def box_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """All (left, right) pairs of one ``key`` whose boxes touch, as structs ``l`` and ``r``."""
-    return _one_way(right, left, key, flipped=False).unionByName(_one_way(left, right, key, flipped=True))
+    """All (left, right) pairs of one ``key`` whose boxes touch, as structs ``l`` and ``r``.
+
+    Both sides are written once and read from there by everything below.
+    """
+    same = left is right
+    left = cut(left)
+    right = left if same else cut(right)
+    levels = _levels_of(left, right)
+    return _one_way(right, left, key, False, levels[1], True).unionByName(_one_way(left, right, key, True, levels[0], True))
 
 
 def boxes_at_points(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
@@ -124,7 +162,9 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, not_self: Column | Non
         l_holes, r_holes = holes(left, "l"), holes(right, "r")
         shared = F.when((F.size(l_holes) == 0) & (F.size(r_holes) == 0), shared).otherwise(
             G.common_area_holed(F.col("l.ring"), l_holes, F.col("r.ring"), r_holes))
-    pairs = with_computed(pairs, "inter_area", shared)
+    meets = lambda lo, hi: (F.col(f"l.{lo}") < F.col(f"r.{hi}")) & (F.col(f"r.{lo}") < F.col(f"l.{hi}"))
+    # boxes that only touch share no area
+    pairs = with_computed(pairs, "inter_area", F.when(meets("bx0", "bx1") & meets("by0", "by1"), shared).otherwise(F.lit(0.0)))
     la, ra = F.col("l.area_px"), F.col("r.area_px")
     return pairs.select(
         "l", "r", "inter_area",
@@ -247,6 +287,10 @@ def neighbours(rings: DataFrame, key: str, ring_id: str) -> DataFrame:
     reach = F.greatest((F.col("uhi") - F.col("ulo")) * 2.5, F.col("vhi") - F.col("vlo"), F.lit(4.0))
     pairs = box_join(grow(axes.withColumn("reach", reach), F.col("reach")), rings, key).where(
         F.col(f"l.{ring_id}") != F.col(f"r.{ring_id}"))
+    # the box around the other ring, seen across the axis: most candidates are not in the row at all, and no ring is touched for them
+    half = (F.abs("l.uy") * (F.col("r.bx1") - F.col("r.bx0")) + F.abs("l.ux") * (F.col("r.by1") - F.col("r.by0"))) / 2
+    across = (F.col("l.ux") * (F.col("r.by0") + F.col("r.by1")) - F.col("l.uy") * (F.col("r.bx0") + F.col("r.bx1"))) / 2
+    pairs = pairs.where((across + half > F.col("l.vlo") + 1e-9) & (across - half < F.col("l.vhi") - 1e-9))
     extents = F.struct(project(F.col("r.ring"), F.col("l.ux"), F.col("l.uy")).alias("u"), project(F.col("r.ring"), -F.col("l.uy"), F.col("l.ux")).alias("v"))
 
     def same_row(q: Column) -> Column:

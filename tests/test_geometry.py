@@ -276,3 +276,15 @@ def test_interior_points_and_holed_areas(spark):
         assert inside(ring) and not any(map(inside, holes))
         assert abs(r.a - [36, 17, 26][r.i]) < 1e-9
         assert r.i != 0 or abs(r.c.x - 5) + abs(r.c.y - 5) < 1e-9
+
+
+def test_crowded_cell_is_tiled(spark, monkeypatch):
+    """More pairs in one cell than a tile holds, on sides of unlike size, against brute force."""
+    monkeypatch.setattr(Sp, "TILE", 16)
+    rnd = random.Random(12)
+    small = lambda n: [(x, y, x + rnd.random(), y + rnd.random()) for x, y in ((rnd.random() * 3, rnd.random() * 3) for _ in range(n))]
+    left, right = small(90) + [(-50, -50, 50, 50)], small(300)
+    make = lambda rows: spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(rows)], "k bigint, i bigint, bx0 double, by0 double, bx1 double, by1 double")
+    got = [(r.a, r.b) for r in Sp.box_join(make(left), make(right), "k").select(F.col("l.i").alias("a"), F.col("r.i").alias("b")).collect()]
+    want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]}
+    assert len(got) == len(set(got)) and set(got) == want
