@@ -419,14 +419,23 @@ _ARROW = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_chance", pa.fl
 
 
 def with_samples(docs: DataFrame, k: int = 2, id_column: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL,
-                 name: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Adds an array of up to ``k`` distinct segmentations of every whole text, best first; one pass, no shuffle."""
+                 name: str | None = None, keep: list[str] | None = None, checksum: bool = False) -> DataFrame:
+    """Adds an array of up to ``k`` distinct segmentations of every whole text, best first; one pass, no shuffle.
+
+    ``checksum``: every segmentation also has ``text_crc32`` of the text that its ids decode to, computed in the same task.
+    """
     vocabulary = Vocabulary.of(read_model(docs.sparkSession, model))
     name, key = name or free_name(docs, "samples"), free_name(docs, "_key")
     keyed = docs.withColumn(key, F.struct(F.col(id_column).cast("string").alias("k"), F.col(text).cast("string").alias("t")))
 
+    kind, arrow = SAMPLES, list(_ARROW.value_type)
+    if checksum:
+        kind = T.ArrayType(T.StructType([*SAMPLES.elementType.fields, T.StructField("text_crc32", T.LongType())]))
+        arrow = [*arrow, pa.field("text_crc32", pa.int64())]
+
     def make():
         sampler = Sampler(vocabulary, seed)
+        spell = vocabulary.as_bytes.__getitem__
 
         def work(values):
             found = sampler.sample([v["t"] for v in values], [v["k"] for v in values], k)
@@ -434,18 +443,21 @@ def with_samples(docs: DataFrame, k: int = 2, id_column: str = "doc_id", text: s
             ids = pa.ListArray.from_arrays(np.cumsum([0, *[len(s.ids) for s in flat]]).astype(np.int32),
                                            np.concatenate([np.zeros(0, np.int32), *[s.ids for s in flat]]))
             fields = [ids, *[pa.array([getattr(s, f) for s in flat], pa.float64()) for f in ("log_chance", "perturbed", "log_inclusion")]]
-            items = pa.StructArray.from_arrays(fields, fields=list(_ARROW.value_type))
+            if checksum:
+                fields.append(pa.array([zlib.crc32(b"".join(map(spell, s.ids.tolist()))[1:]) for s in flat], pa.int64()))
+            items = pa.StructArray.from_arrays(fields, fields=arrow)
             return [pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), items)]
 
         return work
 
-    return with_arrow_columns(keyed, key, [(name, SAMPLES)], make, keep or docs.columns, SLICE)
+    return with_arrow_columns(keyed, key, [(name, kind)], make, keep or docs.columns, SLICE)
 
 
-def encode(docs: DataFrame, k: int = 2, id_column: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL) -> DataFrame:
-    """doc_id, rank (from 1), ids, log_chance, perturbed, log_inclusion: one row per sample. Null texts give no row."""
+def encode(docs: DataFrame, k: int = 2, id_column: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL,
+           checksum: bool = False) -> DataFrame:
+    """doc_id, rank (from 1), ids, log_chance, perturbed, log_inclusion (and text_crc32): one row per sample. Null texts give no row."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sampled = with_samples(narrow, k, "doc_id", "text", seed, model, "samples", ["doc_id"])
+    sampled = with_samples(narrow, k, "doc_id", "text", seed, model, "samples", ["doc_id"], checksum)
     return sampled.select("doc_id", F.posexplode("samples").alias("at", "s")).select("doc_id", (F.col("at") + 1).alias("rank"), "s.*")
 
 

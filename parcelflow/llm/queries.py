@@ -104,8 +104,7 @@ SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS matched FROM best JOIN d USIN
 
 @query
 def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    found = pieces.with_decoded(pieces.encode(table(spark, folder, "documents"), k=2), name="decoded")
-    return found.withColumn("text_crc32", F.crc32(F.col("decoded").cast("binary"))).drop("decoded")
+    return pieces.encode(table(spark, folder, "documents"), k=2, checksum=True)
 
 
 #: Documents as files: a path of source and number blocks; every tenth is the license file of a directory.

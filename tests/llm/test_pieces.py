@@ -1,3 +1,4 @@
+import zlib
 import os
 from collections import Counter
 
@@ -143,3 +144,14 @@ def test_query_returns_the_ids(spark):
     assert {r["rank"] for r in rows} == {1, 2}
     for r in rows:
         assert r.text == texts[r.doc_id] and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+
+
+def test_checksum_of_the_same_pass_is_that_of_the_decoded_text(spark):
+    texts = [(1, "Hello  world\n\nand ▁ more"), (2, ""), (3, None), (4, "ünï🙂 " * 50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {(r.doc_id, r["rank"]): r for r in P.encode(df, k=2, checksum=True).collect()}
+    plain = {(r.doc_id, r["rank"]): r for r in P.with_decoded(P.encode(df, k=2), name="decoded").collect()}
+    assert rows.keys() == plain.keys() and len(rows) == 5
+    for at, r in rows.items():
+        assert r.ids == plain[at].ids and r.log_chance == plain[at].log_chance
+        assert r.text_crc32 == zlib.crc32(dict(texts)[at[0]].encode()) == zlib.crc32(plain[at].decoded.encode())
