@@ -234,18 +234,37 @@ def edge_angle(ring: Column) -> Column:
     return F.aggregate(edges(ring), best, pick, finish)
 
 
+@once
+def convex_hull(ring: Column) -> Column:
+    """Corners of the convex hull, counter-clockwise, without points on its sides: two chains over the points in order of x and y.
+
+    A chain is a fold: of the points so far, those up to the last one that keeps turning left before the new point stay.
+    """
+    def step(chain: Column, p: Column) -> Column:
+        a, b = (lambda k: F.get(chain, k - 2)), (lambda k: F.get(chain, k - 1))
+        turns_left = lambda k: F.when(_cross(a(k)["x"], a(k)["y"], b(k)["x"], b(k)["y"], p["x"], p["y"]) > 0, k)
+        last = F.array_max(F.transform(F.sequence(F.lit(2), F.size(chain)), turns_left))
+        kept = F.when(F.size(chain) < 2, F.size(chain)).otherwise(F.coalesce(last, F.lit(1)))
+        return F.concat(F.slice(chain, F.lit(1), kept), F.array(p))
+
+    def half(points: Column) -> Column:
+        return bind(F.aggregate(points, F.slice(points, 1, 0), step), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))
+
+    return bind(F.array_sort(F.array_distinct(ring)), lambda points: F.concat(half(points), bind(F.reverse(points), half)))
+
+
 @once
 def oriented_rect(ring: Column) -> Column:
     """Minimum-area rotated rectangle as short side, long side, long-side angle (mod 180) and area.
 
-    The best rectangle has a side along a hull edge, and hull edges are among the directions
-    between two vertices, so the minimum over those directions is exact.
+    The best rectangle has a side along an edge of the hull.
     """
     n = F.size(ring)
-    directions = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(
-        F.sequence(i + 1, n - 1), lambda j: F.struct(
-            (F.get(ring, j)["x"] - F.get(ring, i)["x"]).alias("dx"),
-            (F.get(ring, j)["y"] - F.get(ring, i)["y"]).alias("dy")))))
+    direction = lambda e: F.struct((e["bx"] - e["ax"]).alias("dx"), (e["by"] - e["ay"]).alias("dy"))
+    return F.when(n >= 3, bind(convex_hull(ring), lambda hull: _best_rect(hull, F.transform(edges(hull), direction))))
+
+
+def _best_rect(ring: Column, directions: Column) -> Column:
     unit = F.transform(F.filter(directions, lambda d: F.hypot(d["dx"], d["dy"]) > 1e-9), lambda d: F.struct(
         (d["dx"] / F.hypot(d["dx"], d["dy"])).alias("ux"), (d["dy"] / F.hypot(d["dx"], d["dy"])).alias("uy")))
 
@@ -258,7 +277,7 @@ def oriented_rect(ring: Column) -> Column:
         return F.struct((w * h).alias("area"), F.least(w, h).alias("short"), F.greatest(w, h).alias("long"),
                         angle.alias("angle"))
 
-    return F.when(n >= 3, F.array_min(F.transform(unit, measure)))
+    return F.array_min(F.transform(unit, measure))
 
 
 def fill_ratio(ring_area: Column, rect: Column) -> Column:

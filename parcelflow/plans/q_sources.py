@@ -37,7 +37,8 @@ def _(t):
     index = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(
         (F.col("user_id") * 3).cast("string"))
     path = shared_path(t.spark, "status-csv")
-    e.select(F.col("event_id").alias("seq"), index.alias("index"), status.alias("status")).write.option("header", True).csv(path)
+    # files with the two columns of a status file, whose order is that of the names and the rows in them
+    e.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(index.alias("index"), status.alias("status")).write.option("header", True).csv(path)
     return R.status_from_csv(R.read_status_csv(t.spark, path), t.raw("part").select(F.col("p_partkey").alias("i")))
 
 

@@ -37,10 +37,16 @@ def status_from_csv(rows: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def read_status_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Status files with the columns seq, index and status. ``seq`` numbers the rows: the order of several
-    files, or of the parts of one, is not known to a reader."""
-    return spark.read.schema("seq bigint, index string, status string").option("header", True).option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """Status files with the columns ``index`` and ``status`` by header, in any order and among others → (seq, index, status).
+
+    ``seq`` orders the rows as the files have them: by file name, then by place in the file, across the splits of a large one. A
+    column ``seq`` of the files themselves goes first. Files of one folder share their header, or reading fails.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    text = lambda name: (F.col(name) if name in raw.columns else F.lit(None)).cast("string").alias(name)
+    place = F.struct(F.expr("try_cast(seq AS bigint)").alias("own") if "seq" in raw.columns else F.lit(0).cast("bigint").alias("own"),
+                     F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(place.alias("seq"), text("index"), text("status"))
 
 
 def demo_status(i: Column) -> Column:

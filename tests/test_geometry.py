@@ -288,3 +288,26 @@ def test_crowded_cell_is_tiled(spark, monkeypatch):
     got = [(r.a, r.b) for r in Sp.box_join(make(left), make(right), "k").select(F.col("l.i").alias("a"), F.col("r.i").alias("b")).collect()]
     want = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hull_and_rectangle_of_large_rings(spark):
+    """Hulls against the definition; rectangles against all directions between vertices; 2,000 vertices in a moment."""
+    rnd = random.Random(21)
+    rows = [[(rnd.uniform(0, 50), rnd.uniform(0, 50)) for _ in range(rnd.randint(3, 25))] for _ in range(30)]
+    rows += [[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (2.0, 3.0), (0.0, 3.0)], [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(1.0, 1.0)] * 4, [(float(i % 5), float(i // 5)) for i in range(25)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, ring array<struct<x:double,y:double>>")
+    for r in df.select("i", G.convex_hull(F.col("ring")).alias("h"), G.oriented_rect(F.col("ring")).alias("b")).collect():
+        pts, hull = sorted(set(rows[r.i])), [(p.x, p.y) for p in r.h]
+        cross = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        if len(hull) > 2:
+            assert all(cross(a, b, p) >= -1e-9 for a, b in zip(hull, hull[1:] + hull[:1]) for p in pts) and set(hull) <= set(pts)
+        sides = [(b[0] - a[0], b[1] - a[1]) for a in pts for b in pts if a < b]
+        if not sides:
+            assert r.b is None
+            continue
+        extent = lambda u, v: max(p[0] * u + p[1] * v for p in pts) - min(p[0] * u + p[1] * v for p in pts)
+        want = min(extent(u / math.hypot(u, v), v / math.hypot(u, v)) * extent(-v / math.hypot(u, v), u / math.hypot(u, v)) for u, v in sides)
+        assert abs(r.b.area - want) < 1e-6
+    ring = [(100 * math.cos(i * math.pi / 1000) + rnd.random(), 60 * math.sin(i * math.pi / 1000)) for i in range(2000)]
+    big = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>")
+    assert abs(big.select(G.oriented_rect(F.col("ring"))["area"]).first()[0] - 200 * 120) < 300
