@@ -2,6 +2,8 @@
 
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,22 +38,35 @@ def test_next_name(column):
         assert column([name], lambda c: X.next_name(c, F.lit(step)))[0] == wanted
 
 
-def test_name_pattern(column):
-    def name(pattern, n, pad):
-        return column([n], lambda c: X.name_from_pattern(pattern, c, pad, F.lit("B7"), F.lit("Livre")), "int")[0]
+def test_names_from_patterns_follow_the_rules(column):
+    """Random patterns: every placeholder is replaced, wherever and however often it stands; nothing else changes."""
+    rnd = random.Random(31)
+    for pad in (-3, 0, 1, 6, 8, 40):
+        pattern = "".join(rnd.choice(["{n}", "{q}", "{s}", "{N}", "{", "}", "x", " ", "$1", "\\"]) for _ in range(12))
+        values = [rnd.randrange(-10 ** 6, 10 ** 6) for _ in range(20)] + [0, -1, 123456789]
+        got = column(values, lambda c: X.name_from_pattern(pattern, c, pad, F.lit("Q-{s}"), F.lit(None).cast("string")), "int")
+        for v, text in zip(values, got):
+            number = ("-" if v < 0 else "") + str(abs(v)).zfill(max(0, min(8, pad)))
+            assert text == pattern.replace("{n}", number).replace("{q}", "Q-{s}").replace("{s}", "")
 
-    cases = [("{q}/{n}", 5, 2, "B7/05"), ("{q}/{n}", 5, 0, "B7/5"), ("{n}-{n}", 31, 3, "031-031"), ("{n}", 12345, 3, "12345"), ("fixed", 1, 4, "fixed"),
-             ("{s} {q} {n}", 8, 1, "Livre B7 8")]
-    assert [name(*c[:3]) for c in cases] == [c[3] for c in cases]
 
-
-@pytest.mark.parametrize("search, hits", [
-    ("B7/*", ["B7/01", "B7/12"]), ("?8/12", ["C8/12"]), ("/12", ["B7/12", "C8/12"]), ("b7", ["B7/01", "B7/12"]), (r"/^[A-Z]\d.0\d$/", ["B7/01"]), ("(x)", ["Park (x)"])])
-def test_name_search(column, search, hits):
-    names = ["B7/01", "B7/12", "C8/12", "Park (x)"]
+def matches(column, search, names):
     found = column(names, lambda c: c.rlike(X.name_search_regex(search)))
-    assert [n for n, ok in zip(names, found) if ok] == hits
-    assert X.name_search_regex("\t ") is None
+    return [n for n, ok in zip(names, found) if ok]
+
+
+def test_searches_as_parts_globs_and_expressions(column):
+    """Random names: a part is found in any case; a star takes any run, a question mark one character, and both hold the whole name."""
+    rnd = random.Random(32)
+    names = ["".join(rnd.choice("aAbB1. +-") for _ in range(rnd.randint(1, 7))) for _ in range(120)]
+    for part in ("ab", "1.", "b+", "-A", "."):
+        assert matches(column, part, names) == [n for n in names if part.lower() in n.lower()]
+    for glob in ("a*", "*1", "?b*", "a?", "*.*"):
+        plain = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
+        assert matches(column, glob, names) == [n for n in names if re.fullmatch(plain, n, re.I)]
+    for inner in ("^[ab]+$", "1{2}", "a|b$"):
+        assert matches(column, f"/{inner}/", names) == [n for n in names if re.search(inner, n, re.I)]
+    assert [X.name_search_regex(t) for t in ("", "   ", None)] == [None] * 3
 
 
 def test_block_and_common_area(column):
