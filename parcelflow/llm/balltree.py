@@ -8,9 +8,10 @@ the k-th score found there.
 Shards and query blocks have a fixed size, so a task holds one shard and one block, whatever the table.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without an id,
-take no part; shorter vectors count as padded with zeros; every other row with the query's id is left out
-of its candidates; rows of an id that is repeated are candidates each, and as queries are answered once
-per different vector; equal scores rank by smaller id. No rows give no rows.
+take no part; shorter vectors count as padded with zeros; only the query's own row is left out of its
+candidates, so rows of a repeated id are each other's candidates, and each is answered as a query of its
+own; equal scores rank by smaller id. No rows give no rows. A table with vectors so long that a product
+could leave 64 bits is refused.
 """
 
 from __future__ import annotations
@@ -59,8 +60,11 @@ class BallTree:
         self.centre, self.radius = np.array(self.centre), np.array(self.radius)
         self.vectors = vectors[self.order]
 
-    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The k best (score, id) of this tree, smaller ids first among equals; only scores of ``floor`` or more."""
+    def search(self, query: np.ndarray, ids: np.ndarray, own: int | None, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """The k best (score, id) of this tree, smaller ids first among equals; only scores of ``floor`` or more.
+
+        ``own`` is the position of the query's own vector, if it is in this tree.
+        """
         q = query.astype(np.float64)
         norm = np.sqrt(q @ q)
         bounds = self.centre @ q + norm * self.radius
@@ -80,7 +84,7 @@ class BallTree:
             lo, hi = self.span[node]
             scores = self.vectors[lo:hi] @ query
             for i in (np.arange(hi - lo) if limit is None else np.flatnonzero(scores >= limit)):
-                if ids[self.order[lo + i]] == own:
+                if self.order[lo + i] == own:
                     continue
                 entry = (int(scores[i]), -int(ids[self.order[lo + i]]))
                 if len(best) < k:
@@ -103,9 +107,10 @@ def _search_cells(k: int):
         if len(vectors) and len(queries):
             width = max(1, max(map(len, vectors.v)), max(map(len, queries.v)))
             tree, ids = BallTree(_matrix(vectors.v, width)), vectors.vec_id.to_numpy()
-            for number, own, query, floor in zip(queries.query_no, queries.vec_id, _matrix(queries.v, width), queries.floor):
+            places = {number: i for i, number in enumerate(vectors.row_no.tolist())}
+            for number, query_id, query, floor in zip(queries.query_no.tolist(), queries.vec_id, _matrix(queries.v, width), queries.floor):
                 floor = None if pd.isna(floor) else int(floor)
-                found += [(number, own, i, s) for s, i in tree.search(query, ids, own, k, floor)]
+                found += [(number, query_id, i, s) for s, i in tree.search(query, ids, places.get(number), k, floor)]
         return pd.DataFrame(found, columns=["query_no", "query_id", "vec_id", "score"])
 
     return run
@@ -127,12 +132,17 @@ def top_k(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector:
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = cut(table.where(sound).select(
         F.col(id_column).cast("long").alias("vec_id"), is_query.alias("q"),
+        F.monotonically_increasing_id().alias("row_no"),
         F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long")).alias("v")))
-    total, asked = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    total, asked, longest = rows.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(square), F.lit(0.0))).first()
+    if longest >= 2.0 ** 62:
+        raise ValueError("vectors too long for products of 64 bits")
     shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
-    stored = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"))
-    queries = rows.where("q").select("vec_id", "v").distinct().withColumn("query_no", F.xxhash64("vec_id", "v"))
-    queries = queries.withColumn("block", F.pmod("query_no", F.lit(blocks))).withColumn("home", F.pmod(F.xxhash64("query_no"), F.lit(shards)))
+    home = F.pmod(F.xxhash64("row_no"), F.lit(shards))
+    stored = rows.select("vec_id", "v", "row_no", home.alias("shard"))
+    queries = rows.where("q").select("vec_id", "v", F.col("row_no").alias("query_no"), home.alias("home"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_no", F.lit("block")), F.lit(blocks)))
     queries = cut(queries)
     cells = stored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 

@@ -37,10 +37,12 @@ LEAST_DIGITS = 7
 ROUNDS, DAMPING = 30, 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match starts where a run of digits does, so the other digits of a run are no starts to try.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+_PIECE = re.compile(r"[^,;|]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$&%="
 LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,27 +105,39 @@ class Tokens:
 
 
 def tokens_of(text: str, base: list[tuple[int, int, int]]) -> Tokens:
-    """White-space tokens with a digit or ``@``, without quotes and punctuation around them; base spans cut them."""
+    """Tokens with a digit or ``@``, without quotes and punctuation around them.
+
+    A run without white space is cut at every base span, and what lies between at commas, semicolons and bars.
+    """
     out = Tokens([], [], [], [])
-    at, floor = 0, 0
+
+    def add(start: int, end: int, label: int):
+        out.start.append(start)
+        out.end.append(end)
+        out.text.append(text[start:end])
+        out.fixed.append(label)
+
+    def add_plain(start: int, end: int):
+        for m in _PIECE.finditer(text, start, end):
+            core = m.group()
+            lo, hi = m.start() + len(core) - len(core.lstrip(_EDGE)), m.end() - len(core) + len(core.rstrip(_EDGE))
+            if lo < hi and _TOKEN.match(text[lo:hi]):
+                add(lo, hi, -1)
+
+    at = 0
     for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        while at < len(base) and base[at][1] <= start:
+        floor, end = m.span()
+        while at < len(base) and base[at][1] <= floor:
             at += 1
-        cover = next((b for b in base[at:at + 4] if b[0] < end and start < b[1]), None)
-        label = -1
-        if cover is not None:
-            start, end, label = max(start, cover[0], floor), min(end, cover[1]), cover[2]
-        else:
-            core = m.group()
-            start += len(core) - len(core.lstrip(_EDGE))
-            end -= len(core) - len(core.rstrip(_EDGE))
-        if start < end:
-            out.start.append(start)
-            out.end.append(end)
-            out.text.append(text[start:end])
-            out.fixed.append(label)
-            floor = end
+        i = at
+        while i < len(base) and base[i][0] < end:
+            lo, hi = max(base[i][0], floor), min(base[i][1], end)
+            if lo < hi:
+                add_plain(floor, lo)
+                add(lo, hi, base[i][2])
+                floor = hi
+            i += 1
+        add_plain(floor, end)
     return out
 
 

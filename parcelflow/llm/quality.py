@@ -115,11 +115,15 @@ def fit_ordinal(x: Sparse, grades: np.ndarray, levels: int, l2: float = 1e-4, ro
 
 def fit(docs: DataFrame, ratings: DataFrame, levels: int = 3, id_column: str = "doc_id", text: str = "text",
         sample: int = SAMPLE) -> Model:
-    """A model from ratings (id_column, grade): features are made where the texts are, at most ``sample`` come back."""
+    """A model from ratings (id_column, grade): features are made where the texts are, at most ``sample`` come back.
+
+    An id that stands in several rows gives its least text.
+    """
     rated = ratings.select(F.col(id_column).alias("_id"), F.col("grade").cast("int").alias("_grade"))
     rated = rated.where(F.col("_id").isNotNull() & F.col("_grade").between(0, levels - 1))
     rated = rated.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(rated, "_id").select("_grade", "_text")
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(rated.distinct(), "_id")
+    texts = texts.groupBy("_id", "_grade").agg(F.min("_text").alias("_text")).drop("_id")
 
     def make():
         places = _Places()

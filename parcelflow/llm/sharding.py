@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from parcelflow.llm.arrow import free_name
 from parcelflow.session import cut
 
 BUCKETS = 16
@@ -112,16 +113,21 @@ def assign(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shard
 
 
 def write_shards(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", **options) -> None:
-    """Writes the whole documents, one folder ``shard=N`` each; a document's copies take their shards in slot order."""
+    """Writes the whole documents, one folder ``shard=N`` each; a document's copies take their shards in slot order.
+
+    Copies that differ in other columns are ordered by a hash of the whole row, so a repeated task deals them alike.
+    If there is a column ``shard`` already, it stays, and the folders are named ``_shard=N``.
+    """
     body = F.col(text).cast("string")
-    key = [F.col(id_column).alias("_id"), (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias("_size"),
-           F.crc32(F.encode(body, "UTF-8")).alias("_crc")]
-    copy = F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(F.lit(0)))
-    full = docs.select("*", *key).withColumn("_copy", copy)
+    ident, size, crc, copy = [free_name(docs, n) for n in ("_id", "_size", "_crc", "_copy")]
+    full = docs.select("*", F.col(id_column).alias(ident), (F.coalesce(F.octet_length(body), F.lit(0)) + 8).cast("long").alias(size),
+                       F.crc32(F.encode(body, "UTF-8")).alias(crc), F.xxhash64(F.to_json(F.struct("*"))).alias(copy))
+    full = full.withColumn(copy, F.row_number().over(Window.partitionBy(ident, size, crc).orderBy(copy)))
     where = assign(docs, id_column, text, **options).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")))
-    where = where.select(*[F.col(c).alias(f"_w_{c}") for c in where.columns])
-    same = (full._id.eqNullSafe(where._w_doc_id) & (full._size == where._w_size) & full._crc.eqNullSafe(where._w_text_crc32)
-            & (full._copy == where._w__n))
-    full.join(where, same).withColumnRenamed("_w_shard", "shard").drop(
-        "_id", "_size", "_crc", "_copy", *[c for c in where.columns if c != "_w_shard"]).write.partitionBy("shard").parquet(path)
+        "copy", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot")))
+    there = {c: free_name(full, f"_w_{c}") for c in ("doc_id", "size", "text_crc32", "copy")}
+    folder = free_name(full, "shard")
+    where = where.select(*[F.col(c).alias(n) for c, n in there.items()], F.col("shard").alias(folder))
+    same = (full[ident].eqNullSafe(where[there["doc_id"]]) & (full[size] == where[there["size"]])
+            & full[crc].eqNullSafe(where[there["text_crc32"]]) & (full[copy] == where[there["copy"]]))
+    full.join(where, same).drop(ident, size, crc, copy, *there.values()).write.partitionBy(folder).parquet(path)

@@ -108,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         sample: dict[int, int] | None = None) -> Toxicity:
     """Voters, label model and classifier from labelled rows (id_column, toxic), at most ``sample`` of each label.
 
+    An id that stands in several rows gives its least text.
+
     Labels serve to mine the voters' lexicons and to weigh the two samples; the classifier's targets are the
     label model's posteriors.
     """
@@ -117,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     totals = {r._toxic: r["count"] for r in usable.groupBy("_toxic").count().collect()}
     first = lambda label: usable.where(F.col("_toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample[label])
     chosen = first(0).union(first(1))
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_toxic", "_text")
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id")
+    texts = texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).drop("_id")
 
     def make():
         def work(values):

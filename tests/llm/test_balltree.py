@@ -8,16 +8,16 @@ from parcelflow.llm import balltree
 
 
 def plain_top_k(rows, k):
-    """rows of (id, vector); queries are those whose id is divisible by 5."""
+    """rows of (id, vector); queries are those whose id is divisible by 5; a query meets all rows but itself."""
     sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q, qv in sound:
+    out = []
+    for own, (q, qv) in enumerate(sound):
         if q % 5:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in sound if i != q)[:k]
-        out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)}
-    return out
+        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for n, (i, v) in enumerate(sound) if n != own)[:k]
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
 
 
 def make_rows(n):
@@ -26,6 +26,7 @@ def make_rows(n):
     rows += [(1000 + i, rows[7][1]) for i in range(40)]  # ties
     rows += [(2000, None), (2005, [0.1, None]), (2010, [float("nan")] * 8), (2015, [float("inf")] * 8), (None, [1.0] * 8),
              (2020, [0.5, -0.5]), (2025, [])]
+    rows += [(5, rows[5][1]), (5, rows[5][1]), (10, rows[11][1]), (11, rows[10][1])]  # repeated ids, equal rows too
     return rows
 
 
@@ -36,8 +37,7 @@ def test_equals_brute_force(spark, monkeypatch, shard_rows):
     rows = make_rows(230)
     df = spark.createDataFrame([(i, v, "s", 0) for i, v in rows], "vec_id long, embedding array<float>, shard string, rank int")
     got = balltree.top_k(df, F.col("vec_id") % 5 == 0, k=4).collect()
-    assert {tuple(r) for r in got} == plain_top_k(rows, 4)
-    assert len(got) == len(plain_top_k(rows, 4))
+    assert sorted(tuple(r) for r in got) == plain_top_k(rows, 4)
 
 
 def test_few_and_no_rows(spark):
@@ -45,6 +45,10 @@ def test_few_and_no_rows(spark):
     got = {tuple(r) for r in balltree.top_k(df, F.col("vec_id") % 5 == 0).collect()}
     assert got == {(0, 1, 6, 256 * 128), (0, 2, 5, -65536), (5, 1, 6, -256 * 128), (5, 2, 0, -65536)}
     assert balltree.top_k(df.where("false"), F.col("vec_id") % 5 == 0).count() == 0
+    twice = spark.createDataFrame([(5, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in balltree.top_k(twice, F.lit(True)).collect()) == [(5, 1, 5, 131072)] * 2
+    with pytest.raises(ValueError):
+        balltree.top_k(spark.createDataFrame([(1, [3e14])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 def test_tree_prunes():

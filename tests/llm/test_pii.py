@@ -35,6 +35,32 @@ def test_base_cases():
         assert pii.base_spans(text) == plain_base(text)
 
 
+def test_long_runs_take_linear_time():
+    for text in ("7" * 1_000_000, "1." * 500_000, "a@b.c," * 100_000, "+1 " * 300_000):
+        pii.tokens_of(text, pii.base_spans(text))
+
+
+def test_lists_without_white_space_are_cut():
+    text = "ann@x.com,maria.c@y.com;+15551234567|(maria.c@y.com),1.2.3.4/ann@x.com,plain"
+    base = pii.base_spans(text)
+    tokens = pii.tokens_of(text, base)
+    assert list(zip(tokens.text, tokens.fixed)) == [("ann@x.com", 0), ("maria.c@y.com", 0), ("+15551234567", 3), ("maria.c@y.com", 0),
+                                                    ("1.2.3.4", 1), ("ann@x.com", 0)]
+    mixed = pii.tokens_of("a1,b2;;c3|d", [])
+    assert mixed.text == ["a1", "b2", "c3"] and mixed.start == [0, 3, 7]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.-+ 012(9),;|", max_size=60))
+def test_tokens_lie_apart_and_keep_base_spans(text):
+    base = pii.base_spans(text)
+    tokens = pii.tokens_of(text, base)
+    assert all(e <= s for e, s in zip(tokens.end, tokens.start[1:]))
+    assert all(text[s:e] == t for s, e, t in zip(tokens.start, tokens.end, tokens.text))
+    covered = {i for s, e in zip(tokens.start, tokens.end) for i in range(s, e)}
+    assert all(i in covered for s, e, _ in base for i in range(s, e) if text[i] in "0129@")
+
+
 def exact_marginals(field, tokens, edges):
     n, labels = len(tokens.text), len(pii.KINDS) + 1
     local = np.stack([field.weights[:, pii.token_features(t)].sum(1) for t in tokens.text])
@@ -83,6 +109,14 @@ def test_consistency_over_distance():
         assert pii.spans_of(clean, field) == []
 
 
+def test_consistency_within_joined_lists():
+    field = pii.train(make_texts())
+    filler = " of the words" * 300
+    text = f"To ann.77@mail1.example.com,maria.55@mail2.example.com;+1 (321) 555-0188.{filler} Later: maria.55,and,more;555-0188|ann.77 end"
+    spans = {(text[s:e], pii.KINDS[k], base) for s, e, k, base in pii.spans_of(text, field)}
+    assert {("maria.55", "email", False), ("ann.77", "email", False), ("555-0188", "phone", False)} <= spans and len(spans) == 6
+
+
 def test_mask_and_columns(spark):
     rows = [(i, t, len(t), "s") for i, t in enumerate(make_texts(50))] + [(90, None, None, None), (91, "", 0, "x"), (None, "clean é", 7, "k"),
             (92, "é +1 (321) 555-0188 " * 3000, 60_000, "long"), (0, "a@b.cc a@b.cc", 13, "twice"), (0, "a@b.cc a@b.cc", 13, "twice")]

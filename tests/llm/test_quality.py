@@ -80,3 +80,10 @@ def test_repetition_and_length_features():
     columns, values = quality.features("a a a b", quality._Places())
     assert values[list(columns).index(quality.REPEATED)] == pytest.approx(np.sqrt(2 / 4))
     assert quality.features(None, quality._Places())[0].tolist() == [quality.FIRST_LENGTH]
+
+
+def test_a_repeated_id_counts_once(spark):
+    rows = [(i, t) for i, t, _ in make(60)]
+    ratings = spark.createDataFrame([(i, g) for i, _, g in make(60)] * 2, "doc_id long, grade int")
+    fitted = [quality.fit(spark.createDataFrame(d, "doc_id long, text string"), ratings) for d in (rows, rows + [rows[3]] * 500)]
+    assert np.array_equal(fitted[0].weights, fitted[1].weights)

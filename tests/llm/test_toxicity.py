@@ -83,3 +83,11 @@ def test_odd_rows(spark):
     assert scores[9000] == scores[9001] == scores[9003] and scores[9002] >= 0.5
     assert {r.score for r in toxicity.score_documents(docs, labels.where("false")).collect()} == {0.5}
     assert toxicity.score_documents(docs.where("false"), labels).count() == 0
+
+
+def test_a_repeated_id_counts_once(spark):
+    rows = make(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = [(i, t) for i, t, _ in rows]
+    fitted = [toxicity.fit(spark.createDataFrame(d, "doc_id long, text string"), labels) for d in (docs, docs + [docs[3]] * 500)]
+    assert np.array_equal(fitted[0].weights, fitted[1].weights) and fitted[0].intercept == fitted[1].intercept
