@@ -83,6 +83,13 @@ SELECT event_id AS seq, user_id AS unit_id, user_id % 25 AS project_id,
   CASE event_type WHEN 'click' THEN 'reserved' WHEN 'purchase' THEN 'sold' WHEN 'error' THEN 'blocked' ELSE 'available' END AS status,
   event_id % 4 AS expected_revision, CASE WHEN value > 100 THEN 'crm' ELSE 'erp' END AS source, ts
 FROM {events}"""
+_TEXT["stock_units"] = """
+SELECT unit_id, unit_id % 25 AS project_id, CASE WHEN unit_id % 3 = 0 THEN 'sap' END AS external_system,
+  CASE WHEN unit_id % 3 = 0 THEN concat('x', cast(unit_id AS string)) END AS external_unit_id,
+  CASE unit_id % 4 WHEN 0 THEN 'reserved' WHEN 1 THEN 'sold' ELSE 'available' END AS status, cast(0 AS bigint) AS revision
+FROM (SELECT DISTINCT user_id AS unit_id FROM {events}) u"""
+_TEXT["unit_lots"] = """
+SELECT p_partkey AS lot_id, (p_partkey + CASE WHEN p_partkey % 50 = 7 THEN 1 ELSE 0 END) % 150 AS unit_id FROM {part} WHERE p_partkey % 6 <> 5"""
 _TEXT["integration_events"] = """
 SELECT event_id, user_id % 25 AS project_id, (user_id + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) % 25 AS organization_id, event_type, ts AS created_at FROM {events}"""
 _TEXT["subscriptions"] = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelflow.operators.grouped import previous_value
+from parcelflow.operators.grouped import group_rank, previous_value
 from parcelflow.session import cut
 
 CHUNK_ROWS = 200_000
@@ -169,24 +169,87 @@ def apply_requests(requests: DataFrame, units: DataFrame, recorded: DataFrame |
     return new.unionByName(earlier)
 
 
+def with_system(requests: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds ``system``, under which a request's event id is known: the unit's external system, or else the request's ``source``."""
+    known = units.select("unit_id", F.col("external_system").alias("_external"))
+    return requests.join(known, "unit_id", "left").withColumn("system", F.coalesce("_external", "source")).drop("_external")
+
+
 def unit_state(applied: DataFrame) -> DataFrame:
     """Current status and revision per unit from the applied changes."""
     return applied.groupBy("unit_id").agg(F.max_by("status", "revision").alias("status"), F.max("revision").alias("revision"))
 
 
-def internal_changes(edits: DataFrame, stripe: int = 1_000_000) -> DataFrame:
+def units_after(units: DataFrame, changes: DataFrame) -> DataFrame:
+    """The units with status and revision after the applied ``changes(unit_id, status, revision)``."""
+    now = unit_state(changes).select("unit_id", F.col("status").alias("_status"), F.col("revision").alias("_revision"))
+    return units.join(now, "unit_id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "revision": F.coalesce("_revision", "revision")}).drop("_status", "_revision")
+
+
+def with_previous_status(changes: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds ``previous_status`` to applied changes, and the unit's project and external ids.
+
+    Revisions of a unit have no gaps, so the status before is that of the change to the revision before, or the unit's
+    own: an equi-join, in which a unit with most of the changes is spread by its revisions.
+    """
+    before = changes.select("unit_id", (F.col("revision") + 1).alias("revision"), F.col("status").alias("_before"))
+    own = units.select("unit_id", "external_system", "external_unit_id", F.col("status").alias("_own"))
+    joined = changes.join(before, ["unit_id", "revision"], "left").join(own, "unit_id", "left")
+    return joined.withColumn("previous_status", F.coalesce("_before", "_own")).drop("_before", "_own")
+
+
+def lots_after(lots: DataFrame, links: DataFrame, units: DataFrame, changes: DataFrame) -> DataFrame:
+    """``lots`` with the status of the changed unit they are linked to; ``links(unit_id, lot_id)``, one per lot.
+
+    A change writes to the lots of its unit's project only.
+    """
+    now = unit_state(changes).join(units.select("unit_id", "project_id"), "unit_id").select(
+        "unit_id", "project_id", F.col("status").alias("_status"))
+    new = links.join(now, "unit_id").select("lot_id", "project_id", "_status")
+    return lots.join(new, ["lot_id", "project_id"], "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def lot_edits(edits: DataFrame, lots: DataFrame, links: DataFrame, units: DataFrame, order: list[str]) -> DataFrame:
+    """Status edits of lots, each made through the lot's unit: unit, previous_status, ``changed`` and the revision after it.
+
+    ``edits(lot_id, status)`` with columns ``order``, unique together. A lot without a link gets a unit of its own, with
+    its status and revision 0; it is named ``lot-`` and the lot's id. An edit to the status that the unit has by then changes nothing
+    and leaves no event. Edits through a unit of another project than the lot's are left out; their lots come with ``unit`` null.
+    """
+    own = lots.select("lot_id", "project_id", F.col("status").alias("_lot_status"))
+    known = units.select("unit_id", F.col("project_id").alias("_unit_project"), F.col("status").alias("_unit_status"), "revision")
+    joined = edits.join(own, "lot_id").join(links.select("lot_id", "unit_id"), "lot_id", "left").join(known, "unit_id", "left")
+    linked = F.col("unit_id").isNotNull()
+    unit = F.when(~linked, F.concat(F.lit("lot-"), F.col("lot_id").cast("string"))).when(
+        F.col("_unit_project") == F.col("project_id"), F.col("unit_id").cast("string"))
+    named = cut(joined.select(*edits.columns, unit.alias("unit"), F.coalesce("_unit_status", "_lot_status").alias("_start"),
+                              F.coalesce("revision", F.lit(0)).cast("bigint").alias("_revision")))
+    sound = previous_value(named.where("unit IS NOT NULL"), ["unit"], order, "status", "previous_status")
+    sound = sound.withColumn("previous_status", F.coalesce("previous_status", "_start"))
+    sound = cut(sound.withColumn("changed", F.col("previous_status") != F.col("status")))
+    counted = group_rank(sound.where("changed"), ["unit"], order, "_n").withColumn("revision", F.col("_revision") + F.col("_n"))
+    refused = named.where("unit IS NULL").select(*edits.columns, "unit", F.lit(None).cast("string").alias("previous_status"),
+                                                 F.lit(False).alias("changed"), F.lit(None).cast("bigint").alias("revision"))
+    columns = refused.columns
+    same = sound.where("NOT changed").withColumn("revision", F.lit(None).cast("bigint"))
+    return counted.select(*columns).unionByName(same.select(*columns)).unionByName(refused)
+
+
+def internal_changes(edits: DataFrame) -> DataFrame:
     """Internal edits produce a change only when the status differs from the one before.
 
     ``edits(seq, unit_id, status)``; the first edit of a unit is compared with ``available``.
     """
-    lagged = previous_value(edits, ["unit_id"], "seq", "status", "previous_status", stripe)
+    lagged = previous_value(edits, ["unit_id"], ["seq"], "status", "previous_status")
     lagged = lagged.withColumn("previous_status", F.coalesce("previous_status", F.lit("available")))
     return lagged.withColumn("changed", F.col("previous_status") != F.col("status"))
 
 
 def event_payload(changes: DataFrame) -> DataFrame:
-    """The envelope stored with a change: previous and new status, revision, source, time."""
+    """The envelope stored with a change: the unit's external ids where given, previous and new status, revision, source, time."""
     stamp = F.concat(F.regexp_replace(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("Z"))
-    body = F.to_json(F.struct("event_id", "unit_id", "previous_status", F.col("status").alias("new_status"), "revision", "source",
-                              stamp.alias("timestamp")))
+    external = [c for c in ("external_system", "external_unit_id") if c in changes.columns]
+    body = F.to_json(F.struct("event_id", "unit_id", *external, "previous_status", F.col("status").alias("new_status"), "revision", "source",
+                              stamp.alias("timestamp")), {"ignoreNullFields": "false"})
     return changes.withColumn("payload_json", body)

@@ -78,16 +78,19 @@ def pick_row(df: DataFrame, keys: list[str], order: Column, latest: bool = True)
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int) -> DataFrame:
-    """``lag(value)`` per group in ``order``, cut into stripes of ``width`` order units.
+def previous_value(df: DataFrame, keys: list[str], order: list[Column | str], value: str, out: str) -> DataFrame:
+    """``lag(value)`` per group in ``order``, for groups too large to be sorted by one task.
 
-    Inside a stripe it is a window; the first row of a stripe takes the last value of the
-    previous non-empty stripe, found over one summary row per stripe.
+    One range shuffle on (keys, order) sorts everything. Inside a partition it is a window; the first row of a group in a
+    partition takes the group's last value of the partition before, found over one summary row per group and partition.
     """
-    striped = df.withColumn("_s", F.floor(F.col(order) / width))
-    inner = Window.partitionBy(*keys, "_s").orderBy(order)
-    striped = striped.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
-    last = striped.groupBy(*keys, "_s").agg(F.max_by(value, order).alias("_last"))
-    carried = last.select(*keys, "_s", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_s")).alias("_carry"))
-    joined = striped.join(carried, [*keys, "_s"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_pid", F.shiftright("_mid", 33))
+    inner = Window.partitionBy(*keys, "_pid").orderBy("_mid")
+    lagged = placed.withColumns({"_lag": F.lag(value).over(inner), "_rn": F.row_number().over(inner)})
+    last = placed.groupBy(*keys, "_pid").agg(F.max_by(value, "_mid").alias("_last"))
+    carried = last.select(*keys, "_pid", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid")).alias("_carry"))
+    joined = lagged.join(carried, [*keys, "_pid"])
     return joined.select(*df.columns, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")).alias(out))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelflow.functions import codes as C, text as X
-from parcelflow.operators import availability as A, jobs as J, outbox as O
+from parcelflow.operators import availability as A, jobs as J, lots as L, outbox as O
+from parcelflow.plans.q_lots import PATCH_SQL, STATUS_SQL, batch_patches, status_lots
 from parcelflow.plans.q_tenancy import ADMIN_SQL, KEYS_SQL, admins, api_keys, now
 from parcelflow.plans.registry import query
 
@@ -17,16 +18,12 @@ def claim_at():
 
 
 def change_requests(t):
-    r = t.availability_requests
+    r = A.with_system(t.availability_requests, t.stock_units)
     digest = A.request_digest(F.col("unit_id"), F.col("status"), F.col("expected_revision"), F.col("request_event_id"), F.col("source"), F.lit(None).cast("string"))
-    return r.select("seq", "project_id", "unit_id", F.col("source").alias("system"), F.col("request_event_id").alias("event_id"), "status",
+    return r.select("seq", "project_id", "unit_id", "system", F.col("request_event_id").alias("event_id"), "status",
                     "expected_revision", digest.alias("digest"))
 
 
-def no_units(t):
-    return t.spark.createDataFrame([], "unit_id bigint, revision bigint")
-
-
 DIGEST_SQL = """sha256('["' || unit_id || '","' || status || '",' || expected_revision || ',"' || request_event_id || '","' || source || '",null]')"""
 
 
@@ -37,9 +34,8 @@ def _(t):
 
 # The oracle walks every project's requests one by one and carries the unit revisions and the
 # accepted event ids as maps.
-@query("availability_apply", f"""
-WITH RECURSIVE req AS MATERIALIZED (SELECT project_id, seq, unit_id, source || '/' || request_event_id AS ident, expected_revision AS expected, {DIGEST_SQL} AS digest,
-    row_number() OVER (PARTITION BY project_id ORDER BY seq) AS n FROM availability_requests),
+WALK_SQL = f"""req AS MATERIALIZED (SELECT r.project_id, seq, r.unit_id, coalesce(external_system, source) || '/' || request_event_id AS ident, expected_revision AS expected, {DIGEST_SQL.replace("unit_id", "r.unit_id").replace("status", "r.status")} AS digest,
+    row_number() OVER (PARTITION BY r.project_id ORDER BY seq) AS n FROM availability_requests r JOIN stock_units u ON u.unit_id = r.unit_id),
 walk AS (
   SELECT project_id, 0::bigint AS n, 0::bigint AS seq, 'none' AS outcome, 0::bigint AS rev, MAP{{}}::MAP(bigint, bigint) AS revs, MAP{{}}::MAP(varchar, varchar) AS seen, MAP{{}}::MAP(varchar, bigint) AS given FROM (SELECT DISTINCT project_id FROM req)
   UNION ALL
@@ -48,17 +44,65 @@ walk AS (
     CASE WHEN outcome = 'applied' THEN map_concat(seen, MAP{{ident: digest}}) ELSE seen END,
     CASE WHEN outcome = 'applied' THEN map_concat(given, MAP{{ident: cur + 1}}) ELSE given END
   FROM (SELECT *, CASE WHEN old IS NOT NULL THEN CASE WHEN old = digest THEN 'replayed' ELSE 'conflict' END WHEN expected = cur THEN 'applied' ELSE 'stale' END AS outcome
-    FROM (SELECT r.*, w.revs, w.seen, w.given, coalesce(w.revs[r.unit_id], 0) AS cur, w.seen[r.ident] AS old FROM walk w JOIN req r ON r.project_id = w.project_id AND r.n = w.n + 1)))
-SELECT seq, project_id, outcome, rev AS revision FROM walk WHERE n > 0""")
+    FROM (SELECT r.*, w.revs, w.seen, w.given, coalesce(w.revs[r.unit_id], 0) AS cur, w.seen[r.ident] AS old FROM walk w JOIN req r ON r.project_id = w.project_id AND r.n = w.n + 1)))"""
+
+
+def applied_changes(t):
+    done = A.apply_requests(change_requests(t), t.stock_units)
+    return done.where("outcome = 'applied'").select("seq", "unit_id", "event_id", "status", "revision")
+
+
+@query("availability_apply", f"WITH RECURSIVE {WALK_SQL} SELECT seq, project_id, outcome, rev AS revision FROM walk WHERE n > 0")
+def _(t):
+    return A.apply_requests(change_requests(t), t.stock_units).select("seq", "project_id", "outcome", "revision")
+
+
+CHANGED_SQL = """changed AS (SELECT w.seq, w.rev, r.unit_id, r.request_event_id, r.status, r.source, r.ts FROM walk w JOIN availability_requests r ON r.seq = w.seq WHERE w.n > 0 AND w.outcome = 'applied')"""
+
+
+@query("availability_events", f"""
+WITH RECURSIVE {WALK_SQL}, {CHANGED_SQL},
+before AS (SELECT c.*, u.external_system, u.external_unit_id, coalesce(lag(c.status) OVER (PARTITION BY c.unit_id ORDER BY c.rev), u.status) AS previous FROM changed c JOIN stock_units u ON u.unit_id = c.unit_id)
+SELECT seq, previous AS previous_status, '{{"event_id":"' || request_event_id || '","unit_id":"' || unit_id || '","external_system":' || coalesce('"' || external_system || '"', 'null') ||
+  ',"external_unit_id":' || coalesce('"' || external_unit_id || '"', 'null') || ',"previous_status":"' || previous || '","new_status":"' || status || '","revision":' || rev ||
+  ',"source":"' || source || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}}' AS payload_json FROM before""")
+def _(t):
+    """One event per applied change, with the unit's status before it."""
+    events = A.with_previous_status(applied_changes(t), t.stock_units).join(t.availability_requests.select("seq", "source", "ts"), "seq")
+    return A.event_payload(events.withColumn("unit_id", F.col("unit_id").cast("string"))).select("seq", "previous_status", "payload_json")
+
+
+@query("availability_lots", f"""
+WITH RECURSIVE {WALK_SQL}, {CHANGED_SQL},
+now AS (SELECT c.unit_id, u.project_id, arg_max(c.status, c.rev) AS status FROM changed c JOIN stock_units u ON u.unit_id = c.unit_id GROUP BY 1, 2)
+SELECT lot_id, l.project_id, coalesce((SELECT n.status FROM unit_lots k JOIN now n ON n.unit_id = k.unit_id WHERE k.lot_id = l.lot_id AND n.project_id = l.project_id), {STATUS_SQL}) AS status FROM lots l""")
+def _(t):
+    """The lots after all changes: each link of a changed unit takes its status."""
+    return A.lots_after(status_lots(t), t.unit_lots, t.stock_units, applied_changes(t)).select("lot_id", "project_id", "status")
+
+
+@query("availability_lot_edits", f"""
+WITH RECURSIVE {PATCH_SQL},
+edit AS (SELECT batch_id, h.lot_id, h.project_id, CASE batch_id % 4 WHEN 0 THEN 'sold' WHEN 1 THEN 'reserved' WHEN 2 THEN 'available' ELSE 'sold' END AS status, {STATUS_SQL} AS lot_status
+  FROM hit h JOIN gate USING (batch_id) WHERE applied),
+named AS (SELECT e.*, CASE WHEN k.unit_id IS NULL THEN 'lot-' || e.lot_id WHEN u.project_id = e.project_id THEN cast(k.unit_id AS varchar) END AS unit, coalesce(u.status, lot_status) AS start
+  FROM edit e LEFT JOIN unit_lots k ON k.lot_id = e.lot_id LEFT JOIN stock_units u ON u.unit_id = k.unit_id),
+seen AS (SELECT *, CASE WHEN unit IS NOT NULL THEN coalesce(lag(status) OVER (PARTITION BY unit ORDER BY batch_id, lot_id), start) END AS previous_status FROM named),
+told AS (SELECT *, coalesce(previous_status <> status, false) AS changed FROM seen)
+SELECT batch_id, lot_id, unit, previous_status, status, changed, CASE WHEN changed THEN cast(count(*) FILTER (changed) OVER (PARTITION BY unit ORDER BY batch_id, lot_id) AS bigint) END AS revision FROM told""")
 def _(t):
-    return A.apply_requests(change_requests(t), no_units(t)).select("seq", "project_id", "outcome", "revision")
+    """Batch patches with a status, made through the units: changes and revisions, nothing where the unit has that status."""
+    status = F.element_at(F.array(*map(F.lit, ("sold", "reserved", "available", "sold"))), (F.col("batch_id") % 4 + 1).cast("int"))
+    patched = L.batch_patch(status_lots(t), batch_patches(t).withColumn("status", status)).where("applied")
+    done = A.lot_edits(patched.select("batch_id", "lot_id", "status"), status_lots(t), t.unit_lots, t.stock_units, ["batch_id", "lot_id"])
+    return done.select("batch_id", "lot_id", "unit", "previous_status", "status", "changed", "revision")
 
 
 @query("lot_status_change_noop", """
 SELECT seq, previous_status, status, previous_status <> status AS changed FROM (
   SELECT seq, status, coalesce(lag(status) OVER (PARTITION BY unit_id ORDER BY seq), 'available') AS previous_status FROM availability_requests)""")
 def _(t):
-    return A.internal_changes(t.availability_requests.select("seq", "unit_id", "status"), 1000).select("seq", "previous_status", "status", "changed")
+    return A.internal_changes(t.availability_requests.select("seq", "unit_id", "status")).select("seq", "previous_status", "status", "changed")
 
 
 @query("availability_event_payload", """

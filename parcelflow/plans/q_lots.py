@@ -117,17 +117,23 @@ def _(t):
     return d.select("event_id", "layer", L.is_cadastral_layer(F.col("layer")).alias("cadastral"), L.is_auxiliary_layer(F.col("layer")).alias("auxiliary"))
 
 
-@query("lots_batch_patch", f"""
-WITH req AS (SELECT DISTINCT l_orderkey AS batch_id, CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey // 25) * 25 ELSE l_partkey + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END END AS lot_id FROM lineitem),
+PATCH_SQL = """req AS (SELECT DISTINCT l_orderkey AS batch_id, CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey // 25) * 25 ELSE l_partkey + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END END AS lot_id FROM lineitem),
 hit AS (SELECT r.batch_id, r.lot_id, l.project_id, l.name, l.s FROM req r LEFT JOIN lots l USING (lot_id)),
-gate AS (SELECT batch_id, count(*) = count(project_id) AND min(project_id) = max(project_id) AS applied FROM hit GROUP BY 1)
-SELECT batch_id, lot_id, name, CASE WHEN applied THEN 'sold' ELSE {STATUS_SQL} END AS status, applied FROM hit JOIN gate USING (batch_id) WHERE project_id IS NOT NULL""")
-def _(t):
+gate AS (SELECT batch_id, count(*) = count(project_id) AND min(project_id) = max(project_id) AS applied FROM hit GROUP BY 1)"""
+
+
+def batch_patches(t):
     li = t.raw("lineitem")
     lot = F.when(F.col("l_orderkey") % 3 == 0, F.floor(F.col("l_partkey") / 25) * 25).otherwise(
         F.col("l_partkey") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0))
-    patch = li.select(F.col("l_orderkey").alias("batch_id"), lot.cast("bigint").alias("lot_id"), F.lit("sold").alias("status"))
-    return L.batch_patch(status_lots(t), patch).select("batch_id", "lot_id", "name", "status", "applied")
+    return li.select(F.col("l_orderkey").alias("batch_id"), lot.cast("bigint").alias("lot_id"))
+
+
+@query("lots_batch_patch", f"""
+WITH {PATCH_SQL}
+SELECT batch_id, lot_id, name, CASE WHEN applied THEN 'sold' ELSE {STATUS_SQL} END AS status, applied FROM hit JOIN gate USING (batch_id) WHERE project_id IS NOT NULL""")
+def _(t):
+    return L.batch_patch(status_lots(t), batch_patches(t).withColumn("status", F.lit("sold"))).select("batch_id", "lot_id", "name", "status", "applied")
 
 
 @query("join_live_status", """

@@ -326,6 +326,15 @@ def _(t):
     return c.select("lot_id", "copy", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), "name")
 
 
+@query("geo_replicate_selection", """
+WITH g AS (SELECT *, lot_id % 3 = 0 AS third, max(x0 + 20) OVER w - min(x0) OVER w + 1.5 AS step, count(*) OVER w AS n FROM lots WINDOW w AS (PARTITION BY version_id, lot_id % 3 = 0))
+SELECT lot_id, cast(copy AS int) AS copy, round(x0 + step * copy, 4)::double AS x, y0::double AS y FROM g CROSS JOIN range(1, 41) v(copy) WHERE n * 40 <= 800""")
+def _(t):
+    r = t.lot_rings().select("version_id", (F.col("lot_id") % 3 == 0).alias("third"), "lot_id", "name", "ring")
+    c = Tr.replicate(r, 40, F.lit(0.0), 1.5, ["version_id", "third"]).select("lot_id", "copy", F.get("ring", F.lit(0)).alias("p"))
+    return c.select("lot_id", "copy", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
 @query("geo_split_line", f"""
 SELECT lot_id, p AS part, CASE p WHEN '-A' THEN 75 ELSE 225 END::double AS area, coalesce(name, '') || p AS name, CASE WHEN area_text = '' THEN '' ELSE replace(printf('%.2f', {PRINTED} * CASE p WHEN '-A' THEN 75.0 ELSE 225.0 END / 300), '.', ',') || ' m²' END AS area_text
 FROM lots CROSS JOIN (VALUES ('-A'), ('-B')) v(p)""")

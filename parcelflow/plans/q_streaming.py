@@ -21,9 +21,13 @@ def request_stream(events):
     return r.withColumn("digest", digest)
 
 
+def with_unit_system(requests, units):
+    return A.with_system(requests.withColumnRenamed("system", "source"), units).drop("source")
+
+
 @query("st_availability")
 def _(t):
-    return J.availability(t.spark, request_stream(J.table_stream(t.spark, t.folder, "events")))
+    return J.availability(t.spark, with_unit_system(request_stream(J.table_stream(t.spark, t.folder, "events")), t.stock_units))
 
 
 @query("st_event_dedupe", "SELECT DISTINCT project_id, source AS system, request_event_id AS event_id FROM availability_requests")

@@ -38,6 +38,32 @@ def _(t):
     return T.visible_per_user(t.projects, t.memberships, _project_measures(), role="client_admin")
 
 
+def _rows_sql(member: str) -> str:
+    return f"""
+WITH u AS (SELECT user_id, bool_or(platform_role IN ('platform_admin', 'operator')) AS platform FROM memberships WHERE user_id IN (2, 3, 11) GROUP BY 1)
+SELECT user_id, project_id, status FROM u, projects p
+WHERE platform OR EXISTS (SELECT 1 FROM memberships m WHERE m.user_id = u.user_id AND m.organization_id = p.organization_id AND {member})"""
+
+
+def _scoped_rows(t, role=None):
+    """The projects that a member, an organisation's admin and a platform user see."""
+    def of(user):
+        mine = t.memberships.where(F.col("user_id") == user)
+        return T.rows_for_user(t.projects, mine, role).select(F.lit(user).cast("bigint").alias("user_id"), "project_id", "status")
+
+    return of(2).unionByName(of(3)).unionByName(of(11))
+
+
+@query("access_scope_rows", _rows_sql("true"))
+def _(t):
+    return _scoped_rows(t)
+
+
+@query("manage_scope_rows", _rows_sql("m.role = 'client_admin'"))
+def _(t):
+    return _scoped_rows(t, "client_admin")
+
+
 def api_keys(t):
     s = t.raw("supplier")
     scopes = F.when(F.col("s_suppkey") % 3 == 0, '["units:read"]').when(F.col("s_suppkey") % 3 == 1, '["webhooks:write","units:read"]').otherwise('["webhooks:write"]')

@@ -290,3 +290,63 @@ def test_chunk_maps_are_composed_as_rows(spark):
     found = A._chunk_starts(maps, units)
     assert {(r.unit_id, r.chunk): r.revision_in for r in found.collect()} == want
     assert A._chunk_starts(maps.where("false"), units).count() == 0
+
+
+UNITS = "unit_id bigint, project_id bigint, external_system string, external_unit_id string, status string, revision bigint"
+LOTS = "lot_id bigint, project_id bigint, status string"
+
+
+def test_external_system_and_side_effects(spark):
+    """The unit's own system names the event id; events carry the status before; lots of each link follow, those of other projects do not."""
+    units = spark.createDataFrame([(1, 1, "erp9", "A-1", "reserved", 4), (2, 1, None, None, "available", 0)], UNITS)
+    raw = [(1, 1, 1, "crm", "e1", "sold", 4), (2, 1, 1, "shop", "e1", "sold", 4), (3, 1, 2, "crm", "e1", "blocked", 0), (4, 1, 1, "crm", "e2", "available", 5),
+           (5, 1, 2, "crm", "e2", "sold", 0)]
+    rows = spark.createDataFrame(raw, "seq bigint, project_id bigint, unit_id bigint, source string, event_id string, status string, expected_revision bigint")
+    named = A.with_system(rows, units)
+    assert [r.system for r in named.orderBy("seq").collect()] == ["erp9", "erp9", "crm", "erp9", "crm"]
+    done = A.apply_requests(named.withColumn("digest", F.concat_ws("/", "unit_id", "status", "source")), units)
+    assert [r.outcome for r in done.orderBy("seq").collect()] == ["applied", "conflict", "applied", "applied", "stale"]
+    changes = done.where("outcome = 'applied'").select("seq", "unit_id", "event_id", "status", "revision")
+    events = A.with_previous_status(changes, units).withColumns({"source": F.lit("crm"), "ts": F.lit(T0)})
+    told = {r.seq: (r.previous_status, r.status, r.revision, r.payload_json) for r in A.event_payload(events).collect()}
+    assert {k: v[:3] for k, v in told.items()} == {1: ("reserved", "sold", 5), 3: ("available", "blocked", 1), 4: ("sold", "available", 6)}
+    assert '"external_system":"erp9","external_unit_id":"A-1"' in told[1][3] and '"external_system":null' in told[3][3]
+    assert {(r.unit_id, r.status, r.revision) for r in A.units_after(units, changes).collect()} == {(1, "available", 6), (2, "blocked", 1)}
+    lots = spark.createDataFrame([(10, 1, "reserved"), (11, 1, "reserved"), (12, 2, "reserved"), (13, 1, "sold"), (14, 1, "retired")], LOTS)
+    links = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 13)], "unit_id bigint, lot_id bigint")
+    after = {r.lot_id: r.status for r in A.lots_after(lots, links, units, changes).collect()}
+    assert after == {10: "available", 11: "available", 12: "reserved", 13: "blocked", 14: "retired"}
+
+
+def test_batch_status_goes_through_the_units(spark):
+    units = spark.createDataFrame([(1, 1, None, None, "available", 3), (2, 2, None, None, "available", 0)], UNITS)
+    lots = spark.createDataFrame([(10, 1, "available"), (11, 1, "available"), (12, 1, "sold"), (13, 1, "sold")], LOTS)
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "unit_id bigint, lot_id bigint")
+    edits = spark.createDataFrame([(1, 10, "sold"), (1, 11, "sold"), (2, 10, "sold"), (3, 11, "blocked"), (1, 13, "sold"), (2, 13, "available"), (1, 12, "blocked")],
+                                  "batch bigint, lot_id bigint, status string")
+    got = {(r.batch, r.lot_id): (r.unit, r.previous_status, r.changed, r.revision) for r in A.lot_edits(edits, lots, links, units, ["batch", "lot_id"]).collect()}
+    assert got == {(1, 10): ("1", "available", True, 4), (1, 11): ("1", "sold", False, None), (2, 10): ("1", "sold", False, None), (3, 11): ("1", "sold", True, 5),
+                   (1, 13): ("lot-13", "sold", False, None), (2, 13): ("lot-13", "sold", True, 1), (1, 12): (None, None, False, None)}
+
+
+def test_a_busy_unit_is_edited_in_order(spark):
+    rng = random.Random(12)
+    rows = [(s, 10, rng.choice(["sold", "reserved", "available"])) for s in rng.sample(range(10**12), 1500)]
+    units = spark.createDataFrame([(1, 1, None, None, "available", 0)], UNITS)
+    lots, links = spark.createDataFrame([(10, 1, "available")], LOTS), spark.createDataFrame([(1, 10)], "unit_id bigint, lot_id bigint")
+    done = A.lot_edits(spark.createDataFrame(rows, "seq bigint, lot_id bigint, status string").repartition(7), lots, links, units, ["seq"])
+    status, revision, want = "available", 0, {}
+    for seq, _, new in sorted(rows):
+        revision += new != status
+        want[seq] = (status, new != status, revision if new != status else None)
+        status = new
+    assert {r.seq: (r.previous_status, r.changed, r.revision) for r in done.collect()} == want
+
+
+def test_rows_for_one_user(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "project_id bigint, organization_id bigint")
+    mine = lambda *m: spark.createDataFrame(list(m), "user_id bigint, organization_id bigint, role string, platform_role string")
+    seen = lambda m, role=None: sorted(r.project_id for r in T.rows_for_user(rows, m, role).collect())
+    member = mine((7, 1, "client_admin", "none"), (7, 2, "client_member", "none"))
+    assert seen(member) == [1, 2] and seen(member, "client_admin") == [1]
+    assert seen(mine((8, 1, "client_member", "operator"))) == [1, 2, 3] and seen(member.where("false")) == []

@@ -53,10 +53,16 @@ def test_medians_and_ranks_match_sorting(spark):
         assert [ranks[i] for _, i in mine] == list(range(1, n + 1))
 
 
-def test_previous_value_across_stripes(spark):
-    df = spark.createDataFrame([(1, s, f"s{s}") for s in (0, 3, 4, 25, 26)], "k int, seq bigint, st string")
-    got = [(r.seq, r.p) for r in Gr.previous_value(df, ["k"], "seq", "st", "p", 5).orderBy("seq").collect()]
-    assert got == [(0, None), (3, "s0"), (4, "s3"), (25, "s4"), (26, "s25")]
+def test_previous_value_across_ranges(spark):
+    """One group over all partitions, gaps of any size, a null that is a value of its own, and small groups."""
+    rows = [(1, s, None if s == 3 else f"s{s}") for s in (0, 3, 4, 10**9, 10**18)] + [(2, s, f"t{s}") for s in range(0, 4000, 7)] + [(3, 5, "u")]
+    df = spark.createDataFrame(rows, "k int, seq bigint, st string").repartition(5)
+    got = {(r.k, r.seq): r.p for r in Gr.previous_value(df, ["k"], ["seq"], "st", "p").collect()}
+    want = {}
+    for k, s, _ in rows:
+        before = [v for j, q, v in sorted(rows, key=lambda r: r[:2]) if j == k and q < s]
+        want[k, s] = before[-1] if before else None
+    assert got == want
 
 
 def test_reading_order(spark):
@@ -311,3 +317,15 @@ def test_hull_and_rectangle_of_large_rings(spark):
     ring = [(100 * math.cos(i * math.pi / 1000) + rnd.random(), 60 * math.sin(i * math.pi / 1000)) for i in range(2000)]
     big = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>")
     assert abs(big.select(G.oriented_rect(F.col("ring"))["area"]).first()[0] - 200 * 120) < 300
+
+
+def test_replicated_selections(spark):
+    """The step is the selection's extent; rings times copies above 800 are refused; copies stay between 1 and 200."""
+    box = lambda x, y: [(x, y), (x + 2.0, y), (x + 2.0, y + 1.0), (x, y + 1.0)]
+    rows = [("a", 1, "L009", box(0.0, 0.0)), ("a", 2, "L010", box(5.0, 0.0))] + [("b", i, "L1", box(3.0 * i, 9.0)) for i in range(401)]
+    df = spark.createDataFrame(rows, "k string, i int, name string, ring array<struct<x:double,y:double>>")
+    got = {(r.k, r.i, r.copy): (r.name, r.ring[0].x) for r in Tr.replicate(df, 2, F.lit(0.0), 1.0, ["k"]).collect()}
+    assert got == {("a", 1, 1): ("L010", 8.0), ("a", 1, 2): ("L011", 16.0), ("a", 2, 1): ("L011", 13.0), ("a", 2, 2): ("L012", 21.0)}
+    assert Tr.replicate(df, 1, F.lit(0.0), 1.0, ["k"]).count() == 403
+    assert Tr.replicate(df.where("k = 'a'"), 9999, F.lit(0.0), 1.0, ["k"]).count() == 400
+    assert Tr.replicate(df, 3, F.lit(0.0), 1.0).count() == 3 * 403
